@@ -8,17 +8,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words, offsets of the texts); words are cut at ASCII white space, a null text has none."""
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes of the distinct words, index of every word among them, offsets of the texts).
+
+    Words are cut at ASCII white space; a null text has none.
+    """
     pieces = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
     coded = pieces.flatten().dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
-    hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     which = coded.indices.to_numpy(zero_copy_only=False)
-    full = (words != "")[which] if len(words) else np.zeros(0, bool)
+    full = (words != "")[which]
     upto = np.concatenate(([0], np.cumsum(full)))
-    return hashes[which][full] if len(words) else hashes, upto[ends]
+    return pd.util.hash_array(words, categorize=False), which[full], upto[ends]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, offsets of the texts)."""
+    hashes, which, offsets = word_codes(texts)
+    return hashes[which], offsets
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,3 +87,23 @@ def banded_distance(a, b, most: int) -> int:
         d0 >>= 1
         vp, vn = (hn | ~(d0 | hp)) & full, d0 & hp
     return score if score <= most else most + 1
+
+
+def closest_within(masks: dict, m: int, text) -> tuple[int, int]:
+    """(distance, end) of the part of text that is closest to a pattern of m words, given as bit masks by word."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, best, at = full, 0, m, m, 0
+    for j, c in enumerate(text):
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+        ph, mh = (mv | ~(xh | pv)) & full, pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score < best:
+                best, at = score, j + 1
+        ph, mh = ph << 1 & full, mh << 1 & full
+        pv, mv = (mh | ~(xv | ph)) & full, ph & xv
+    return best, at
