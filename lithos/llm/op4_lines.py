@@ -32,6 +32,9 @@ MIN_KEY = 1
 BUCKET_DOCS = 256
 SHARD_KEYS = 32_768
 GAMMA = 1.5
+#: A shard with more than so many times the usual rows is probed in several parts.
+HOT = 4
+ROWS = 500
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -108,7 +111,7 @@ def line_counts(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """bucket, a, b, n: in how many documents of the bucket the key with hash (a, b) stands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
             found = [{h for _, h in _keys(t, min_key) if h} for t in texts]
             each = np.fromiter(map(len, found), np.int64, len(found))
@@ -118,31 +121,31 @@ def line_counts(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     return docs.select("bucket", "text").mapInArrow(task, "bucket long, a long, b long").groupBy("bucket", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sharded(keys: DataFrame, n_shards: int) -> DataFrame:
+    return keys.withColumn("shard", F.pmod(F.xxhash64("a", "b"), F.lit(n_shards)))
+
+
 def build_index(counts: DataFrame, n_shards: int) -> DataFrame:
     """One row per shard: sizes and bits of the perfect hash, the fingerprint array and the count array."""
 
     def shard(t: pa.Table) -> pa.Table:
         a, b = (t.column(c).to_numpy().view(np.uint64) for c in "ab")
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], t.column("n").to_numpy()[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        a, b, n = a[first], b[first], np.add.reduceat(n, first)
         ph = PerfectHash.build(a, b)
         at = ph(a, b)
         prints, count = np.empty(len(a), "<u4"), np.empty(len(a), "<u4")
-        prints[at], count[at] = (b >> np.uint64(32)).astype(np.uint32), np.minimum(n, 2**32 - 1)
+        prints[at], count[at] = (b >> np.uint64(32)).astype(np.uint32), np.minimum(t.column("n").to_numpy(), 2**32 - 1)
         sizes, bits = ph.to_bytes()
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": [bits], "prints": [prints.tobytes()], "counts": [count.tobytes()]})
 
-    return sharded(counts, n_shards).groupBy("shard").applyInArrow(shard, "shard long, sizes array<long>, bits binary, prints binary, counts binary")
-
+    keys = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return sharded(keys, n_shards).groupBy("shard").applyInArrow(shard, "shard long, sizes array<long>, bits binary, prints binary, counts binary")
 
-def sharded(counts: DataFrame, n_shards: int) -> DataFrame:
-    return counts.withColumn("shard", F.pmod(F.xxhash64("a", "b"), F.lit(n_shards)))
 
+def probe(counts: DataFrame, index: DataFrame, n_shards: int, shard_keys: int = SHARD_KEYS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """bucket, a, b of the buckets' keys that the index counts in at least min_docs documents.
 
-def probe(counts: DataFrame, index: DataFrame, n_shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    """bucket, a, b of the buckets' keys that the index counts in at least min_docs documents."""
+    A shard that a very common line swells is probed in several parts, each with its own copy of the shard's arrays.
+    """
 
     def shard(keys: pa.Table, arrays: pa.Table) -> pa.Table:
         a, b = (keys.column(c).to_numpy().view(np.uint64) for c in "ab")
@@ -154,36 +157,56 @@ def probe(counts: DataFrame, index: DataFrame, n_shards: int, min_docs: int = MI
             keep = (at >= 0) & (prints[at] == (b >> np.uint64(32)).astype(np.uint32)) & (count[at] >= min_docs)
         return keys.select(["bucket", "a", "b"]).filter(pa.array(keep))
 
-    return sharded(counts.select("bucket", "a", "b"), n_shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(shard, "bucket long, a long, b long")
+    keys = sharded(counts.select("bucket", "a", "b"), n_shards)
+    parts = keys.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (HOT * shard_keys)).cast("int").alias("parts"))
+    keys = keys.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("bucket"), F.col("parts"))).drop("parts")
+    index = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    return keys.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(shard, "bucket long, a long, b long")
 
 
-def drop_lines(docs: DataFrame, hits: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (without the lines that hit) and the text's SHA-256."""
+def drop_lines(docs: DataFrame, hits: DataFrame, min_key: int = MIN_KEY, texts: bool = True) -> DataFrame:
+    """doc_id, n_lines, n_dropped, the SHA-256 of the text without the lines that hit, and with texts that text.
 
-    def bucket(rows: pa.Table, keys: pa.Table) -> pa.Table:
-        gone = {x.tobytes() for x in np.stack([keys.column("a").to_numpy(), keys.column("b").to_numpy()], 1)} if keys.num_rows else set()
-        out = {"doc_id": rows.column("doc_id").combine_chunks(), "n_lines": [], "n_dropped": [], "kept_sha256": [], "text": []}
-        for text in pc.fill_null(rows.column("text").cast(pa.large_binary()), b"").to_pylist():
-            lines = _keys(text, min_key)
-            kept = [x for x, h in lines if h not in gone]
-            body = b"\n".join(kept)
-            for k, v in (("n_lines", len(lines)), ("n_dropped", len(lines) - len(kept)), ("kept_sha256", hashlib.sha256(body).hexdigest()), ("text", body.decode("utf-8", "replace"))):
-                out[k].append(v)
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())]))
+    A bucket's hits come before its documents in one sorted stream, so a task holds the hits of one bucket.
+    """
 
-    return docs.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(bucket, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, text string")
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gone = None, set()
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            bodies = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
+            buckets, is_doc = batch.column("bucket").to_pylist(), batch.column("is_doc").to_pylist()
+            hashes = np.stack([pc.fill_null(batch.column(c), 0).to_numpy() for c in "ab"], 1)
+            rows = []
+            for i, text in enumerate(bodies):
+                if buckets[i] != at:
+                    at, gone = buckets[i], set()
+                if not is_doc[i]:
+                    gone.add(hashes[i].tobytes())
+                    continue
+                lines = _keys(text, min_key)
+                kept = [x for x, h in lines if h not in gone]
+                body = b"\n".join(kept)
+                rows.append((i, len(lines), len(lines) - len(kept), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace") if texts else None))
+            i, n, dropped, sha, text = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(i, pa.int64())), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "text"])
+
+    docs = docs.select("bucket", F.lit(True).alias("is_doc"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    hits = hits.select("bucket", F.lit(False).alias("is_doc"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b")
+    stream = docs.unionByName(hits).repartition("bucket").sortWithinPartitions("bucket", "is_doc")
+    out = stream.mapInArrow(task, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, text string")
+    return out if texts else out.drop("text")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, shard_keys: int = SHARD_KEYS, texts: bool = True) -> DataFrame:
     docs = bucketed(docs)
     counts = stored(line_counts(docs, min_key), "line-counts")
     n_shards = max(1, -(-counts.count() // shard_keys))
     index = stored(build_index(counts, n_shards), "line-index")
-    return drop_lines(docs, probe(counts, index, n_shards, min_docs), min_key)
+    return drop_lines(docs, probe(counts, index, n_shards, shard_keys, min_docs), min_key, texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return dedup_lines(table(spark, sf_dir, "documents"), texts=False)
 
 
 SQL = r"""
