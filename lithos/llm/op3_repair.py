@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,34 @@ SHARD_TOKENS = 4_000_000
 MIN_COUNT = 24
 MAX_ROUNDS = 16
 PAIRS_A_ROUND = 2048
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+ROWS = 2_000
 MAGIC = b"RPSHARD1"
-_cache: dict[str, tuple[int, ...]] = {}
+
+
+class WordCache:
+    """Ids by word, in two generations: a full young one becomes the old one, from which words in use come back."""
+
+    def __init__(self, size: int = CACHE_WORDS):
+        self.size, self.young, self.old = size, {}, {}
+
+    def __call__(self, words: list[str], tokenizer) -> list[tuple[int, ...]]:
+        out = list(map(self.young.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        fresh = []
+        for i in missing:
+            if (x := self.old.get(words[i])) is None:
+                fresh.append(i)
+            else:
+                out[i] = self.young[words[i]] = x
+        for i, e in zip(fresh, tokenizer.encode_batch_fast([words[i] for i in fresh], add_special_tokens=False), strict=True):
+            out[i] = self.young[words[i]] = tuple(e.ids)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        return out
+
+
+_cache = WordCache()
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -60,15 +86,9 @@ def encode(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
     coded = pieces.flatten().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    distinct = coded.dictionary.to_pylist()
-    if new := [w for w in distinct if w not in _cache]:
-        if len(_cache) + len(new) > CACHE_WORDS:
-            _cache.clear()
-            new = distinct
-        _cache.update(zip(new, (tuple(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    per = [_cache[w] for w in distinct]
+    per = _cache(coded.dictionary.to_pylist(), tokenizer)
     size = np.fromiter(map(len, per), np.int64, len(per))
-    flat = np.fromiter((i for x in per for i in x), np.uint32, int(size.sum()))
+    flat = np.array(list(chain.from_iterable(per)), np.uint32)
     first = np.concatenate(([0], np.cumsum(size)))[:-1]
     which = coded.indices.to_numpy(zero_copy_only=False)
     each = size[which] if len(which) else np.zeros(0, np.int64)
@@ -79,34 +99,37 @@ def encode(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
 
 def compress(symbols: np.ndarray, end: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols after replacement, rules as pairs); rule k is symbol end + 1 + k. Symbols fit 16 bits."""
-    s, rules = symbols.astype(np.uint16), []
+    s, rules = symbols.astype(np.uint16), []  # a copy
     room = 65535 - end
     for _ in range(MAX_ROUNDS):
         left, right = s[:-1], s[1:]
-        keys = (left.astype(np.uint32) << 16) | right
-        keys = np.sort(keys[(left != end) & (right != end)])
-        if not len(keys):
-            break
+        keys = np.sort((left.astype(np.uint32) << 16) | right)
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         count = np.diff(np.concatenate((at, [len(keys)])))
+        kind = keys[at]
+        count[(kind >> 16 == end) | (kind & 65535 == end)] = 0
+        if not len(count) or not count.max():
+            break
         least = max(min_count, int(count.max()) // 4)
         chosen = np.flatnonzero(count >= least)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][: min(PAIRS_A_ROUND, room - len(rules))]
         if not len(chosen):
             break
-        pairs = keys[at[chosen]]
+        pairs = kind[chosen]
         a, b = (pairs >> 16).astype(np.int64), (pairs & 65535).astype(np.int64)
-        in_left, in_right = np.zeros(65536, np.int16), np.zeros(65536, np.int16)
+        in_left, in_right = np.zeros(65536, np.int32), np.zeros(65536, np.int32)
         ua, ub = np.unique(a), np.unique(b)
-        in_left[ua], in_right[ub] = np.arange(1, len(ua) + 1), np.arange(1, len(ub) + 1)
-        rule = np.zeros((len(ua) + 1, len(ub) + 1), np.uint16)
-        rule[in_left[a], in_right[b]] = end + 1 + len(rules) + np.arange(len(pairs))
-        found = rule[in_left[left], in_right[right]]
-        p = np.flatnonzero(found)
+        in_left[ua], in_right[ub] = np.arange(1, len(ua) + 1) * (len(ub) + 1), np.arange(1, len(ub) + 1)
+        rule = np.zeros((len(ua) + 1) * (len(ub) + 1), np.uint16)
+        rule[in_left[a] + in_right[b]] = end + 1 + len(rules) + np.arange(len(pairs))
+        row = in_left.take(left)
+        p = np.flatnonzero(row)
+        found = rule.take(row[p] + in_right.take(right[p]))
+        p, found = p[found > 0], found[found > 0]
         head = np.concatenate(([True], np.diff(p) != 1))
-        p = p[(np.arange(len(p)) - np.maximum.accumulate(np.where(head, np.arange(len(p)), 0))) % 2 == 0]
-        s = s.copy()
-        s[p] = found[p]
+        first = (np.arange(len(p)) - np.maximum.accumulate(np.where(head, np.arange(len(p)), 0))) % 2 == 0
+        p = p[first]
+        s[p] = found[first]
         keep = np.ones(len(s), bool)
         keep[p + 1] = False
         s = s[keep]
@@ -218,8 +241,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_json: str, shard_tokens
             return row
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(lo, ROWS)
                 got, each = encode(rows.column("text"), tokenizer)
                 upto = np.cumsum(each)
                 ids.append(np.insert(got, upto, END_ID).astype(np.uint32))
