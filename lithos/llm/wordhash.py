@@ -8,15 +8,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_codes(texts: pa.Array, clean=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hashes of the distinct words, index of every word among them, offsets of the texts).
 
-    Words are cut at ASCII white space; a null text has none.
+    Words are cut at ASCII white space; a null text has none. clean, if given, is applied to the distinct words.
     """
     pieces = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
     coded = pieces.flatten().dictionary_encode()
-    words = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
+    words = (clean(coded.dictionary) if clean else coded.dictionary).to_numpy(zero_copy_only=False).astype(object)
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     which = coded.indices.to_numpy(zero_copy_only=False)
