@@ -79,11 +79,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def distance(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance of two histograms given as shares; null where either has none."""
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms given as arrays of counts; null where either is empty."""
+    total = lambda x: F.nullif(F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v), F.lit(0).cast("long"))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = [part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q, strict=True)]
-    return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, terms) / 2))
+    both = let(F.struct(p.alias("p"), q.alias("q"), total(p).alias("n"), total(q).alias("m")), lambda s: F.zip_with(s["p"], s["q"], lambda a, b: F.struct((a / s["n"]).alias("a"), (b / s["m"]).alias("b"))))
+    terms = F.transform(both, lambda t: part(t["a"], (t["a"] + t["b"]) / 2) + part(t["b"], (t["a"] + t["b"]) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
 
 
 def judge(docs: DataFrame, char_limit=CHAR_LIMIT, word_limit=WORD_LIMIT) -> DataFrame:
@@ -92,13 +94,10 @@ def judge(docs: DataFrame, char_limit=CHAR_LIMIT, word_limit=WORD_LIMIT) -> Data
     sums = [F.sum(f"c_{k}").alias(f"r_{k}") for k in CHAR_CLASSES] + [F.sum("n_words").alias("r_words")] + [F.sum(F.get("w", F.lit(i))).alias(f"r_w{i}") for i in range(N_COMMON)]
     refs = rows.where("NOT base_failed").groupBy("lang").agg(*sums).withColumnRenamed("lang", "r_lang")
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["r_lang"]), "left")
-    share = lambda x, n: F.when(F.col(n) > 0, F.col(x) if isinstance(x, str) else x) / F.col(n)
-    rows = rows.withColumn("n_all", sum((F.col(f"c_{k}") for k in CHAR_CLASSES), F.lit(0))).withColumn("r_all", sum((F.col(f"r_{k}") for k in CHAR_CLASSES), F.lit(0)))
     w = [F.get("w", F.lit(i)) for i in range(N_COMMON)]
-    rest = F.col("n_words") - sum(w, F.lit(0))
-    r_rest = F.col("r_words") - sum((F.col(f"r_w{i}") for i in range(N_COMMON)), F.lit(0))
-    chars = distance([share(f"c_{k}", "n_all") for k in CHAR_CLASSES], [share(f"r_{k}", "r_all") for k in CHAR_CLASSES])
-    commons = distance([share(x, "n_words") for x in (*w, rest)], [share(x, "r_words") for x in (*[f"r_w{i}" for i in range(N_COMMON)], r_rest)])
+    r_w = [F.col(f"r_w{i}") for i in range(N_COMMON)]
+    chars = distance(F.array(*[f"c_{k}" for k in CHAR_CLASSES]), F.array(*[f"r_{k}" for k in CHAR_CLASSES]))
+    commons = distance(F.array(*w, F.col("n_words") - sum(w, F.lit(0))), F.array(*r_w, F.col("r_words") - sum(r_w, F.lit(0))))
     rows = rows.withColumn("char_distance", F.when(F.col("n_words") >= MIN_WORDS, chars)).withColumn("word_distance", F.when((F.col("n_words") >= MIN_WORDS) & F.col("lang").isin(*COMMON_WORDS), commons))
     over = lambda k, limit: F.coalesce(F.col(k) > limit[0] + limit[1] / F.sqrt("n_words"), F.lit(False))
     far = over("char_distance", char_limit) | over("word_distance", word_limit)
