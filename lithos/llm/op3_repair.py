@@ -19,8 +19,8 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ class WordCache:
     def __init__(self, size: int = CACHE_WORDS):
         self.size, self.young, self.old = size, {}, {}
 
-    def __call__(self, words: list[str], tokenizer) -> list[tuple[int, ...]]:
+    def __call__(self, words: list[str], tokenizer) -> list[bytes]:
         out = list(map(self.young.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
         fresh = []
@@ -60,7 +60,7 @@ class WordCache:
             else:
                 out[i] = self.young[words[i]] = x
         for i, e in zip(fresh, tokenizer.encode_batch_fast([words[i] for i in fresh], add_special_tokens=False), strict=True):
-            out[i] = self.young[words[i]] = tuple(e.ids)
+            out[i] = self.young[words[i]] = array("I", e.ids).tobytes()
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         return out
@@ -87,8 +87,8 @@ def encode(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     per = _cache(coded.dictionary.to_pylist(), tokenizer)
-    size = np.fromiter(map(len, per), np.int64, len(per))
-    flat = np.array(list(chain.from_iterable(per)), np.uint32)
+    size = np.fromiter(map(len, per), np.int64, len(per)) // 4
+    flat = np.frombuffer(b"".join(per), np.uint32)
     first = np.concatenate(([0], np.cumsum(size)))[:-1]
     which = coded.indices.to_numpy(zero_copy_only=False)
     each = size[which] if len(which) else np.zeros(0, np.int64)
