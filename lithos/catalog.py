@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lithos.plans import model_queries
+
+MODULES = (model_queries,)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
