@@ -12,7 +12,7 @@ of its texts in bytes, which does not depend on compression.
 
 Edge cases: null texts count as zero bytes; a row larger than the target is a shard of its own; all columns of the rows
 are kept under their names (the store's own columns live in the manifest only); an empty append commits a version
-without new shards; a tier of fewer than FANOUT shards waits; repeated rows stay repeated.
+without new shards; columns named like the store's partition columns are refused; a tier of fewer than FANOUT shards waits; repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from lithos.llm.shared import shared_dir, table
 TARGET_BYTES = 64 << 20
 FANOUT = 4
 ARRIVALS = 8
+#: Partition columns of the store's folders; rows may not bring columns of these names.
+RUN, PART = "_shard_run", "_shard_part"
 MANIFEST = "path string, run string, bytes long, n_rows long"
 
 
@@ -71,23 +73,35 @@ class ShardStore:
         out.close()
         return version
 
-    def _described(self, folder: str, run: str) -> DataFrame:
-        rows = self.spark.read.parquet(folder)
+    def _rows(self, runs: list[str]) -> DataFrame:
+        """The rows of runs with RUN, PART and the files' metadata; columns come by name."""
+        data = f"{self.path}/data"
+        return self.spark.read.option("basePath", data).option("mergeSchema", len(runs) > 1).parquet(*[f"{data}/{RUN}={r}" for r in runs])
+
+    def _write(self, rows: DataFrame, run: str) -> None:
+        rows.write.option("compression", "zstd").partitionBy(PART).parquet(f"{self.path}/data/{RUN}={run}")
+
+    def _described(self, run: str, by_part: bool = False) -> DataFrame:
+        rows = self._rows([run])
         size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") if "text" in rows.columns else F.lit(0).cast("long")
-        return rows.select(F.col("_metadata.file_path").alias("path"), size.alias("bytes")).groupBy("path").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_rows")).select("path", F.lit(run).alias("run"), "bytes", "n_rows")
+        name = F.concat_ws("/", F.lit(run), F.col(PART).cast("string")) if by_part else F.lit(run)
+        return rows.select(F.col("_metadata.file_path").alias("path"), name.alias("run"), size.alias("bytes")).groupBy("path", "run").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_rows")).select("path", "run", "bytes", "n_rows")
+
+    @staticmethod
+    def _runs(shards: DataFrame) -> list[str]:
+        """The runs that shards lie in: one name per append or compaction."""
+        return sorted(r[0] for r in shards.select(F.regexp_extract("path", rf"/{RUN}=([0-9a-f]+)/", 1)).distinct().collect())
 
     def append(self, rows: DataFrame, arrivals=None) -> int:
         """Write rows as a new run and commit it; with arrivals, a column that names the batch in which a row came, each
         batch is a run of its own, written in the same pass."""
-        version, run = max(self.versions(), default=0) + 1, f"run-{uuid.uuid4().hex}"
-        folder = f"{self.path}/{run}"
-        if arrivals is None:
-            rows.write.parquet(folder)
-            new = self._described(folder, run)
-        else:
-            rows.withColumn("_arrival", arrivals).write.partitionBy("_arrival").parquet(folder)
-            new = self._described(folder, run).withColumn("run", F.concat("run", F.lit("/"), F.regexp_extract("path", "_arrival=([^/]+)/", 1)))
-        return self._commit(self.manifest().unionByName(new), version)
+        if clash := {RUN, PART} & set(rows.columns):
+            raise ValueError(f"the store needs the names {sorted(clash)} for itself")
+        version, run = max(self.versions(), default=0) + 1, uuid.uuid4().hex
+        if rows.isEmpty():
+            return self._commit(self.manifest(), version)
+        self._write(rows.withColumn(PART, F.lit(0) if arrivals is None else arrivals), run)
+        return self._commit(self.manifest().unionByName(self._described(run, arrivals is not None)), version)
 
     def plan(self, shards: DataFrame) -> DataFrame:
         """path, group: which shards are merged. Tiers are packed by running sums over shards, not rows."""
@@ -106,26 +120,22 @@ class ShardStore:
         if not groups:
             plan.unpersist()
             return version
-        run = f"run-{uuid.uuid4().hex}"
-        merged, left = plan.select("path", "group"), shards.join(plan.select("path"), "path", "left_anti")
-        # the runs' folders are read whole and their rows find their group by file; columns come by name
-        paths = [r[0] for r in plan.select(F.regexp_extract("path", r"^(.*?/run-[0-9a-f]{32})/", 1)).distinct().collect()]  # one per append
-        rows = self.spark.read.option("mergeSchema", True).parquet(*paths) if len(paths) > 1 else self.spark.read.parquet(paths[0])
-        rows = rows.select(*[c for c in rows.columns if c != "_arrival"], F.col("_metadata.file_path").alias("_path"))
-        rows = rows.join(merged.withColumnRenamed("path", "_path").withColumnRenamed("group", "_group"), "_path").drop("_path")
-        rows.repartition(max(1, groups), "_group").write.partitionBy("_group").parquet(f"{self.path}/{run}")
-        new = self._described(f"{self.path}/{run}", run)
+        run, merged, left = uuid.uuid4().hex, plan.select(F.col("path").alias("_path"), F.col("group").alias("_group")), shards.join(plan.select("path"), "path", "left_anti")
+        rows = self._rows(self._runs(plan))
+        rows = rows.select(*[c for c in rows.columns if c not in (RUN, PART)], F.col("_metadata.file_path").alias("_path")).join(merged, "_path").drop("_path")
+        # a group is one task's and one file; more partitions than groups keep two groups apart
+        self._write(rows.withColumnRenamed("_group", PART).repartition(4 * groups, PART), run)
         plan.unpersist()
-        return self._commit(left.unionByName(new), version + 1)
+        return self._commit(left.unionByName(self._described(run)), version + 1)
 
     def read(self, version: int | None = None, located: bool = False) -> DataFrame:
         """The rows of a version; located adds shard (its path), shard_bytes and shard_rows."""
         shards = self.manifest(version)
-        folders = [r[0] for r in shards.select(F.regexp_extract("path", r"^(.*?/run-[0-9a-f]{32})/", 1)).distinct().collect()]
-        if not folders:
+        runs = self._runs(shards)
+        if not runs:
             raise ValueError("the store holds no shards")
-        rows = self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*folders)
-        own = [c for c in rows.columns if c not in ("_arrival", "_group")]
+        rows = self._rows(runs)
+        own = [c for c in rows.columns if c not in (RUN, PART)]
         listed = shards.select(F.col("path").alias("_path"), F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
         rows = rows.select(*own, F.col("_metadata.file_path").alias("_path")).join(listed, "_path")
         return rows.withColumnRenamed("_path", "shard") if located else rows.select(*own)
@@ -148,4 +158,4 @@ def shard(docs: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
-    return out.select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.sha1("text").alias("text_sha1"), F.regexp_extract("shard", "_group=([^/]+)/", 1).alias("shard"), "shard_bytes", "shard_rows")
+    return out.select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.sha1("text").alias("text_sha1"), F.regexp_extract("shard", f"{PART}=([^/]+)/", 1).alias("shard"), "shard_bytes", "shard_rows")
