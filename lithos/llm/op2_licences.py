@@ -2,7 +2,8 @@
 
 The lines of a file's header and of licence files are compared with licence templates as sparse TF-IDF vectors. Document
 frequencies are counted over the whole corpus for the templates' words; every other word weighs as one never seen. Lines
-that share no word with a template have cosine 0 and never leave the scan; the others are a few rows per file. A line
+that share no word with a template have cosine 0, and lines in which foreign words outweigh the templates' words cannot reach
+MIN_COSINE; both never leave the scan, and the others are a few rows per file. A line
 whose best cosine reaches MIN_COSINE names the file's licence.
 
 A directory takes the licence of the file in it with the highest cosine. A file without a licence of its own inherits
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.shared import stored, table
+from lithos.llm.shared import let, stored, table
 
 MIN_COSINE = 0.75
 #: Notices as they stand in headers, by SPDX identifier.
@@ -51,10 +52,21 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, min_cosine: fl
     t_terms = known.select("licence", F.explode(terms(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = sorted({r[0] for r in t_terms.select("term").distinct().collect()})  # the templates' words, a fixed set
     words = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    is_word = lambda x: x.isin(*vocabulary) if vocabulary else F.lit(False)  # noqa: E731  a hash lookup
     # one pass over the texts: the words of the vocabulary that a file has, and its lines that have any
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(terms(x).alias("t"))), lambda x: F.arrays_overlap(x["t"], words))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), terms), lambda t: F.exists(t, is_word))
     rows = files.select("file_id", "path", lines.alias("lines"))
-    rows = rows.select("file_id", "path", "lines", F.array_distinct(F.flatten(F.transform("lines", lambda x: F.array_intersect(x["t"], words)))).alias("has"))
+
+    def can_reach(t: Column) -> Column:
+        # with every word at the weight of an unseen one, the known words' share of the norm bounds the cosine from above
+        def bound(known: Column) -> Column:
+            squares = F.aggregate(F.transform(F.array_distinct(known), lambda w: F.size(F.filter(known, lambda x: x == w)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v * v)
+            return let(squares, lambda v: v >= F.lit(min_cosine * min_cosine - 1e-9) * (v + F.size(t) - F.size(known)))
+
+        return let(F.filter(t, is_word), bound)
+
+    has = F.array_distinct(F.flatten(F.transform("lines", lambda t: F.array_intersect(t, words))))
+    rows = rows.select("file_id", "path", has.alias("has"), F.transform(F.filter("lines", can_reach), lambda t: F.struct(t.alias("t"))).alias("lines"))
     rows = stored(rows.select("*", F.monotonically_increasing_id().alias("row")), "licence-lines")
     n = max(1, rows.count())
     df = rows.select(F.explode("has").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
