@@ -90,7 +90,7 @@ def q_labels(spark, d):
 
 def q_reallocate(spark, d):
     s = view(spark, d, "segments").select("seg_id", "no", F.when(F.col("group_id") == 0, None).otherwise(F.col("plan_id")).alias("source_extract_id"))
-    return st.reallocate(s, s.where("source_extract_id < 50 AND no > 3"))[1]
+    return st.reallocate(s, s.where("no > 3"))[1]
 
 
 def q_latest_structure(spark, d):
@@ -98,13 +98,13 @@ def q_latest_structure(spark, d):
 
 
 def q_foreign_key(spark, d):
-    gone = _l(spark, d).where("owner_id % 10 = 3").select("owner_id").distinct()
+    gone = _l(spark, d).groupBy("owner_id").agg(F.max("price").alias("m")).where("m > 104000").select("owner_id")
     return _l(spark, d).join(gone, "owner_id", "left_anti").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_schema_diff(spark, d):
-    rows = view(spark, d, "layers").select("build_id", "material")
-    a, b = rows.where("build_id % 10 < 6"), b.where("build_id % 10 > 4")
+    rows = view(spark, d, "layers")
+    a, b = rows.where("thickness <= 0.3").select("build_id", "material"), rows.where("thickness >= 0.2").select("build_id", "material")
     side = lambda x, y, k: x.exceptAll(y).groupBy("material").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(k))
     return side(a, b, "left").unionByName(side(b, a, "right"))
 
@@ -137,7 +137,7 @@ def q_segment_dedupe(spark, d):
 
 
 def q_voxels(spark, d):
-    return il.voxels(view(spark, d, "points"), 0.5).select("scan_id", "ix", "iy", "iz", "n", *[F.round(c, 4).alias(c) for c in "xyz"])
+    return il.voxels(view(spark, d, "points"), 0.5).select("scan_id", "ix", "iy", "iz", "n", *[F.round(c, 9).alias(c) for c in "xyz"])
 
 
 def q_occupancy(spark, d):
@@ -209,16 +209,16 @@ _V = {
     "part_validity": ("layers", "SELECT build_id, nettoflaeche / 100 >= 1 AND bool_or(material <> 'Holz' AND thickness * 10 - 0.5 > 0) AND bool_and(material = 'Holz' OR thickness * 10 - 0.5 >= 1) AS valid, round(coalesce(sum(thickness * 10 - 0.5) FILTER (material <> 'Holz'), 0), 6) + 0.0::DOUBLE AS total FROM layers GROUP BY build_id, nettoflaeche"),
     "layer_reindex": ("layers", "SELECT build_id, pos AS layer_index, material, CASE WHEN material = 'Holz' THEN 0 ELSE greatest(0, floor(thickness * 25 + 0.5))::BIGINT END AS thickness FROM layers"),
     "storey_labels": ("layers", f"SELECT building_id, pos, type, CASE WHEN type = 'Dach' THEN type ELSE type || ' ' || row_number() OVER (PARTITION BY building_id, type ORDER BY pos) END AS label FROM (SELECT build_id AS building_id, pos, {TYPE} AS type FROM layers)"),
-    "import_reallocation": ("segments", "WITH s AS (SELECT no, CASE WHEN group_id = 0 THEN NULL ELSE plan_id END AS e FROM segments) SELECT e AS source_extract_id, count(*) AS deleted, count(*) FILTER (no > 3) AS inserted FROM s WHERE e < 50 GROUP BY e HAVING count(*) FILTER (no > 3) > 0"),
+    "import_reallocation": ("segments", "WITH s AS (SELECT no, CASE WHEN group_id = 0 THEN NULL ELSE plan_id END AS e FROM segments) SELECT e AS source_extract_id, count(*) AS deleted, count(*) FILTER (no > 3) AS inserted FROM s WHERE e IS NOT NULL GROUP BY e HAVING count(*) FILTER (no > 3) > 0"),
     "latest_structure": ("listings", "SELECT building_id, (max((created_at, id)))[2] AS id FROM listings GROUP BY building_id"),
-    "foreign_key_cascade": ("listings", "SELECT status, count(*) AS n FROM listings WHERE owner_id % 10 <> 3 GROUP BY status"),
-    "schema_difference": ("layers", "WITH a AS (SELECT build_id, material FROM layers WHERE build_id % 10 < 6), b AS (SELECT build_id, material FROM layers WHERE build_id % 10 > 4) SELECT material, count(*) AS n, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY material UNION ALL SELECT material, count(*), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY material"),
+    "foreign_key_cascade": ("listings", "SELECT status, count(*) AS n FROM listings WHERE owner_id NOT IN (SELECT owner_id FROM listings GROUP BY owner_id HAVING max(price) > 104000) GROUP BY status"),
+    "schema_difference": ("layers", "WITH a AS (SELECT build_id, material FROM layers WHERE thickness <= 0.3), b AS (SELECT build_id, material FROM layers WHERE thickness >= 0.2) SELECT material, count(*) AS n, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY material UNION ALL SELECT material, count(*), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY material"),
     "extract_ids": ("segments", "SELECT plan_id, h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[(('0x' || h[17:17])::INT & 3) + 1] || h[18:20] || '-' || h[21:32] AS extract_id FROM (SELECT DISTINCT plan_id, sha256(plan_id || '|RG') AS h FROM segments)"),
     "run_lengths": ("segments", "SELECT plan_id, round(sum((x2 - x1) * 2 / thickness_m), 4) AS run FROM segments GROUP BY plan_id"),
     "wall_rows": ("segments", "SELECT plan_id, group_id, part_type, round(sum(length_mm / 1000), 6) AS length_m, count(*) AS n, round(avg((abs(thickness_m * 1000 - 120) >= 5)::INT), 6) AS warned FROM segments WHERE group_id > 0 GROUP BY ALL"),
     "plan_completion": ("segments", "SELECT plan_id, round(100 * avg((group_id > 0)::INT), 6) AS percent FROM segments GROUP BY plan_id"),
     "segment_dedupe": ("segments", "SELECT plan_id, count(*) AS n FROM (SELECT DISTINCT plan_id, least((round(x1, 3), round(y1, 3)), (round(x2, 3), round(y2, 3))) AS a, greatest((round(x1, 3), round(y1, 3)), (round(x2, 3), round(y2, 3))) AS b FROM segments) GROUP BY plan_id"),
-    "voxel_downsample": ("points", "SELECT scan_id, floor(x / 0.5)::BIGINT AS ix, floor(y / 0.5)::BIGINT AS iy, floor(z / 0.5)::BIGINT AS iz, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM points GROUP BY 1, 2, 3, 4"),
+    "voxel_downsample": ("points", "SELECT scan_id, floor(x / 0.5)::BIGINT AS ix, floor(y / 0.5)::BIGINT AS iy, floor(z / 0.5)::BIGINT AS iz, count(*) AS n, round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z FROM points GROUP BY 1, 2, 3, 4"),
     "occupancy_profile": ("points", "SELECT scan_id, floor(z / 0.05::DOUBLE)::BIGINT AS iz, count(DISTINCT (floor(x / 0.2::DOUBLE)::BIGINT, floor(y / 0.2::DOUBLE)::BIGINT)) AS cells FROM points GROUP BY 1, 2"),
     "profile_peaks": ("points", "WITH p AS (SELECT scan_id, floor(z / 0.25::DOUBLE)::BIGINT AS iz, count(DISTINCT (floor(x / 0.2::DOUBLE)::BIGINT, floor(y / 0.2::DOUBLE)::BIGINT)) AS cells FROM points GROUP BY 1, 2), t AS (SELECT scan_id, max(cells) AS top FROM p GROUP BY 1) SELECT p.scan_id, p.iz, p.cells FROM p JOIN t ON p.scan_id = t.scan_id LEFT JOIN p b ON b.scan_id = p.scan_id AND b.iz = p.iz - 1 LEFT JOIN p a ON a.scan_id = p.scan_id AND a.iz = p.iz + 1 WHERE p.cells >= coalesce(b.cells, 0) AND p.cells > coalesce(a.cells, 0) AND p.cells >= 0.5 * top"),
     "gap_islands": ("segments", "WITH d AS (SELECT DISTINCT plan_id, x1 FROM segments), h AS (SELECT *, CASE WHEN x1 - lag(x1) OVER (PARTITION BY plan_id ORDER BY x1) > 1.5 THEN 1 ELSE 0 END AS h FROM d), i AS (SELECT *, sum(h) OVER (PARTITION BY plan_id ORDER BY x1)::BIGINT AS island FROM h) SELECT plan_id, island, min(x1) AS start, max(x1) AS stop, count(*) AS n FROM i GROUP BY ALL"),
