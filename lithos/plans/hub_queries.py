@@ -98,7 +98,7 @@ def q_latest_structure(spark, d):
 
 
 def q_foreign_key(spark, d):
-    gone = _l(spark, d).groupBy("owner_id").agg(F.max("price").alias("m")).where("m > 104000").select("owner_id")
+    gone = _l(spark, d).groupBy("owner_id").agg(F.min("price").alias("m")).where("m < 950").select("owner_id")
     return _l(spark, d).join(gone, "owner_id", "left_anti").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -211,7 +211,7 @@ _V = {
     "storey_labels": ("layers", f"SELECT building_id, pos, type, CASE WHEN type = 'Dach' THEN type ELSE type || ' ' || row_number() OVER (PARTITION BY building_id, type ORDER BY pos) END AS label FROM (SELECT build_id AS building_id, pos, {TYPE} AS type FROM layers)"),
     "import_reallocation": ("segments", "WITH s AS (SELECT no, CASE WHEN group_id = 0 THEN NULL ELSE plan_id END AS e FROM segments) SELECT e AS source_extract_id, count(*) AS deleted, count(*) FILTER (no > 3) AS inserted FROM s WHERE e IS NOT NULL GROUP BY e HAVING count(*) FILTER (no > 3) > 0"),
     "latest_structure": ("listings", "SELECT building_id, (max((created_at, id)))[2] AS id FROM listings GROUP BY building_id"),
-    "foreign_key_cascade": ("listings", "SELECT status, count(*) AS n FROM listings WHERE owner_id NOT IN (SELECT owner_id FROM listings GROUP BY owner_id HAVING max(price) > 104000) GROUP BY status"),
+    "foreign_key_cascade": ("listings", "SELECT status, count(*) AS n FROM listings WHERE owner_id NOT IN (SELECT owner_id FROM listings GROUP BY owner_id HAVING min(price) < 950) GROUP BY status"),
     "schema_difference": ("layers", "WITH a AS (SELECT build_id, material FROM layers WHERE thickness <= 0.3), b AS (SELECT build_id, material FROM layers WHERE thickness >= 0.2) SELECT material, count(*) AS n, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY material UNION ALL SELECT material, count(*), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY material"),
     "extract_ids": ("segments", "SELECT plan_id, h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[(('0x' || h[17:17])::INT & 3) + 1] || h[18:20] || '-' || h[21:32] AS extract_id FROM (SELECT DISTINCT plan_id, sha256(plan_id || '|RG') AS h FROM segments)"),
     "run_lengths": ("segments", "SELECT plan_id, round(sum((x2 - x1) * 2 / thickness_m), 4) AS run FROM segments GROUP BY plan_id"),
