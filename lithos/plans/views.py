@@ -47,7 +47,7 @@ SELECT event_id, ts, user_id AS job_id, value,
        CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'error' END AS status
 FROM events""",
     "points": """
-SELECT l_suppkey % 8 AS scan_id, l_orderkey % 500 / 50.0 AS x, l_partkey % 400 / 50.0 AS y, l_extendedprice / 10000 AS z FROM lineitem""",
+SELECT l_suppkey % 8 AS scan_id, CAST(l_orderkey % 500 AS DOUBLE) / 50 AS x, CAST(l_partkey % 400 AS DOUBLE) / 50 AS y, l_extendedprice / 10000 AS z FROM lineitem""",
     "segments": """
 SELECT l_orderkey % 200 AS plan_id, l_orderkey AS seg_id, l_linenumber AS no, CAST(l_partkey % 50 AS DOUBLE) AS x1, CAST(l_suppkey % 50 AS DOUBLE) AS y1,
        CAST(l_partkey % 50 AS DOUBLE) + l_quantity AS x2, CAST(l_suppkey % 50 AS DOUBLE) AS y2, l_quantity * 10 AS length_mm, l_discount + 0.1 AS thickness_m,
