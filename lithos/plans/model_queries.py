@@ -177,7 +177,7 @@ SELECT build_id, round(CASE WHEN min(p) > 0 THEN exp(avg(ln(nullif(p, 0)))) ELSE
 c AS (SELECT DISTINCT bauperiode, ort, art FROM s)
 SELECT bauperiode, ort, art, b.level, coalesce(b.n_ref, 0) AS n_ref FROM (SELECT c.bauperiode, c.ort, c.art, (SELECT min((r.level, r.n_ref)) FROM r WHERE r.key IN (c.bauperiode || '|' || c.ort || '|' || c.art || '|#0', c.ort || '|' || c.art || '|#1', c.art || '|#2')) AS m FROM c) x, LATERAL (SELECT m[1] AS level, m[2] AS n_ref) b""",
     "observed_top_k": f"""WITH {S}, a AS (SELECT bauperiode, ort, art, array_to_string(seq, ';') AS seq, sum(nettoflaeche) AS area FROM s GROUP BY ALL)
-SELECT bauperiode, ort, art, rank, seq, round(area / total, 8) AS share FROM (SELECT *, sum(area) OVER (PARTITION BY bauperiode, ort, art) AS total, row_number() OVER (PARTITION BY bauperiode, ort, art ORDER BY area DESC, seq) AS rank FROM a) WHERE rank <= 3""",
+SELECT bauperiode, ort, art, rank, seq, round(area / total, 8) AS share FROM (SELECT *, sum(area) OVER (PARTITION BY bauperiode, ort, art) AS total, (row_number() OVER (PARTITION BY bauperiode, ort, art ORDER BY area DESC, seq))::INT AS rank FROM a) WHERE rank <= 3""",
     "mean_thickness_backoff": f"""WITH {OBS}, a AS (SELECT DISTINCT bauperiode, ort, art, material FROM layers),
 f AS (SELECT a.*, v.level, o.t, row_number() OVER (PARTITION BY a.bauperiode, a.ort, a.art, a.material ORDER BY v.level) AS rn FROM a, {LV} JOIN o ON o.level = v.level AND o.key = {KEY.replace('level', 'v.level')} AND o.material = a.material WHERE o.n >= 2 OR v.level = 3)
 SELECT bauperiode, ort, art, material, level, round(t, 8) AS mean_thickness FROM f WHERE rn = 1""",
