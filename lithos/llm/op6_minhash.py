@@ -1,18 +1,22 @@
 """Operator 6: near-duplicates by Order MinHash, verified by banded alignment.
 
-Shingles are five words, labelled by their occurrence within the text. For each of SKETCHES hash functions the ORDER
+Shingles are three words, labelled by their occurrence within the text. For each of SKETCHES hash functions the ORDER
 smallest labelled shingles are kept in the order in which they stand in the text, so the sketch follows edit similarity
-and not only the set of shingles. Texts that agree in a sketch are candidates; a candidate pair is linked if the word
-sequences' edit similarity, 1 - distance / longer length, is at least SIMILARITY, as found by a banded alignment.
-
-Equal texts are one node from the start. In a group of texts that agree in a sketch, small groups compare every pair and
-large ones compare with the group's smallest node: a group of thousands of near copies costs thousands of alignments, not
-millions. Members of a large group that its smallest node does not explain are dealt again by two, then three sketches,
-until their groups are small or explained; what remains then is compared with a new smallest node, round by round.
-Classes are the connected components of the links.
-
-Recall: texts with shingle similarity J agree in one of m sketches with probability about 1 - (1 - J^3)^m; that is above
-0.98 for J = 0.5 and m = 32. Texts below five words have one shingle of all their words.
+and not only the set of shingles. Short texts, of which a changed word takes many shingles, have further sketches of
+pairs of words and of single words (FAMILIES). Texts that agree in a sketch are candidates; a candidate pair is linked if
+the word sequences' edit similarity, 1 - distance / longer length, is at least SIMILARITY, as found by a banded alignment.
+
+Equal texts are one node from the start. Classes are the connected components of the links, so a pair whose nodes are
+already connected needs no alignment. Three passes find the components of all candidate pairs: each group of texts that
+agree in one of the first FEW sketches against its smallest node; each group against its smallest node and every pair of
+small groups; then, in larger groups that still hold several components, every node outside the group's commonest
+component against all nodes of other components in the group. A pair of a group that no pass compares is connected, so
+no candidate pair is left out. The last pass runs in blocks against blocks of similar lengths, where word counts rule
+out most pairs; its work is the product of both sides, large only where many texts share most of their words unlinked.
+
+Recall: texts with shingle similarity J agree in one of m sketches with probability about 1 - (1 - J^2)^m; words replaced
+at random at an edit similarity of 0.8 leave J = 0.34 and 0.98 for m = 32. Texts below three words have one shingle of all
+their words.
 
 Edge cases: null and empty texts are equal texts of one class; white-space variants of an empty text have no words and
 stay alone; repeated rows and equal doc_ids keep their own rows; a class whose ids are all null has a null class_id;
@@ -32,17 +36,19 @@ from lithos.llm.components import components
 from lithos.llm.shared import stored, table
 from lithos.llm.wordhash import banded_distance, mix, word_hashes
 
-SHINGLE = 5
+SHINGLE = 3
 SKETCHES = 32
-ORDER = 3
+ORDER = 2
+#: (longest text in words, words a shingle, sketches, order): the first for all texts, further ones for short texts.
+FAMILIES = [(None, SHINGLE, SKETCHES, ORDER), (64, 2, 16, 2), (24, 1, 16, 2)]
 SIMILARITY = 0.8
 #: Groups up to this size compare every pair.
 SMALL = 6
-#: Further sketches that a member of an unexplained group is dealt by. Few suffice: texts that are alike beyond what the
-#: whole group shares also agree in sketches of their own, whose groups are small and fully compared.
-FURTHER = 2
-DEPTH = 3
-ROUNDS = 3
+#: Sketches of the first pass, which connects most of the large families.
+FEW = 4
+#: Nodes of a block of the last pass, and counters of words by hash that bound a pair's distance there.
+BLOCK_NODES = 128
+COUNTERS = 256
 BLOCK_WORDS = 200_000
 
 
@@ -72,9 +78,9 @@ def _labelled(words: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple
     return h, upto
 
 
-def sketches(words: np.ndarray, offsets: np.ndarray, m: int = SKETCHES, order: int = ORDER) -> np.ndarray:
-    """(texts, m) keys; texts without words get distinct rows of zeros that nobody reads."""
-    h, upto = _labelled(words, offsets)
+def sketches(words: np.ndarray, offsets: np.ndarray, m: int = SKETCHES, order: int = ORDER, k: int = SHINGLE, first: int = 0) -> np.ndarray:
+    """(texts, m) keys of the hash functions from first on; texts without words get rows of zeros that nobody reads."""
+    h, upto = _labelled(words, offsets, k)
     n = np.diff(upto)
     out = np.zeros((len(n), m), np.uint64)
     some = np.flatnonzero(n)
@@ -85,7 +91,7 @@ def sketches(words: np.ndarray, offsets: np.ndarray, m: int = SKETCHES, order: i
     place = (np.arange(len(h)) - np.repeat(start, size)).astype(np.uint64)
     high, low = np.uint64(~((1 << bits) - 1) & 0xFFFFFFFFFFFFFFFF), np.uint64((1 << bits) - 1)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for j in range(m):
+    for column, j in enumerate(range(first, first + m)):
         v = mix((h ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x2545F4914F6CDD1D)) & high | place
         picked = np.full((len(some), order), len(h), np.int64)
         for i in range(order):
@@ -98,10 +104,26 @@ def sketches(words: np.ndarray, offsets: np.ndarray, m: int = SKETCHES, order: i
         key = np.full(len(some), np.uint64(j + 1))
         for i in range(order):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + got[:, i])
-        out[some, j] = key
+        out[some, column] = key
     return out
 
 
+def all_sketches(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all families, offsets of the texts); the first family's stand first."""
+    n = np.diff(offsets)
+    parts, owner, first = [], [], 0
+    for longest, k, m, order in FAMILIES:
+        rows = np.arange(len(n)) if longest is None else np.flatnonzero((n > 0) & (n <= longest))
+        size = n[rows]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(upto[-1]) + np.repeat(offsets[:-1][rows] - upto[:-1], size)
+        parts.append(sketches(words[at], upto, m, order, k, first).reshape(-1))
+        owner.append(np.repeat(rows, m))
+        first += m
+    who = np.concatenate(owner)
+    return np.concatenate(parts)[np.argsort(who, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(n)))))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, node (MD5 of the text), n (words) and keys of each document."""
 
@@ -111,43 +133,114 @@ def sketched(docs: DataFrame) -> DataFrame:
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_WORDS, "right")) - 1)
-                keys = sketches(words[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                flat = pa.array(keys.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "node")), pa.array(np.diff(offsets[lo : hi + 1]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), flat)], names=["doc_id", "node", "n", "keys"])
+                keys, upto = all_sketches(words[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                flat = pa.array(keys.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "node")), pa.array(np.diff(offsets[lo : hi + 1]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), flat)], names=["doc_id", "node", "n", "keys"])
                 lo = hi
 
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("node"), text.alias("text")).mapInArrow(task, "doc_id long, node string, n long, keys array<long>")
 
 
-def group_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members(key, node, n) -> (pairs a, b to align, large groups' members key, node, leader).
+def grouped(members: DataFrame) -> DataFrame:
+    """members(place, key, node, n) -> the members of groups of two or more, with size and leader (the smallest node).
 
-    The size and smallest node of a group are partial aggregates, and only members of groups of two or more are joined
-    with them. Pairs whose lengths alone rule out the similarity are left out.
+    Size and leader are partial aggregates, and only they are joined with the members.
     """
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("least")).where("size > 1")
-    inside = members.join(groups, "key").select("key", "node", "n", "size", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n"))
-    inside = stored(inside, "groups")
-    star = inside.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("an"), F.col("n").alias("bn"))
-    small = inside.where(f"size BETWEEN 3 AND {SMALL}")
-    rest = small.where("node <> leader").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))  # at most SMALL - 1
-    rest = rest.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+    inside = members.join(groups, "key").select("place", "key", "node", "n", "size", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n"))
+    return stored(inside, "groups")
+
+
+def _close(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs whose lengths alone do not rule out the similarity."""
     close = F.abs(F.col("an") - F.col("bn")) <= F.lit(1 - SIMILARITY + 1e-9) * F.greatest("an", "bn")
-    pairs = star.union(rest).where(close & (F.least("an", "bn") > 0)).select("a", "b").distinct()
-    return pairs, inside.where(f"size > {SMALL}").select("key", "node", "n", "leader")
+    return pairs.where(close & (F.least("an", "bn") > 0)).select("a", "b").distinct()
+
+
+def star_pairs(inside: DataFrame) -> DataFrame:
+    """an, bn, a, b: each member with its group's leader."""
+    return inside.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("an"), F.col("n").alias("bn"))
+
+
+def small_pairs(inside: DataFrame) -> DataFrame:
+    """an, bn, a, b: the pairs of small groups without their leaders."""
+    small = inside.where(f"size BETWEEN 3 AND {SMALL} AND node <> leader")
+    rest = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))  # at most SMALL - 1
+    rest = rest.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node < y.node")
+    return rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+
+
+def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are not in one component yet."""
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}l"))
+    both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return both.where(F.coalesce("al", "a") != F.coalesce("bl", "b")).select("a", "b")
+
+
+def divided(inside: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, n, comp, hub, others: members of large groups of several components; groups of the same members once.
+
+    hub is the component with the most members, others the number of members outside of it.
+    """
+    large = inside.where(f"size > {SMALL}").select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp"))
+    parts = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"))
+    groups = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.expr("bit_xor(x)").alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    once = groups.groupBy("size", "x").agg(F.min(F.struct("key", F.col("most.comp").alias("hub"), (F.col("size") - F.col("most.c")).alias("others"))).alias("g")).select("g.*")
+    return stored(large.join(once, "key"), "divided")
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """rows(key, node, n, comp, hub, others, bag) -> a, b: every pair of a group across components, but for those whose
+    lengths or word counts alone rule out the similarity."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_NODES)
+    deal = F.xxhash64("node")
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))))  # similar lengths are one band apart at most
+    counts = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"))
+    some = F.struct("node", "n", "comp", "bag")
+    right = rows.join(counts, ["key", "band"]).groupBy("key", "band", F.pmod(deal, blocks("m")).alias("block")).agg(F.collect_list(some).alias("right"))
+    left = rows.where("comp <> hub").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    left = left.groupBy("key", "band", F.pmod(deal, blocks("others")).alias("_part")).agg(F.collect_list(some).alias("left")).drop("_part")
+    left = left.join(counts, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks("m") - 1)))
+
+    def side(cells: pa.Array) -> tuple:
+        bags = np.frombuffer(b"".join(cells.field("bag").to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
+        return np.array(cells.field("node").to_pylist()), cells.field("n").to_numpy(), np.array(cells.field("comp").to_pylist()), bags
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, un, uc, ub = side(batch.column("left")[i].values)
+                v, vn, vc, vb = side(batch.column("right")[i].values)
+                a, b = [], []
+                for k in range(len(u)):
+                    most = ((1 - SIMILARITY) * np.maximum(vn, un[k]) + 1e-9).astype(np.int64)
+                    some = np.flatnonzero((vc != uc[k]) & (np.abs(vn - un[k]) <= most))
+                    if not len(some):
+                        continue
+                    d = vb[some] - ub[k]
+                    # words of one text that the other lacks must each be edited
+                    some = some[np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= most[some]]
+                    a += [min(u[k], x) for x in v[some]]
+                    b += [max(u[k], x) for x in v[some]]
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return left.join(right, ["key", "band", "block"]).select("left", "right").mapInArrow(task, "a string, b string").distinct()
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """node, words (32-bit word hashes) of texts(node, text)."""
+    """node, words (32-bit word hashes) and bag (word counts by hash, 255 at most) of texts(node, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, offsets = word_hashes(batch.column("text"))
             low = words.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([low[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["node", "words"])
+            parts = [low[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            bags = [np.minimum(np.bincount(x % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes() for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(bags, pa.binary())], names=["node", "words", "bag"])
 
-    return docs.mapInArrow(task, "node string, words binary")
+    return docs.mapInArrow(task, "node string, words binary, bag binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -179,43 +272,36 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return with_x.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(task, "a string, b string")
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: linked nodes of the documents, whose sketches are rows."""
+def connected(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, label: the components of all candidate pairs of the documents, whose sketches are rows, that are similar."""
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    members = nodes.select("node", "n", F.explode("keys").alias("key"))
+    inside = grouped(nodes.select("node", "n", F.posexplode("keys").alias("place", "key")))
     text = F.coalesce("text", F.lit(""))
     all_texts = docs.select(F.md5(text).alias("node"), text.alias("text"))
-    found, seen, groups = None, None, None
-    for depth in range(DEPTH + ROUNDS):
-        pairs, large = group_pairs(members)
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if seen is not None and pairs.isEmpty() and large.isEmpty():
-            break
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = stored(tokens(all_texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))), "texts")
-        new = stored(verified(pairs, texts), "verified")
-        found = new if found is None else found.union(new)
-        seen = pairs if seen is None else seen.union(pairs)
-        explained = found.select(F.col("a").alias("leader"), F.col("b").alias("node"))
-        groups = stored(large.where("node <> leader").join(explained, ["leader", "node"], "left_anti").select("key", "node", "n"), "unexplained")
-        if groups.isEmpty():
-            break
-        if depth < DEPTH - 1:  # deal them by one more sketch
-            more = nodes.select("node", "keys")
-            lo = 1 + depth * FURTHER
-            at = lambda i: F.get("keys", F.pmod(F.col("place") + i, F.lit(SKETCHES)))
-            place = F.pmod(F.col("key"), F.lit(SKETCHES)).cast("int")
-            dealt = groups.join(more, "node").withColumn("place", place)
-            members = dealt.select("node", "n", F.explode(F.array(*[F.xxhash64("key", at(i)) for i in range(lo, lo + FURTHER)])).alias("key")).distinct()
-        else:
-            members = groups
-    return found
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return stored(tokens(all_texts.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))), "texts")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        return stored(verified(pairs, texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))), "verified")
+
+    found = linked(_close(star_pairs(inside.where(F.col("place") < FEW))))
+    labels = components(found)
+    found = found.union(linked(unconnected(_close(star_pairs(inside).union(small_pairs(inside))), labels)))
+    labels = components(found)
+    rest = divided(inside, labels)
+    if rest.isEmpty():
+        return labels
+    texts = texts_of(rest.select("node"))
+    pairs = stored(block_pairs(rest.join(texts.select("node", "bag"), "node")), "pairs")
+    return components(found.union(stored(verified(pairs, texts), "verified")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), class_size, n_words and the class itself, of every document."""
     rows = stored(sketched(docs), "sketches")
-    labels = components(links(docs, rows))
+    labels = connected(docs, rows)
     named = rows.select("doc_id", "node", "n").join(labels, "node", "left").select("doc_id", F.col("n").alias("n_words"), "node", F.coalesce("label", "node").alias("class"))
     named = stored(named, "classed")
     sizes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).withColumnRenamed("class", "_class")

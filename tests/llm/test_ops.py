@@ -190,6 +190,38 @@ def test_minhash_against_brute_force(spark):
     assert got == {i: first[find(i)] for i in range(len(texts))}
 
 
+def minhash_classes(spark, texts):
+    """doc_id -> class_id by the operator and by brute force over all pairs."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in op6_minhash.near_duplicates(df).collect()}
+    words, parent = [np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint32) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and op6_minhash.similar(words[i], words[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return got, {i: find(i) for i in range(len(texts))}
+
+
+def edited(words, n, r):
+    w = words[:]
+    for i in r.sample(range(len(w)), n):
+        w[i] = "".join(r.choice("klmnop") for _ in range(8))
+    return " ".join(w)
+
+
+def test_minhash_family_of_far_copies(spark):
+    r, base = random.Random(1), prose(150, 4000).split()
+    got, want = minhash_classes(spark, [" ".join(base)] + [edited(base, 18, r) for _ in range(250)])
+    assert set(want.values()) == {0} and got == want
+
+
 def test_minhash_odd(odd):
     got = op6_minhash.near_duplicates(odd)
     assert got.count() == len(ODD) and got.where("doc_id = 5 AND class_size = 2").count() == 2 and got.where("doc_id = 2 AND class_id = 2 AND class_size = 2").count() == 1
