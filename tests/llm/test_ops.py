@@ -222,6 +222,15 @@ def test_minhash_family_of_far_copies(spark):
     assert set(want.values()) == {0} and got == want
 
 
+def test_minhash_shared_passage(spark):
+    r, passage, texts = random.Random(2), prose(117, 4100).split(), []
+    for i in range(150):
+        base = passage + prose(33, 4200 + i).split()
+        texts += [" ".join(base), edited(base, 12, r)]
+    got, want = minhash_classes(spark, texts)
+    assert len(set(want.values())) >= 100 and got == want
+
+
 def test_minhash_odd(odd):
     got = op6_minhash.near_duplicates(odd)
     assert got.count() == len(ODD) and got.where("doc_id = 5 AND class_size = 2").count() == 2 and got.where("doc_id = 2 AND class_id = 2 AND class_size = 2").count() == 1
