@@ -231,6 +231,17 @@ def test_minhash_shared_passage(spark):
     assert len(set(want.values())) >= 100 and got == want
 
 
+@pytest.mark.parametrize(("n", "edits"), [(10, 1), (10, 2), (20, 4), (40, 8), (150, 30), (150, 24)])
+def test_minhash_recall_of_sketches(n, edits):
+    r, hit = random.Random(n + edits), 0
+    for i in range(200):
+        base = prose(n, 5000 + i)
+        words, offsets = op6_minhash.word_hashes(pa.array([base, edited(base.split(), edits, r)]))
+        keys, upto = op6_minhash.all_sketches(words, offsets)
+        hit += bool(set(keys[: upto[1]].tolist()) & set(keys[upto[1] :].tolist()))
+    assert hit >= 190
+
+
 def test_minhash_odd(odd):
     got = op6_minhash.near_duplicates(odd)
     assert got.count() == len(ODD) and got.where("doc_id = 5 AND class_size = 2").count() == 2 and got.where("doc_id = 2 AND class_id = 2 AND class_size = 2").count() == 1
