@@ -15,14 +15,12 @@ ART = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AW' WHEN 'BUILDING' THEN 'IW' W
 MATERIAL = "CASE p_type WHEN 'MEDIUM' THEN 'Ziegel' WHEN 'STANDARD' THEN 'Putz' WHEN 'LARGE' THEN 'STB' WHEN 'PROMO' THEN 'Holz' WHEN 'SMALL' THEN 'Styropor' ELSE 'Estrich' END"
 
 VIEWS = {
-    # one row per layer of a catalog build-up, in order; at most five layers
+    # one row per layer of a catalog build-up, in order; all of its layers
     "layers": f"""
-SELECT build_id, bauperiode, ort, art, nettoflaeche, pos, material, thickness FROM (
-  SELECT o_orderkey AS build_id, {PERIOD} AS bauperiode, {ORT} AS ort, {ART} AS art, o_totalprice / 1000 AS nettoflaeche,
-         CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS INT) AS pos,
-         {MATERIAL} AS material, l_quantity / 100 AS thickness
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey) x
-WHERE pos <= 5""",
+SELECT o_orderkey AS build_id, {PERIOD} AS bauperiode, {ORT} AS ort, {ART} AS art, o_totalprice / 1000 AS nettoflaeche,
+       CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS INT) AS pos,
+       {MATERIAL} AS material, l_quantity / 100 AS thickness
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
     "buildings": """
 SELECT c_custkey AS bw_geb_id,
        CASE c_custkey % 7 WHEN 0 THEN '0' WHEN 1 THEN '0,1' WHEN 2 THEN '0,2' WHEN 3 THEN '0,1,2' WHEN 4 THEN '2,4' WHEN 5 THEN '5' ELSE '3,4' END AS bp,

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from lithos import catalog
+from lithos.plans.views import view
 
 DIR = "/root/testdata/sf0.001"
 
@@ -32,3 +33,11 @@ def test_oracle(spark, duck, name):
     ours, theirs = catalog.QUERIES[name](spark, DIR).toPandas(), duck.sql(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours, sorted(ours.columns)) == rows(theirs, sorted(ours.columns))
+
+
+def test_layers_are_whole(spark, duck):
+    """The view has every layer of a build-up, counted in the tables and not by the view's own SQL."""
+    n, longest = duck.sql("SELECT sum(c), max(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey)").fetchall()[0]
+    got = view(spark, DIR, "layers").groupBy("build_id").count().agg({"count": "sum", "build_id": "count"}).collect()[0]
+    assert longest > 5 and got["sum(count)"] == n
+    assert view(spark, DIR, "layers").agg({"pos": "max"}).collect()[0][0] == longest
