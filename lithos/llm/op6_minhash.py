@@ -11,8 +11,10 @@ already connected needs no alignment. Three passes find the components of all ca
 agree in one of the first FEW sketches against its smallest node; each group against its smallest node and every pair of
 small groups; then, in larger groups that still hold several components, every node outside the group's commonest
 component against all nodes of other components in the group. A pair of a group that no pass compares is connected, so
-no candidate pair is left out. The last pass runs in blocks against blocks of similar lengths, where word counts rule
-out most pairs; its work is the product of both sides, large only where many texts share most of their words unlinked.
+no candidate pair is left out. The last pass runs in cells of bounded size, where the exact number of words in common
+rules out most pairs by one matrix product, a pair that meets in several groups is aligned in one of them, and only links
+that join components leave the cell. Its matrix products grow with the nodes outside a group's commonest component times
+the group; alignments only with pairs that share four fifths of their words and are not connected.
 
 Recall: texts with shingle similarity J agree in one of m sketches with probability about 1 - (1 - J^2)^m; words replaced
 at random at an edit similarity of 0.8 leave J = 0.34 and 0.98 for m = 32. Texts below three words have one shingle of all
@@ -46,9 +48,10 @@ SIMILARITY = 0.8
 SMALL = 6
 #: Sketches of the first pass, which connects most of the large families.
 FEW = 4
-#: Nodes of a block of the last pass, and counters of words by hash that bound a pair's distance there.
-BLOCK_NODES = 128
-COUNTERS = 256
+#: Nodes and words of one side of a cell of the last pass, and words of one matrix in it.
+CELL_NODES = 512
+CELL_WORDS = 1 << 20
+MATRIX_WORDS = 1 << 14
 BLOCK_WORDS = 200_000
 
 
@@ -179,68 +182,119 @@ def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def divided(inside: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node, n, comp, hub, others: members of large groups of several components; groups of the same members once.
+    """key, node, n, comp, hub, one_cell: members of large groups of several components; groups of the same members once.
 
-    hub is the component with the most members, others the number of members outside of it.
+    hub is the component with the most members; one_cell tells whether the whole group fits into a cell.
     """
     large = inside.where(f"size > {SMALL}").select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp"))
-    parts = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"))
-    groups = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.expr("bit_xor(x)").alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    once = groups.groupBy("size", "x").agg(F.min(F.struct("key", F.col("most.comp").alias("hub"), (F.col("size") - F.col("most.c")).alias("others"))).alias("g")).select("g.*")
+    parts = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.expr("bit_xor(xxhash64(node))").alias("x"))
+    groups = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.sum("w").alias("words"), F.expr("bit_xor(x)").alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    once = groups.groupBy("size", "x").agg(F.min(F.struct("key", F.col("most.comp").alias("hub"), ((F.col("size") <= CELL_NODES) & (F.col("words") <= CELL_WORDS)).alias("one_cell"))).alias("g")).select("g.*")
     return stored(large.join(once, "key"), "divided")
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """rows(key, node, n, comp, hub, others, bag) -> a, b: every pair of a group across components, but for those whose
-    lengths or word counts alone rule out the similarity."""
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK_NODES)
-    deal = F.xxhash64("node")
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))))  # similar lengths are one band apart at most
-    counts = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"))
-    some = F.struct("node", "n", "comp", "bag")
-    right = rows.join(counts, ["key", "band"]).groupBy("key", "band", F.pmod(deal, blocks("m")).alias("block")).agg(F.collect_list(some).alias("right"))
-    left = rows.where("comp <> hub").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    left = left.groupBy("key", "band", F.pmod(deal, blocks("others")).alias("_part")).agg(F.collect_list(some).alias("left")).drop("_part")
-    left = left.join(counts, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks("m") - 1)))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)): how many words two texts have in common, each counted as often as both have it."""
+
+    def counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        # a word's second occurrence in a text is another word than its first
+        words, rows = np.concatenate(texts).astype(np.uint64), np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        order = np.lexsort((words, rows))
+        words, rows = words[order], rows[order]
+        at = np.arange(len(words))
+        head = np.concatenate(([True], (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])))
+        nth = at - np.maximum.accumulate(np.where(head, at, 0))
+        return words << np.uint64(32) | nth.astype(np.uint64), rows
+
+    (aw, ar), (bw, br) = counted(a), counted(b)
+    both = np.unique(aw)
+    at = np.minimum(np.searchsorted(both, bw), len(both) - 1)
+    both = np.unique(both[at[both[at] == bw]])
+    out = np.zeros((len(a), len(b)), np.float32)
+    for words in np.array_split(both, max(1, -(-len(both) // MATRIX_WORDS))):
+        if len(words):
+            sides = []
+            for w, r, n in ((aw, ar, len(a)), (bw, br, len(b))):
+                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                hit = words[at] == w
+                side = np.zeros((n, len(words)), np.float32)
+                side[r[hit], at[hit]] = 1
+                sides.append(side)
+            out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def cell_links(left: list[tuple], right: list[tuple], key: int) -> list[tuple[str, str]]:
+    """Links that join the components of left and right, as few as do, of a group's key.
+
+    Both sides are tuples of node, component, words, the keys of the node's groups and whether it is outside the hub.
+    Every pair of different components is compared unless a bound rules it out, a link found before has joined it, or it
+    is compared elsewhere: in the group of the least key that both nodes have, or from the other side.
+    """
+    parent: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    an, bn = (np.array([len(x[2]) for x in side]) for side in (left, right))
+    longer = np.maximum(an[:, None], bn[None, :])
+    most = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+    least = longer - overlaps([x[2] for x in left], [x[2] for x in right])  # words that the other text lacks must each be edited
+    out = []
+    for i, (u, uc, x, ukeys, _) in enumerate(left):
+        near = np.flatnonzero(least[i] <= most[i])
+        for j in near[np.argsort(least[i][near], kind="stable")].tolist():
+            v, vc, y, vkeys, outside = right[j]
+            if outside and v < u or (p := find(uc)) == (q := find(vc)) or min(ukeys & vkeys) != key:
+                continue
+            if banded_distance(x.tolist(), y.tolist(), int(most[i, j])) <= most[i, j]:
+                parent[p] = q
+                out.append((u, v))
+    return out
 
-    def side(cells: pa.Array) -> tuple:
-        bags = np.frombuffer(b"".join(cells.field("bag").to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
-        return np.array(cells.field("node").to_pylist()), cells.field("n").to_numpy(), np.array(cells.field("comp").to_pylist()), bags
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                u, un, uc, ub = side(batch.column("left")[i].values)
-                v, vn, vc, vb = side(batch.column("right")[i].values)
-                a, b = [], []
-                for k in range(len(u)):
-                    most = ((1 - SIMILARITY) * np.maximum(vn, un[k]) + 1e-9).astype(np.int64)
-                    some = np.flatnonzero((vc != uc[k]) & (np.abs(vn - un[k]) <= most))
-                    if not len(some):
-                        continue
-                    d = vb[some] - ub[k]
-                    # words of one text that the other lacks must each be edited
-                    some = some[np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= most[some]]
-                    a += [min(u[k], x) for x in v[some]]
-                    b += [max(u[k], x) for x in v[some]]
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-    return left.join(right, ["key", "band", "block"]).select("left", "right").mapInArrow(task, "a string, b string").distinct()
+def cell_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """divided rows -> a, b: links that join the components of every group.
+
+    The nodes outside a group's hub meet all its nodes of similar length in cells of about CELL_NODES nodes and CELL_WORDS
+    words a side; a cell returns fewer links than it has components, however many of its pairs are similar.
+    """
+    # similar lengths are one band apart at most
+    rows = rows.withColumn("band", F.when(F.col("one_cell"), 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(1.26)))))
+    left, right = rows.where("comp <> hub").withColumnRenamed("band", "lband"), rows.withColumnRenamed("band", "rband")
+    cuts = lambda name: F.greatest(F.ceil(F.count(F.lit(1)) / CELL_NODES), F.ceil(F.sum("n") / CELL_WORDS)).alias(name)
+    lefts = left.groupBy("key", "lband").agg(cuts("parts")).withColumn("rband", F.explode(F.array(F.col("lband") - 1, F.col("lband"), F.col("lband") + 1)))
+    grid = stored(lefts.join(right.groupBy("key", "rband").agg(cuts("blocks")), ["key", "rband"]), "grid")
+    deal, upto = F.xxhash64("node"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    cell = ["key", "lband", "rband", "part", "block"]
+    left = left.join(grid, ["key", "lband"]).withColumn("part", F.pmod(deal, F.col("parts"))).withColumn("block", upto("blocks"))
+    right = right.join(grid, ["key", "rband"]).withColumn("block", F.pmod(deal, F.col("blocks"))).withColumn("part", upto("parts"))
+    keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most a key of each sketch
+    words = stored(texts.select("node", "words").join(keys, "node"), "words")
+    sides = [x.select(*cell, "node", "comp", (F.col("comp") != F.col("hub")).alias("outside")).join(words, "node").toDF("node", *cell, "comp", "outside", "words", "keys") for x in (left, right)]
+
+    def task(a: pa.Table, b: pa.Table) -> pa.Table:
+        side = lambda t: [(u, c, np.frombuffer(w, np.uint32), frozenset(k), o) for u, c, w, k, o in zip(*(t.column(x).to_pylist() for x in ("node", "comp", "words", "keys", "outside")), strict=True)]
+        found = cell_links(side(a), side(b), a.column("key")[0].as_py()) if a.num_rows and b.num_rows else []
+        return pa.table({"a": pa.array([min(x) for x in found], pa.string()), "b": pa.array([max(x) for x in found], pa.string())})
+
+    return sides[0].groupBy(*cell).cogroup(sides[1].groupBy(*cell)).applyInArrow(task, "a string, b string")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """node, words (32-bit word hashes) and bag (word counts by hash, 255 at most) of texts(node, text)."""
+    """node and words (32-bit word hashes) of texts(node, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, offsets = word_hashes(batch.column("text"))
             low = words.astype(np.uint32)
-            parts = [low[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            bags = [np.minimum(np.bincount(x % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes() for x in parts]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(bags, pa.binary())], names=["node", "words", "bag"])
+            parts = [low[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(parts, pa.binary())], names=["node", "words"])
 
-    return docs.mapInArrow(task, "node string, words binary, bag binary")
+    return docs.mapInArrow(task, "node string, words binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -294,8 +348,7 @@ def connected(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if rest.isEmpty():
         return labels
     texts = texts_of(rest.select("node"))
-    pairs = stored(block_pairs(rest.join(texts.select("node", "bag"), "node")), "pairs")
-    return components(found.union(stored(verified(pairs, texts), "verified")))
+    return components(found.union(stored(cell_pairs(rest, texts), "cells")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -304,21 +357,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected(docs, rows)
     named = rows.select("doc_id", "node", "n").join(labels, "node", "left").select("doc_id", F.col("n").alias("n_words"), "node", F.coalesce("label", "node").alias("class"))
     named = stored(named, "classed")
-    sizes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).withColumnRenamed("class", "_class")
-    # most classes have one row, whose figures need no join
-    many = sizes.where("class_size > 1")
+    # most classes have one row, whose figures need no join; the others' are written first, so that a large class can be split
+    many = stored(named.groupBy(F.col("class").alias("_class")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"), "classes")
     out = named.join(many, named["class"] == many["_class"], "left")
     return out.select("doc_id", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_words", "node", "class")
 
 
 def first_documents(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id."""
+    """One row of each class: of the rows with its smallest doc_id the one with the least MD5 of the text, and of those the
+    one with the least hash of all columns. Rows that are equal in every column are interchangeable."""
     classes = near_duplicates(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), "node", F.col("class").alias("_class"), (F.col("class_size") > 1).alias("_many")).distinct()
-    text = F.md5(F.coalesce("text", F.lit("")))
-    kept = docs.withColumn("_node", text).join(keep, F.col("_node").eqNullSafe(F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.where("NOT _many")
-    return once.unionByName(kept.where("_many").dropDuplicates(["_class"])).select(*docs.columns)
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node", "class", (F.col("class_size") > 1).alias("many")).distinct()
+    row = F.struct(*docs.columns).alias("row")  # packed, so that no column of the documents can clash
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("row_id"), F.md5(F.coalesce("text", F.lit(""))).alias("row_node"), F.xxhash64(*docs.columns).alias("hash"))
+    kept = rows.join(keep, (F.col("row_node") == F.col("node")) & F.col("row_id").eqNullSafe(F.col("doc_id"))).select("row", "class", "many", F.struct("node", "hash").alias("order"))
+    once = kept.where("NOT many").select("row")
+    return once.union(kept.where("many").groupBy("class").agg(F.min_by("row", "order").alias("row")).select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
