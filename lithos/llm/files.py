@@ -8,7 +8,8 @@ from contextlib import contextmanager
 from pyarrow import fs
 
 
-def _at(uri: str) -> tuple[fs.FileSystem, str]:
+def at(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -22,7 +23,7 @@ def write_whole(folder: str, name: str, data: bytes) -> str:
 @contextmanager
 def writer(folder: str, name: str):
     """A stream to a file of this attempt's own, and its path."""
-    where, base = _at(folder)
+    where, base = at(folder)
     where.create_dir(base, recursive=True)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     with where.open_output_stream(f"{base}/{path.rpartition('/')[2]}") as out:
@@ -30,7 +31,7 @@ def writer(folder: str, name: str):
 
 
 def reader(path: str):
-    where, p = _at(path)
+    where, p = at(path)
     return where.open_input_stream(p)
 
 

@@ -6,13 +6,16 @@ it in its source's random order. The cut at the source's budget needs only that
 own words goes on into a second epoch. A source that holds a third of all rows is spread over all its blocks.
 
 Edge cases: a null text or an empty one has size 0 and takes 0; null sources form one source, ordered last; a null
-doc_id has its own key; repeated rows share a key and follow one another; an empty table gives no rows; further columns
-of the input are not read, so their names cannot clash.
+doc_id takes its key from the text; rows of one doc_id share a key and follow one another by size and text, each with its
+own place; an empty table gives no rows; further columns go through mixed_documents packed, so their names cannot clash.
+
+Windows over sources and over a source's blocks run in one task each: a row per source and at most 65,536 rows per source,
+whatever the number of documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,26 +46,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     return per.withColumn("target", F.coalesce(F.least(cap.cast("double"), top * F.col("weight")), cap.cast("double"))).select("source_key", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    sized = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key"), n_words(F.col("text")).alias("size"), key.alias("key"))
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: str = "mix", carried: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per document: the carried columns, doc_id, source, size, source_size, target, taken."""
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))
+    names = docs.select(*carried).columns
+    sized = docs.select(*carried, "doc_id", "source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key"), n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), ident)).alias("key"), F.xxhash64("text").alias("tie"))
     sized = stored(sized.withColumn("block", F.substring("key", 1, BLOCK_DIGITS)), "mix")
     block = W.partitionBy("source_key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = sized.groupBy("source_key", "block").agg(F.sum("size").alias("in_block")).select("source_key", "block", F.coalesce(F.sum("in_block").over(block), F.lit(0)).alias("before_block"))
     blocks = blocks.join(source_targets(sized, weights, share, epochs), "source_key")
-    row = W.partitionBy("source_key", "block").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    row = W.partitionBy("source_key", "block").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     out = sized.withColumn("in_order", F.coalesce(F.sum("size").over(row), F.lit(0))).join(blocks, ["source_key", "block"])
     at, budget = F.col("before_block") + F.col("in_order"), F.floor(F.col("target") + 0.5)
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), budget - e * F.col("source_size") - at)) for e in range(epochs)), F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(*names, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix takes, once per epoch; a document at the cut goes in whole."""
-    taken = mix(docs, **how).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_taken_id")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of docs that the mix takes, once per epoch, each row by its own place; a document at the cut goes in whole."""
+    row = F.struct(*docs.columns).alias("carried_row")  # packed, so that no column of the documents can clash
+    taken = mix(docs, carried=(row,), **how).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return taken.select("carried_row", F.explode(F.sequence(F.lit(1), copies))).select("carried_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
 w AS (SELECT *, CASE (rn - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 l AS (SELECT *, 2 * source_size / weight AS stops,

@@ -45,16 +45,21 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
     firsts = pages.select("page_id", payload.alias("p")).select("page_id", F.octet_length("p").cast("long").alias("payload_bytes"), F.sha1("p").alias("sha1")).where(F.col("payload_bytes") >= min_bytes)
     firsts = firsts.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    firsts = stored(firsts, "warc-firsts")  # so that the pages of a frequent payload, an empty one say, can be split in the join
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(firsts, ["sha1", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
 def chunked(roles: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The record table: a row per chunk of a payload, in order; a revisit is one row without bytes."""
-    n = F.when(F.col("record_type") == "revisit", 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk_bytes))).cast("int")
-    rows = roles.withColumn("n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    data = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return rows.select("page_id", "url", "record_type", "refers_to", "payload_bytes", "sha1", "chunk_no", data.alias("chunk"), (F.col("chunk_no") == F.col("n") - 1).alias("last"))
+    # cut into an array first: exploding numbers instead would copy the whole payload for each of its chunks
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("payload_bytes") / chunk_bytes).cast("int") - 1))
+    pieces = F.transform(numbers, lambda i: F.struct(i.alias("no"), F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk")))
+    nothing = F.array(F.struct(F.lit(0).alias("no"), F.lit(b"").alias("chunk")))
+    kept = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "sha1"]
+    rows = roles.select(*kept, F.when(F.col("record_type") == "revisit", nothing).otherwise(pieces).alias("pieces"))
+    rows = rows.select(*kept, F.size("pieces").alias("n"), F.explode("pieces").alias("piece"))
+    return rows.select(*kept, F.col("piece.no").alias("chunk_no"), F.col("piece.chunk").alias("chunk"), (F.col("piece.no") == F.col("n") - 1).alias("last"))
 
 
 def _urn(page_id: int | None) -> str:

@@ -9,8 +9,8 @@ compared with their neighbours, so a long document costs n log n and no row is e
 per-document counts are written and read again for the references.
 
 Edge cases: null and empty texts have no words and fail the base rule; null languages form a language of their own; a
-language without a word list is judged by characters alone; repeated rows give repeated results; further columns of the
-input are ignored; an empty table gives no rows.
+language without a word list is judged by characters alone; repeated rows and doc_ids are judged row by row; kept_documents
+carries all columns through packed, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,15 +67,16 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Per document: the base figures, class counts c_* and common-word counts (array w)."""
-    row = docs.select("doc_id", "lang", *[c.alias(k) for k, c in base_counts(F.col("text")).items()])
+def measured(docs: DataFrame, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """Per document: the base figures, class counts c_*, common-word counts (array w) and the carried columns."""
+    row = docs.select(*carried, "doc_id", "lang", *[c.alias(k) for k, c in base_counts(F.col("text")).items()])
     row = row.select("*", F.col("w.n_words").alias("n_words"), F.col("w.n_repeat_words").alias("n_repeat_words"), F.col("w.word_chars").alias("word_chars"), F.col("w.short").alias("short"))
     count = lambda c: F.size(F.filter(F.col("short"), lambda w: w == c)).cast("long")
     common = reduce(lambda rest, k: F.when(F.col("lang") == k, F.array(*[count(c) for c in COMMON_WORDS[k]])).otherwise(rest), COMMON_WORDS, F.array_repeat(F.lit(0).cast("long"), N_COMMON))
     gap = F.col("n_chars") - F.col("word_chars")
     other = F.col("word_chars") - F.col("c_upper") - F.col("c_digit") - F.col("c_stop") - F.col("n_symbols")
-    out = row.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "c_upper", "c_digit", "c_stop", F.col("n_symbols").alias("c_symbol"), gap.alias("c_gap"), other.alias("c_other"), common.alias("w"))
+    names = docs.select(*carried).columns
+    out = row.select(*names, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "c_upper", "c_digit", "c_stop", F.col("n_symbols").alias("c_symbol"), gap.alias("c_gap"), other.alias("c_other"), common.alias("w"))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
@@ -88,9 +89,10 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
 
 
-def judge(docs: DataFrame, char_limit=CHAR_LIMIT, word_limit=WORD_LIMIT) -> DataFrame:
-    """One row per document: the base figures, both distances and kept."""
-    rows = stored(measured(docs), "quality")
+def judge(docs: DataFrame, char_limit=CHAR_LIMIT, word_limit=WORD_LIMIT, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per document: the carried columns, the base figures, both distances and kept."""
+    names = docs.select(*carried).columns
+    rows = stored(measured(docs, carried), "quality")
     sums = [F.sum(f"c_{k}").alias(f"r_{k}") for k in CHAR_CLASSES] + [F.sum("n_words").alias("r_words")] + [F.sum(F.get("w", F.lit(i))).alias(f"r_w{i}") for i in range(N_COMMON)]
     refs = rows.where("NOT base_failed").groupBy("lang").agg(*sums).withColumnRenamed("lang", "r_lang")
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["r_lang"]), "left")
@@ -101,13 +103,13 @@ def judge(docs: DataFrame, char_limit=CHAR_LIMIT, word_limit=WORD_LIMIT) -> Data
     rows = rows.withColumn("char_distance", F.when(F.col("n_words") >= MIN_WORDS, chars)).withColumn("word_distance", F.when((F.col("n_words") >= MIN_WORDS) & F.col("lang").isin(*COMMON_WORDS), commons))
     over = lambda k, limit: F.coalesce(F.col(k) > limit[0] + limit[1] / F.sqrt("n_words"), F.lit(False))
     far = over("char_distance", char_limit) | over("word_distance", word_limit)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    return rows.select(*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that the rules keep: each row by its own text, whatever its doc_id, and with all its columns."""
+    row = F.struct(*docs.columns).alias("carried_row")  # packed, so that no column of the documents can clash
+    return judge(docs, carried=(row,)).where("kept").select("carried_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

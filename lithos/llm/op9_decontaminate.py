@@ -13,12 +13,14 @@ enough words of the benchmark's vocabulary. What the walks bring together is ver
 item to the closest part of the text around the window; a document is contaminated if that is at most
 (1 - SIMILARITY) of the item's words.
 
-Items are read in blocks of BLOCK_ITEMS, each broadcast on its own, so a benchmark of any size costs bounded memory;
-documents pass through one map per block and are never shuffled.
+Spark deals the items by hash into blocks of about BLOCK_WORDS words, whatever their number and lengths, and writes each
+into the shared folder; only the number of blocks reaches the driver. A task reads a block's file itself. Documents pass
+through one map per block within one stage and are never shuffled; a worker holds one block.
 
 Edge cases: null and empty texts and items match nothing; repeated items are found under each of their ids, a null
 item_id included; repeated documents have repeated results; an empty benchmark leaves every document clean; long texts
-are searched whole, in blocks of batches; columns of the documents are carried through untouched.
+are searched whole, in blocks of batches; columns of the documents are carried through untouched: with_matches refuses a
+name that the documents have, clean_documents takes one that they have not.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.shared import table
+from lithos.llm import files
+from lithos.llm.shared import n_words, shared_dir, table
 from lithos.llm.wordhash import closest_within, word_codes
 
 SIMILARITY = 0.8
@@ -39,7 +44,8 @@ REPEATS = 12
 SAMPLES = 3
 #: The first sampled step lies in the first of so many parts of a walk.
 EARLY = 10
-BLOCK_ITEMS = 5_000
+#: Words of the items that a worker holds, and documents searched at once.
+BLOCK_WORDS = 400_000
 ROWS = 400
 
 
@@ -80,19 +86,20 @@ class Benchmark:
         starts = [(k, f) for k in members for f in range(self.edits[k] + 1)]
         for k, f in starts:
             first[self.items[k][f]] = True
-        longest = max(len(self.items[k]) - f for k, f in starts)
-        flat = np.zeros((len(starts), longest + 1), np.int64)
-        for row, (k, f) in enumerate(starts):
-            flat[row, : len(self.items[k]) - f] = self.items[k][f:]
+        upto = np.cumsum([0, *sizes])
+        place = dict(zip(members, upto.tolist(), strict=False))
+        flat = np.concatenate([*(self.items[k] for k in members), [0]])
+        begin = np.array([place[k] + f for k, f in starts])
+        end = np.array([place[k] + len(self.items[k]) for k, _ in starts])
         walks = []
         for _ in range(repeats):
             bits = rng.integers(0, 2, (steps, len(self.vocab) + 1), dtype=np.uint8)
             early = max(2, steps // EARLY)  # a sample soon after the start ends most walks there
             rest = rng.choice(np.arange(early, steps), min(samples - 1, steps - early), replace=False) if samples > 1 and steps > early else np.zeros(0, np.int64)
             at = np.sort(np.concatenate(([rng.integers(1, early)], rest)))
-            key, i, rows, sets = flat[:, 0].copy(), np.zeros(len(starts), np.int64), np.arange(len(starts)), []
+            key, i, sets = flat[begin], begin.copy(), []
             for t in range(int(at[-1]) + 1):
-                now = flat[rows, np.minimum(i, longest)]
+                now = np.where(i < end, flat[np.minimum(i, end)], 0)
                 if t in at:
                     key = np.where((now == 0) | (key < 0), -1, _chain(key, now))
                     sets.append(np.unique(key[key >= 0]))
@@ -158,32 +165,44 @@ def _chain(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) & np.uint64((1 << 62) - 1)).astype(np.int64)
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[tuple[list, list]]:
+def _blocks(items: DataFrame, block_words: int) -> list[str]:
+    """The folders of the blocks into which Spark writes the items."""
+    spark = items.sparkSession
+    rows = items.select("item_id", "text").where(n_words(F.col("text")) > 0)
+    total = rows.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+    if not total:
+        return []
+    folder = shared_dir(spark, "benchmark")
+    rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-int(total) // block_words)))).repartition(F.col("block")).write.partitionBy("block").parquet(folder)
+    return sorted(f"{folder}/block={r[0]}" for r in spark.read.parquet(folder).select("block").distinct().collect())
+
+
+def _read_block(folder: str) -> tuple[list, list]:
+    where, path = files.at(folder)
+    parts = sorted(x.path for x in where.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
     ids, texts = [], []
-    for r in items.select("item_id", "text").toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        if len(ids) == size:
-            yield ids, texts
-            ids, texts = [], []
-    if ids:
-        yield ids, texts
+    for part in parts:
+        with where.open_input_file(part) as f:
+            t = pq.read_table(f, columns=["item_id", "text"])
+        ids += t.column("item_id").to_pylist()
+        texts += t.column("text").to_pylist()
+    return ids, texts
 
 
-def with_matches(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS, similarity: float = SIMILARITY, matches: str = "matches") -> DataFrame:
+def with_matches(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS, similarity: float = SIMILARITY, matches: str = "matches") -> DataFrame:
     """docs and a column matches: array of (item_id, distance, start), start being the window's first word."""
+    if matches in docs.columns:
+        raise ValueError(f"the documents have a column {matches!r}; name another one for the matches")
     kind = "array<struct<item_id:bigint,distance:int,start:bigint>>"
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64())]))
     out = docs.withColumn(matches, F.array().cast(kind))
     schema = out.schema
 
-    def of_block(ids: list, texts: list):
-        shipped = docs.sparkSession.sparkContext.broadcast((ids, texts))  # at most block_items items
-
+    def of_block(folder: str):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = None
             for batch in batches:
-                bench = bench or Benchmark(*shipped.value, similarity=similarity)
+                bench = bench or Benchmark(*_read_block(folder), similarity=similarity)
                 for lo in range(0, batch.num_rows, ROWS):
                     rows = batch.slice(lo, ROWS)
                     own = [[{"item_id": bench.ids[k], "distance": d, "start": s} for k, d, s in x] for x in bench.search(rows.column("text"))]
@@ -194,14 +213,17 @@ def with_matches(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITE
 
         return task
 
-    for ids, texts in _blocks(items, block_items):
-        out = out.mapInArrow(of_block(ids, texts), schema)
+    for folder in _blocks(items, block_words):
+        out = out.mapInArrow(of_block(folder), schema)
     return out
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    return with_matches(docs, items, matches="_matches").where(F.size("_matches") == 0).select(*docs.columns)
+    name = "matches"
+    while name in docs.columns:
+        name += "_"
+    return with_matches(docs, items, matches=name).where(F.size(name) == 0).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -53,8 +54,18 @@ def table_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     ours, theirs = registry.queries()[name](spark, DIR).toPandas(), con.sql(registry.oracle_sql()[name]).df()
     cols = sorted(theirs.columns)
-    plain = lambda f: sorted(tuple("null" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in f[cols].astype(object).itertuples(index=False))
-    assert set(cols) <= set(ours.columns) and plain(ours) == plain(theirs)
+    assert set(cols) <= set(ours.columns) and plain(ours, cols) == plain(theirs, cols)
+
+
+def plain(frame, cols):
+    """The rows of a frame as sorted texts; nulls of any kind and numbers of any type are the same."""
+
+    def cell(v):
+        if v is None or (not isinstance(v, (list, np.ndarray)) and pd.isna(v)):
+            return "null"
+        return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    return sorted(tuple(cell(v) for v in row) for row in frame[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -77,14 +88,120 @@ def test_sharding(spark, odd):
     assert sorted(map(str, store.read().select("text").collect())) == sorted(map(str, odd.select("text").collect() * 4))
     assert store.manifest(5).count() < store.manifest(4).count() and store.compact() == 5
     with pytest.raises(op1_sharding.VersionConflict):
-        store._commit(store.manifest(), 5)
-    with pytest.raises(ValueError):
-        store.append(odd.withColumn(op1_sharding.PART, F.lit(1)))
+        store._commit(store.manifest(), store.schema(), 5)
+    assert store.versions() == [1, 2, 3, 4, 5]
     store.append(empty(odd))
     assert store.read().count() == 40
+    store.append(odd.withColumn("late", F.lit(1)))
+    assert store.read().count() == 50 and store.read().where("late IS NULL").count() == 40 and "late" not in store.read(5).columns
     assert op1_sharding.shard(empty(odd), shared_dir(spark, "t")).count() == 0
 
 
+CLASHES = "row path group part arrival merged shard shard_rows shard_bytes carried_row matches taken tie key block node class many order hash _id _node doc_id_ _class _copy".split()
+
+
+def clashing(df):
+    """df with every name that the operators use inside as a further column."""
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES) if c not in df.columns])
+
+
+def test_sharding_plan_and_arrivals(spark):
+    r = random.Random(3)
+    sizes = [(f"p{i:03d}", r.choice([0, r.randint(1, 90), r.randint(100, 500), r.randint(900, 1500)]), 1) for i in range(120)]
+    store = op1_sharding.ShardStore(spark, shared_dir(spark, "t"), target_bytes=1000)
+    got = {x.path: x.group for x in store.plan(spark.createDataFrame(sizes, op1_sharding.MANIFEST)).collect()}
+    tiers = {}
+    for path, size, _ in sizes:
+        tier = 0 if size < 1 else int(np.floor(np.log(float(size)) / np.log(4.0)))
+        if size < 1000:
+            tiers.setdefault(tier, []).append((path, size))
+    want, n = {}, -1
+    for tier in sorted(t for t, x in tiers.items() if len(x) >= 4):
+        before, pack = 0, -1
+        for path, size in sorted(tiers[tier]):
+            if before // 1000 != pack:
+                pack, n = before // 1000, n + 1
+            want[path] = n
+            before += size
+    assert got == want
+    docs = spark.createDataFrame([(i, prose(20, i)) for i in range(200)], "doc_id long, text string")
+    versions = store.append(docs, op1_sharding.arrival(F.col("doc_id"), 5))
+    assert versions == [1, 2, 3, 4, 5]
+    for v in versions:
+        batch = {x.doc_id for x in store.read(v).collect()} - ({x.doc_id for x in store.read(v - 1).collect()} if v > 1 else set())
+        assert batch == {x.doc_id for x in docs.where(op1_sharding.arrival(F.col("doc_id"), 5) == v - 1).collect()}
+    assert store.compact() in (5, 6) and sorted(x.doc_id for x in store.read().collect()) == list(range(200))
+
+
+def test_sharding_without_text(spark):
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "doc_id long, value string")
+    out = op1_sharding.shard(rows, shared_dir(spark, "t"), 300)
+    assert out.count() == 50 and out.agg(F.min("shard_bytes")).first()[0] > 0
+
+
+@pytest.mark.parametrize("stage", ["quality", "near", "clean", "mix", "shard"])
+def test_stages_by_row(spark, odd, stage):
+    """Repeated and null ids are judged row by row, and no name of a column clashes."""
+    good, junk = prose(80, 1), "a a a a"
+    rows = [(1, good, "en", "a"), (1, junk, "en", "a"), (None, good + " end", "en", "a"), (None, junk, None, None), (2, "", "en", "b"), (None, None, "de", "b")]
+    docs = clashing(spark.createDataFrame([(*x, 7, 99, "clash", "k") for x in rows], SCHEMA))
+    items = spark.createDataFrame([(1, good)], "item_id long, text string")
+    run = {
+        "quality": op8_quality.kept_documents,
+        "near": op6_minhash.first_documents,
+        "clean": lambda d: op9_decontaminate.clean_documents(d, items),
+        "mix": op5_mixing.mixed_documents,
+        "shard": lambda d: op1_sharding.shard(d, shared_dir(spark, "t")),
+    }[stage]
+    out = run(docs)
+    texts = sorted((x.text or "" for x in out.collect()))
+    if stage == "shard":
+        assert out.columns == [*docs.columns, "shard_", "shard_bytes_", "shard_rows_"]
+    else:
+        assert out.columns == docs.columns
+    want = {
+        "quality": [good, good + " end"],
+        "near": sorted([good, junk, ""]),
+        "clean": sorted([junk, junk, "", ""]),
+        "shard": sorted(x[1] or "" for x in rows),
+    }
+    if stage in want:
+        assert texts == want[stage]
+    else:
+        target = {x.source: x.target for x in op5_mixing.mix(docs).collect()}
+        words = sum(len(t.split()) for t in texts)
+        assert abs(words - sum(target.values())) <= 81 and "" not in texts
+    assert run(docs.where("false")).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    """A document is contaminated exactly if some part of it is within a fifth of an item's words."""
+    r = random.Random(12)
+    items = [(i, prose(r.randint(8, 40), 8000 + i)) for i in range(15)]
+    docs = []
+    for i in range(60):
+        w = items[i % 15][1].split()
+        for _ in range(r.choice([0, len(w) // 10, len(w) // 5, len(w) // 4 + 1, len(w) // 2])):
+            p = r.randrange(len(w))
+            w[p : p + 1] = r.choice([[], [r.choice(VOCAB)], [w[p], r.choice(VOCAB)]])
+        docs.append((i, prose(r.randint(0, 60), 8100 + i) + " " + " ".join(w) + " " + prose(r.randint(0, 60), 8200 + i)))
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item):
+            new = [i + 1]
+            for j, y in enumerate(text):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    want = {(d, i): least(t.split(), x.split()) for d, x in docs for i, t in items}
+    want = {(d, i): n for (d, i), n in want.items() if n <= int(0.2 * len(items[i][1].split()) + 1e-9)}
+    got = op9_decontaminate.with_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x.doc_id, m.item_id): m.distance for x in got.collect() for m in x.matches}
+    assert set(got) <= set(want) and all(want[k] == n for k, n in got.items()) and len(got) >= 0.95 * len(want) and len(want) >= 30
+
+
 def test_licences(spark, odd):
     got = {(r.file_id, r.path): r for r in op2_licences.scan(op2_licences.as_files(odd)).collect()}
     assert got[9, "a/9"].own_licence == "CC-BY-NC-4.0" and got[1, "a/1"].licence == "CC-BY-NC-4.0" and got[1, "a/1"].inherited_from == "a"
@@ -304,7 +421,7 @@ def test_decontamination(spark, odd):
     assert not any(bench.search(pa.array([prose(300, 4000 + k) for k in range(20)])))
     table = spark.createDataFrame(items, "item_id long, text string")
     docs = odd.where("doc_id < 4").unionByName(odd.where("doc_id = 1").withColumn("text", F.lit("x " + items[2][1] + " " + items[-1][1])))
-    got = op9_decontaminate.with_matches(docs, table, block_items=7)
+    got = op9_decontaminate.with_matches(docs, table, block_words=100)
     assert sorted(len(x.matches) for x in got.collect()) == [0, 0, 0, 2]
     assert op9_decontaminate.clean_documents(docs, table).columns == docs.columns
     assert op9_decontaminate.clean_documents(docs, table.where("false")).count() == docs.count() and op9_decontaminate.clean_documents(empty(odd), table).count() == 0
