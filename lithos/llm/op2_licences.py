@@ -1,15 +1,17 @@
 """Operator 2: licence scan by sparse TF-IDF cosine, then inheritance along directories, in DataFrame operations only.
 
-The lines of a file's header and of licence files are compared with licence templates as sparse TF-IDF vectors. Document
-frequencies are counted over the whole corpus for the templates' words; every other word weighs as one never seen. Lines
-that share no word with a template have cosine 0, and lines in which foreign words outweigh the templates' words cannot reach
-MIN_COSINE; both never leave the scan, and the others are a few rows per file. A line
-whose best cosine reaches MIN_COSINE names the file's licence.
-
-A directory takes the licence of the file in it with the highest cosine. A file without a licence of its own inherits
-that of its nearest ancestor directory: distinct directories, not files, are expanded to their ancestors and joined with
-the licensed directories by path; the deepest wins. So a directory that holds a third of all files is one row in that
-join, and files meet only the answer for their own directory.
+A file is compared with licence templates (short notices, standard headers, licence texts) as sparse TF-IDF vectors of
+its blocks: every line; every sentence, over line ends too, so that a wrapped notice and one within a longer line are
+found; every run of lines that are mostly template words, such as a header; and the whole text if it is mostly template
+words, as a licence file is. Document frequencies are counted over the whole corpus for the templates' words; every other
+word weighs as one never seen. Lines and sentences in which foreign words outweigh the templates' words cannot reach
+MIN_COSINE and never leave the scan. The block with the best cosine of at least MIN_COSINE names the file's licence.
+
+All vectors of a file are computed within its row: the scan shuffles only counts of template words. A directory takes the
+licence of the file in it with the highest cosine. A file without a licence of its own inherits that of its nearest
+ancestor directory: distinct directories, not files, are expanded to their ancestors and joined with the licensed
+directories by path; the deepest wins. So a directory that holds a third of all files is one row in that join, and files
+meet only the answer for their own directory.
 
 Edge cases: null and empty texts have no licence of their own and can inherit; a null path has no directory and inherits
 nothing; equal cosines go to the first licence by name, and in a directory to the first file by path; repeated rows get
@@ -19,74 +21,123 @@ without templates no file has a licence.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.llm.shared import let, stored, table
 
 MIN_COSINE = 0.75
-#: Notices as they stand in headers, by SPDX identifier.
+#: Notices, standard headers and licence texts by SPDX identifier.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
 }
+TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: Ends a sentence; a line end counts as a blank.
+STOP = r"[.;:!?] +"
 
 
-def terms(line: Column) -> Column:
+def terms(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and dots within a word; the licence numbers keep their dots."""
-    return F.regexp_extract_all(F.lower(line), F.lit(r"([a-z0-9]+(?:\.[0-9]+)*)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """files(file_id, path, text) -> file_id, path, own_licence, cosine, licence, inherited_from."""
-    spark = files.sparkSession
-    notices = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(v).alias("notice")) for k, v in sorted(templates.items())])
-    known = spark.range(1).select(F.inline(notices.cast("array<struct<licence:string,notice:string>>")))
-    t_terms = known.select("licence", F.explode(terms(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = sorted({r[0] for r in t_terms.select("term").distinct().collect()})  # the templates' words, a fixed set
+    known = [(k, Counter(re.findall(TERM, x.lower()))) for k, notices in sorted(templates.items()) for x in notices]
+    vocabulary = sorted({t for _, x in known for t in x})  # the templates' words, a fixed set
     words = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     is_word = lambda x: x.isin(*vocabulary) if vocabulary else F.lit(False)  # noqa: E731  a hash lookup
-    # one pass over the texts: the words of the vocabulary that a file has, and its lines that have any
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), terms), lambda t: F.exists(t, is_word))
-    rows = files.select("file_id", "path", lines.alias("lines"))
+    n_known = lambda t: F.size(F.filter(t, is_word))
+    text = F.coalesce("text", F.lit(""))
+    sentences = F.transform(F.split(F.regexp_replace(text, "\n", " "), STOP), terms)
+    rows = files.select("file_id", "path", F.transform(F.split(text, "\n"), terms).alias("lines"), sentences.alias("sentences"))
+
+    def counted(t: Column) -> Column:
+        return F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("w"), F.size(F.filter(t, lambda x: x == w)).cast("long").alias("n")))
 
     def can_reach(t: Column) -> Column:
         # with every word at the weight of an unseen one, the known words' share of the norm bounds the cosine from above
-        def bound(known: Column) -> Column:
-            squares = F.aggregate(F.transform(F.array_distinct(known), lambda w: F.size(F.filter(known, lambda x: x == w)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v * v)
-            return let(squares, lambda v: v >= F.lit(min_cosine * min_cosine - 1e-9) * (v + F.size(t) - F.size(known)))
+        def bound(own: Column) -> Column:
+            squares = F.aggregate(counted(own), F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"])
+            return (F.size(own) > 0) & let(squares, lambda v: v >= F.lit(min_cosine * min_cosine - 1e-9) * (v + F.size(t) - F.size(own)))
 
         return let(F.filter(t, is_word), bound)
 
-    has = F.array_distinct(F.flatten(F.transform("lines", lambda t: F.array_intersect(t, words))))
-    rows = rows.select("file_id", "path", has.alias("has"), F.transform(F.filter("lines", can_reach), lambda t: F.struct(t.alias("t"))).alias("lines"))
-    rows = stored(rows.select("*", F.monotonically_increasing_id().alias("row")), "licence-lines")
-    n = max(1, rows.count())
-    df = rows.select(F.explode("has").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    unseen = F.lit(1.0) + F.log(F.lit(float(n + 1)))
-    idf = spark.range(1).select(F.explode(words).alias("term")).join(df, "term", "left").select("term", (F.lit(1.0) + F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1))).alias("idf"))
-    t_vec = t_terms.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    t_norm = t_vec.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    l_terms = rows.select("row", F.posexplode("lines").alias("line", "x")).select("row", "line", F.explode("x.t").alias("term")).groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    l_vec = l_terms.join(F.broadcast(idf), "term", "left").select("row", "line", "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
-    l_norm = l_vec.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l_norm"))
-    dots = l_vec.join(F.broadcast(t_vec.select("term", "licence", F.col("w").alias("t_w"))), "term").groupBy("row", "line", "licence").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    cosines = dots.join(l_norm, ["row", "line"]).join(F.broadcast(t_norm), "licence").select("row", "licence", F.round(F.col("dot") / (F.col("l_norm") * F.col("t_norm")), 6).alias("cosine"))
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence"))
-    own = cosines.where(F.col("cosine") >= min_cosine).groupBy("row").agg(best.alias("b")).select("row", F.col("b.licence").alias("own_licence"), (-F.col("b.c")).alias("cosine"))
-    files_ = stored(rows.select("row", "file_id", "path").join(own, "row", "left").withColumn("dir", directory(F.col("path"))), "licence-own")
+    # runs of two or more lines of mostly template words; lines without any words, such as blank ones, do not end a run
+    mostly = lambda t: 2 * n_known(t) >= F.size(t)
+    run = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    ended = lambda s: F.when(s["n"] >= 2, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+
+    def step(s: Column, t: Column) -> Column:
+        longer = F.struct(s["done"].alias("done"), F.concat(s["open"], t).alias("open"), (s["n"] + F.when(F.size(t) > 0, 1).otherwise(0)).alias("n"))
+        return F.when(mostly(t), longer).otherwise(F.struct(ended(s).alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")))
+
+    some_run = F.size(F.filter("lines", lambda t: (F.size(t) > 0) & mostly(t))) >= 2
+    runs = F.when(some_run, F.aggregate("lines", run, step, ended)).otherwise(F.array().cast("array<array<string>>"))
+    whole = let(F.flatten("lines"), lambda t: F.when((F.size(t) > 0) & mostly(t), F.array(t)).otherwise(F.array().cast("array<array<string>>")))
+    blocks = F.array_distinct(F.concat(F.filter("lines", can_reach), F.filter("sentences", can_reach), runs, whole))
+    has = F.array_distinct(F.filter(F.flatten("lines"), is_word))
+    vectors = F.transform(blocks, lambda t: F.struct(counted(F.filter(t, is_word)).alias("known"), F.aggregate(counted(F.filter(t, lambda x: ~is_word(x))), F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"]).alias("unknown")))
+    rows = stored(rows.select("file_id", "path", has.alias("has"), vectors.alias("vectors")), "licence-blocks")
+
+    n = rows.count()
+    df = {r[0]: r[1] for r in rows.select(F.explode("has").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most the vocabulary
+    idf = {t: 1.0 + math.log((n + 1.0) / (df.get(t, 0) + 1)) for t in vocabulary}
+    unseen = 1.0 + math.log(n + 1.0)
+    pairs = lambda d: F.create_map(*[F.lit(y) for x in d.items() for y in x])
+
+    def cosines(v: Column) -> Column:
+        weigh = lambda by: F.aggregate(v["known"], F.lit(0.0), lambda s, x: s + by(x))
+        square = weigh(lambda x: F.pow(x["n"] * F.element_at(pairs(idf), x["w"]), F.lit(2.0))) + v["unknown"] * F.lit(unseen * unseen)
+        each = []
+        for licence, tf in known:
+            norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in tf.items()))
+            dot = weigh(lambda x, tf=tf: x["n"] * F.coalesce(F.try_element_at(pairs({t: k * idf[t] ** 2 for t, k in tf.items()}), x["w"]), F.lit(0.0)))
+            each.append(F.struct((-F.round(dot / F.sqrt(square) / norm, 6)).alias("c"), F.lit(licence).alias("licence")))
+        return F.array_min(F.array(*each))
+
+    none = F.lit(None).cast("struct<c:double,licence:string>")
+    best = F.array_min(F.filter(F.transform("vectors", cosines), lambda x: x["c"] <= -min_cosine)) if known else none
+    own = F.when(F.size("vectors") > 0, best)
+    files_ = rows.select("file_id", "path", own.alias("b")).select("file_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.c")).alias("cosine"))
+    files_ = stored(files_.withColumn("dir", directory(F.col("path"))), "licence-own")
     by_dir = files_.where("own_licence IS NOT NULL AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "own_licence")).alias("b")).select("dir", F.col("b.own_licence").alias("found"))
     depth = F.size(F.split("dir", "/"))
     up = files_.select("dir").where("dir IS NOT NULL").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(F.split("dir", "/"), 1, i), "/"))).alias("above"))
     near = up.join(by_dir.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max(F.struct(F.size(F.split("above", "/")).alias("d"), "above", "found")).alias("b")).select("dir", F.col("b.above").alias("above"), F.col("b.found").alias("found"))
-    out = files_.join(near, "dir", "left")
+    out = files_.join(stored(near, "licence-near"), "dir", "left")
     inherits = F.col("own_licence").isNull()
     return out.select("file_id", "path", "own_licence", "cosine", F.coalesce("own_licence", "found").alias("licence"), F.when(inherits, F.col("above")).alias("inherited_from"))
 
@@ -108,22 +159,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
-    pattern = r"[a-z0-9]+(?:\.[0-9]+)*"
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join(f"('{k}', {i}, '{quoted(v)}')" for i, (k, v) in enumerate((k, v) for k, x in sorted(TEMPLATES.items()) for v in x))
     return rf"""
-WITH k(licence, notice) AS (VALUES {values}),
-tt AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(notice), '{pattern}')) AS term FROM k) GROUP BY ALL),
+WITH k(licence, no, notice) AS (VALUES {values}),
+tt AS (SELECT licence, no, term, count(*) AS tf FROM (SELECT licence, no, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM k) GROUP BY ALL),
+voc AS (SELECT list(DISTINCT term) AS v FROM tt),
 f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, 'none') || '/' || regexp_replace(coalesce(doc_id::VARCHAR, 'none'), '(.)', '\1/', 'g') AS p0, coalesce(text, '') AS text FROM documents),
 g AS (SELECT rid, doc_id, p0[:-2] AS path, text FROM f),
-l AS (SELECT rid, i, regexp_extract_all(lower(ls[i]), '{pattern}') AS t FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM g))),
-lt AS (SELECT rid, i, term, count(*) AS tf FROM (SELECT rid, i, unnest(t) AS term FROM l WHERE list_has_any(t, (SELECT list(DISTINCT term) FROM tt))) GROUP BY ALL),
+li AS (SELECT rid, i, t, len(list_filter(t, lambda x: list_contains(v, x))) AS kn FROM (SELECT rid, i, regexp_extract_all(lower(ls[i]), '{TERM}') AS t FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM g))), voc),
+se AS (SELECT rid, i, regexp_extract_all(lower(ls[i]), '{TERM}') AS t FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, string_split_regex(replace(text, chr(10), ' '), '{STOP}') AS ls FROM g))),
+ru AS (SELECT rid, grp, flatten(list(t ORDER BY i)) AS t FROM (SELECT *, sum(CASE WHEN 2 * kn >= len(t) THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS grp FROM li)
+       WHERE 2 * kn >= len(t) GROUP BY rid, grp HAVING count(*) FILTER (WHERE len(t) > 0) >= 2),
+wh AS (SELECT rid, flatten(list(t ORDER BY i)) AS t FROM li GROUP BY rid HAVING 2 * sum(kn) >= sum(len(t)) AND sum(len(t)) > 0),
+l AS (SELECT rid, 'l' || i AS i, t FROM li UNION ALL SELECT rid, 's' || i, t FROM se UNION ALL SELECT rid, 'r' || grp, t FROM ru UNION ALL SELECT rid, 'w', t FROM wh),
+lt AS (SELECT rid, i, term, count(*) AS tf FROM (SELECT rid, i, unnest(t) AS term FROM l WHERE list_has_any(t, (SELECT v FROM voc))) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM g),
 idf AS (SELECT v.term, 1 + ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN n
         LEFT JOIN (SELECT term, count(DISTINCT rid) AS df FROM lt GROUP BY term) d ON v.term = d.term),
 lv AS (SELECT rid, i, lt.term, tf * coalesce(idf, 1 + ln(n + 1)) AS w FROM lt CROSS JOIN n LEFT JOIN idf ON lt.term = idf.term),
-tv AS (SELECT licence, term, tf * idf AS w FROM tt JOIN idf USING (term)),
-ln_ AS (SELECT rid, i, sqrt(sum(w * w)) AS norm FROM lv GROUP BY ALL), tn AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM tv GROUP BY ALL),
-c AS (SELECT rid, licence, round(dot / (ln_.norm * tn.norm), 6) AS cosine FROM (SELECT rid, i, licence, sum(lv.w * tv.w) AS dot FROM lv JOIN tv ON lv.term = tv.term GROUP BY ALL) JOIN ln_ USING (rid, i) JOIN tn USING (licence)),
+tv AS (SELECT licence, no, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+ln_ AS (SELECT rid, i, sqrt(sum(w * w)) AS norm FROM lv GROUP BY ALL), tn AS (SELECT no, sqrt(sum(w * w)) AS norm FROM tv GROUP BY ALL),
+c AS (SELECT rid, licence, round(dot / (ln_.norm * tn.norm), 6) AS cosine FROM (SELECT rid, i, licence, no, sum(lv.w * tv.w) AS dot FROM lv JOIN tv ON lv.term = tv.term GROUP BY ALL) JOIN ln_ USING (rid, i) JOIN tn USING (no)),
 own AS (SELECT rid, licence AS own_licence, cosine FROM c WHERE cosine >= {MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, licence) = 1),
 o AS (SELECT g.rid, doc_id, path, own_licence, cosine, nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS dir FROM g LEFT JOIN own ON g.rid = own.rid),
 d AS (SELECT dir, own_licence AS found FROM o WHERE own_licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),

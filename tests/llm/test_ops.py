@@ -209,6 +209,11 @@ def test_licences(spark, odd):
     files = spark.createDataFrame([(1, None, "Released under the MIT License."), (2, "x/LICENSE", "Released under the MIT License."), (3, "x/y/z.c", ""), (4, "w/z.c", None)], "file_id long, path string, text string")
     got = {r.file_id: (r.own_licence, r.licence, r.inherited_from) for r in op2_licences.scan(files).collect()}
     assert got == {1: ("MIT", "MIT", None), 2: ("MIT", "MIT", None), 3: (None, "MIT", "x"), 4: (None, None, None)}
+    mit, gpl = op2_licences.TEMPLATES["MIT"][1], op2_licences.TEMPLATES["GPL-3.0"]
+    wrap = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = ["MIT License\n\nCopyright (c) 2020 Someone Else\n\n" + wrap(mit, 11), "#!/bin/sh\n" + wrap(gpl[2], 9) + "\n\n" + prose(200, 1), "This work is licensed under\nthe GNU General Public License,\nversion 3.\n" + prose(90, 2), prose(30, 3) + " Copyright 2019 A Person. Released under the MIT License. All else follows. " + prose(30, 4), prose(300, 5)]
+    got = op2_licences.scan(spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "file_id long, path string, text string")).orderBy("file_id").collect()
+    assert [r.own_licence for r in got] == ["MIT", "GPL-3.0", "GPL-3.0", "MIT", None]
     assert op2_licences.scan(files, {}).where("licence IS NOT NULL").count() == 0 and op2_licences.scan(files.where("false")).count() == 0
 
 
