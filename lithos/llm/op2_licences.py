@@ -4,8 +4,8 @@ A file is compared with licence templates (short notices, standard headers, lice
 its blocks: every line; every sentence, over line ends too, so that a wrapped notice and one within a longer line are
 found; every run of lines that are mostly template words, such as a header; and the whole text if it is mostly template
 words, as a licence file is. Document frequencies are counted over the whole corpus for the templates' words; every other
-word weighs as one never seen. Lines and sentences in which foreign words outweigh the templates' words cannot reach
-MIN_COSINE and never leave the scan. The block with the best cosine of at least MIN_COSINE names the file's licence.
+word weighs as one never seen. Blocks without any of the heavy words that a template cannot do without (needed) cannot reach
+MIN_COSINE and are not compared. The block with the best cosine of at least MIN_COSINE names the file's licence.
 
 All vectors of a file are computed within its row: the scan shuffles only counts of template words. A directory takes the
 licence of the file in it with the highest cosine. A file without a licence of its own inherits that of its nearest
@@ -73,6 +73,19 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
+def needed(tf: dict[str, int], idf: dict[str, float], min_cosine: float) -> list[str]:
+    """Words of a template of which a text must have one to reach the cosine: without them, the words that are left have
+    too small a share of the template's norm, which bounds the cosine from above."""
+    weights = sorted(((k * idf[t]) ** 2, t) for t, k in tf.items())[::-1]
+    missing, out, most = 0.0, [], (1 - min_cosine**2) * sum(w for w, _ in weights)
+    for w, t in weights:
+        missing += w
+        out.append(t)
+        if missing > most * (1 + 1e-9):
+            break
+    return out
+
+
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """files(file_id, path, text) -> file_id, path, own_licence, cosine, licence, inherited_from."""
     known = [(k, Counter(re.findall(TERM, x.lower()))) for k, notices in sorted(templates.items()) for x in notices]
@@ -81,20 +94,22 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_cosi
     is_word = lambda x: x.isin(*vocabulary) if vocabulary else F.lit(False)  # noqa: E731  a hash lookup
     n_known = lambda t: F.size(F.filter(t, is_word))
     text = F.coalesce("text", F.lit(""))
-    sentences = F.transform(F.split(F.regexp_replace(text, "\n", " "), STOP), terms)
-    rows = files.select("file_id", "path", F.transform(F.split(text, "\n"), terms).alias("lines"), sentences.alias("sentences"))
+    has = F.array_distinct(F.filter(terms(text), is_word))
+    rows = stored(files.select("file_id", "path", text.alias("text"), has.alias("has")), "licence-words")
+    n = rows.count()
+    df = {r[0]: r[1] for r in rows.select(F.explode("has").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most the vocabulary
+    idf = {t: 1.0 + math.log((n + 1.0) / (df.get(t, 0) + 1)) for t in vocabulary}
+    unseen = 1.0 + math.log(n + 1.0)
+    critical = sorted({t for _, tf in known for t in needed(tf, idf, min_cosine)})
+    can_reach = lambda t: F.exists(t, lambda x: x.isin(*critical)) if critical else F.lit(False)
+    sentences = F.transform(F.split(F.regexp_replace("text", "\n", " "), STOP), terms)
+    nothing = F.array().cast("array<array<string>>")
+    may = can_reach(F.col("has"))
+    rows = rows.select("file_id", "path", F.when(may, F.transform(F.split("text", "\n"), terms)).otherwise(nothing).alias("lines"), F.when(may, sentences).otherwise(nothing).alias("sentences"))
 
     def counted(t: Column) -> Column:
         return F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("w"), F.size(F.filter(t, lambda x: x == w)).cast("long").alias("n")))
 
-    def can_reach(t: Column) -> Column:
-        # with every word at the weight of an unseen one, the known words' share of the norm bounds the cosine from above
-        def bound(own: Column) -> Column:
-            squares = F.aggregate(counted(own), F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"])
-            return (F.size(own) > 0) & let(squares, lambda v: v >= F.lit(min_cosine * min_cosine - 1e-9) * (v + F.size(t) - F.size(own)))
-
-        return let(F.filter(t, is_word), bound)
-
     # runs of two or more lines of mostly template words; lines without any words, such as blank ones, do not end a run
     mostly = lambda t: 2 * n_known(t) >= F.size(t)
     run = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
@@ -105,17 +120,11 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_cosi
         return F.when(mostly(t), longer).otherwise(F.struct(ended(s).alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")))
 
     some_run = F.size(F.filter("lines", lambda t: (F.size(t) > 0) & mostly(t))) >= 2
-    runs = F.when(some_run, F.aggregate("lines", run, step, ended)).otherwise(F.array().cast("array<array<string>>"))
-    whole = let(F.flatten("lines"), lambda t: F.when((F.size(t) > 0) & mostly(t), F.array(t)).otherwise(F.array().cast("array<array<string>>")))
-    blocks = F.array_distinct(F.concat(F.filter("lines", can_reach), F.filter("sentences", can_reach), runs, whole))
-    has = F.array_distinct(F.filter(F.flatten("lines"), is_word))
+    runs = F.when(some_run, F.aggregate("lines", run, step, ended)).otherwise(nothing)
+    whole = let(F.flatten("lines"), lambda t: F.when((F.size(t) > 0) & mostly(t), F.array(t)).otherwise(nothing))
+    blocks = F.filter(F.array_distinct(F.concat("lines", "sentences", runs, whole)), can_reach)
     vectors = F.transform(blocks, lambda t: F.struct(counted(F.filter(t, is_word)).alias("known"), F.aggregate(counted(F.filter(t, lambda x: ~is_word(x))), F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"]).alias("unknown")))
-    rows = stored(rows.select("file_id", "path", has.alias("has"), vectors.alias("vectors")), "licence-blocks")
-
-    n = rows.count()
-    df = {r[0]: r[1] for r in rows.select(F.explode("has").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most the vocabulary
-    idf = {t: 1.0 + math.log((n + 1.0) / (df.get(t, 0) + 1)) for t in vocabulary}
-    unseen = 1.0 + math.log(n + 1.0)
+    rows = rows.select("file_id", "path", vectors.alias("vectors"))
     pairs = lambda d: F.create_map(*[F.lit(y) for x in d.items() for y in x])
 
     def cosines(v: Column) -> Column:
