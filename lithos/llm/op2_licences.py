@@ -4,7 +4,7 @@ A file is compared with licence templates (short notices, standard headers, lice
 its blocks: every line; every sentence, over line ends too, so that a wrapped notice and one within a longer line are
 found; every run of lines that are mostly template words, such as a header; and the whole text if it is mostly template
 words, as a licence file is. Document frequencies are counted over the whole corpus for the templates' words; every other
-word weighs as one never seen. Blocks without any of the heavy words that a template cannot do without (needed) cannot reach
+word weighs as one never seen. Blocks without any of the rare words that a template cannot do without (needed) cannot reach
 MIN_COSINE and are not compared. The block with the best cosine of at least MIN_COSINE names the file's licence.
 
 All vectors of a file are computed within its row: the scan shuffles only counts of template words. A directory takes the
@@ -74,12 +74,12 @@ def terms(text: Column) -> Column:
 
 
 def needed(tf: dict[str, int], idf: dict[str, float], min_cosine: float) -> list[str]:
-    """Words of a template of which a text must have one to reach the cosine: without them, the words that are left have
-    too small a share of the template's norm, which bounds the cosine from above."""
-    weights = sorted(((k * idf[t]) ** 2, t) for t, k in tf.items())[::-1]
-    missing, out, most = 0.0, [], (1 - min_cosine**2) * sum(w for w, _ in weights)
-    for w, t in weights:
-        missing += w
+    """The rarest words of a template of which a text must have one to reach the cosine: without them, the words that are
+    left have too small a share of the template's norm, which bounds the cosine from above."""
+    rarest = sorted(tf, key=lambda t: (-idf[t], t))
+    missing, out, most = 0.0, [], (1 - min_cosine**2) * sum((k * idf[t]) ** 2 for t, k in tf.items())
+    for t in rarest:
+        missing += (tf[t] * idf[t]) ** 2
         out.append(t)
         if missing > most * (1 + 1e-9):
             break
