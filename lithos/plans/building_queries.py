@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithos.functions import periods
+from lithos.functions import rings as rg
 from lithos.operators import markov as mk
 from lithos.operators import parametric as pm
 from lithos.operators import spatial as sp
@@ -41,19 +42,22 @@ def q_interior(spark, d):
     return pm.interior(pm.parametric(_b(spark, d))).groupBy("bauperiode", "kind", "material").agg(F.round(F.sum(F.col("area") * F.col("thickness")), 4).alias("volume"))
 
 
-def _profiles(spark, d):
-    """Each cell's commonest build-up, as shares of its thickness, with the cell's median total."""
-    layers = view(spark, d, "layers")
-    top = mk.observed_top(mk.sequences(layers), 1).select(*mk.CELL, F.posexplode(F.split("seq", ";")).alias("i", "material"))
-    means = th.mean_thickness(layers, layers).select(*mk.CELL, "material", F.col("t"))
-    base = top.join(means, [*mk.CELL, "material"])
-    total = base.groupBy(*mk.CELL).agg(F.sum("t").alias("sum_t"))
-    shares = base.join(total, mk.CELL).select(*mk.CELL, "material", (F.col("t") / F.col("sum_t")).alias("share")).groupBy(*mk.CELL, "material").agg(F.sum("share").alias("share"))
-    return shares.join(th.catalog_total(layers, layers), mk.CELL)
+def _facts(spark, d):
+    facts = pm.parametric(_b(spark, d))
+    return pm.balance(facts, pm.profiles(facts, view(spark, d, "layers")))
 
 
-def _facts(spark, d):
-    return pm.balance(pm.parametric(_b(spark, d)), _profiles(spark, d))
+#: Build-ups (material, thickness in m) by kind of element, for the roll-ups that SQL can follow.
+FIXED_PROFILE = {"AW": [("Putz", 0.02), ("Ziegel", 0.4), ("Styropor", 0.1)], "FB": [("Estrich", 0.06), ("STB", 0.2)], "D": [("Holz", 0.16), ("Folie", 0.001)]}
+
+
+def q_balance_fixed(spark, d):
+    """Volume and mass by period, element and material over given build-ups."""
+    rows = [(p, o, k, m, t) for p in PERIODS.values() for o in ("KG", "RG", "DG") for k, v in FIXED_PROFILE.items() for m, t in v]
+    names = ("bauperiode", "ort", "art", "material", "thickness")
+    profiles = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows])))
+    facts = pm.balance(pm.parametric(_b(spark, d)), profiles)
+    return facts.groupBy("bauperiode", "element", "material").agg(F.round(F.sum("volume"), 3).alias("volume"), F.round(F.sum("mass"), 1).alias("mass"))
 
 
 def q_volume(spark, d):
@@ -102,6 +106,28 @@ def q_pivot(spark, d):
     return b.unpivot("bw_geb_id", ["wohnen", "buero", "handel", "industrie"], "usage", "area").where("area > 0").select("bw_geb_id", "usage", F.round("area", 2).alias("area"))
 
 
+def _rings(spark, d):
+    """Footprints with a gable over the upper side: a ring that is not a rectangle."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("wx"), F.col("y0") + F.col("wy")
+    ring = F.array(point(x0, y0), point(x1, y0), point(x1, y1), point((x0 + x1) / 2, y1 + 3), point(x0, y1), point(x0, y0))
+    return _b(spark, d).select("bw_geb_id", ring.alias("ring"))
+
+
+def q_rings(spark, d):
+    r = F.col("ring")
+    return _rings(spark, d).select("bw_geb_id", F.round(rg.area(r), 6).alias("area"), F.round(rg.perimeter(r), 6).alias("perimeter"), F.size(r).alias("n_vertices"), F.round(rg.centroid(r)["x"], 6).alias("cx"), F.round(rg.centroid(r)["y"], 6).alias("cy"), F.round(rg.inset_area(r, F.lit(0.35)), 6).alias("net"))
+
+
+def q_ring_contains(spark, d):
+    pts = view(spark, d, "jobs").select(F.col("event_id").alias("pt"), (F.col("value") * 2.4).alias("x"), (F.col("job_id") % 160).cast("double").alias("y"))
+    return rg.within(pts, _rings(spark, d), "pt", "bw_geb_id")
+
+
+def q_ring_touching(spark, d):
+    return rg.touching(_rings(spark, d), "bw_geb_id").select("bw_geb_id", F.round("touching", 4).alias("touching"))
+
+
 def q_forest(spark, d):
     return sp.predict_period(_b(spark, d))
 
@@ -144,6 +170,10 @@ QUERIES = {
     "material_balance": q_volume,
     "mass_by_period_and_element": q_mass_by,
     "default_density_share": q_default_share,
+    "balance_of_given_profiles": q_balance_fixed,
+    "footprint_geometry": q_rings,
+    "footprint_contains": q_ring_contains,
+    "footprint_touching": q_ring_touching,
     "neighbour_stats": q_neighbours,
     "point_in_polygon": q_point_in_polygon,
     "period_features": q_features,
@@ -171,5 +201,20 @@ SELECT class, count(*) FILTER (truth = class) AS n, round(coalesce(2 * count(*)
 SELECT bw_geb_id, CASE WHEN k5 IS NOT NULL THEN k5 WHEN coarse3 = 'bis 1918' THEN 1 WHEN coarse3 = '1919-1945' THEN 2 ELSE s2 END AS bp5, coarse3, CASE WHEN k5 IS NOT NULL THEN 'known_bp' WHEN k3 IS NOT NULL THEN 'known_coarse' ELSE 'predicted' END AS source,
 CASE WHEN k5 IS NOT NULL THEN 1.0 WHEN coarse3 <> 'nach 1945' THEN CASE WHEN k3 IS NOT NULL THEN 1.0 ELSE round_even(p1, 3) END ELSE round_even(CASE WHEN k3 IS NOT NULL THEN p2 ELSE p1 * p2 END, 3) END AS conf FROM c""",
 }
+_DENSITY = f"coalesce(MAP {{{', '.join(f'{k!r}: {float(v)}' for k, v in DENSITY.items())}}}[material], {float(DENSITY_DEFAULT)})"
+_SQL["balance_of_given_profiles"] = f"""WITH {PARA}, {ELEM}, {IW},
+pr(art, material, thickness) AS (VALUES {', '.join(f"('{k}', '{m}', {t})" for k, v in FIXED_PROFILE.items() for m, t in v)}),
+x AS (SELECT bauperiode, ort || '/' || el.art AS element, material, area * thickness::DOUBLE AS volume FROM el JOIN pr ON el.art = pr.art WHERE area > 0
+  UNION ALL SELECT bauperiode, 'IW/' || kind, material, area * thickness FROM iw WHERE area > 0)
+SELECT bauperiode, element, material, round(sum(volume), 3) AS volume, round(sum(volume * {_DENSITY}), 1) AS mass FROM x GROUP BY ALL"""
+# a gable of 3 m over the upper side; the inset loses t along each side and gains t^2 cot(angle / 2) at each corner
+_SQL["footprint_geometry"] = """WITH a AS (SELECT bw_geb_id, x0, y0, wx, wy, sqrt(wx * wx / 4 + 9) AS e, wx * wy AS ra, wx * 3 / 2 AS ta, atan2(3, wx / 2) AS s FROM buildings)
+SELECT bw_geb_id, round(ra + ta, 6) AS area, round(wx + 2 * wy + 2 * e, 6) AS perimeter, 6 AS n_vertices, round(x0 + wx / 2, 6) AS cx, round((ra * (y0 + wy / 2) + ta * (y0 + wy + 1)) / (ra + ta), 6) AS cy,
+round(ra + ta - 0.35::DOUBLE * (wx + 2 * wy + 2 * e) + 0.35::DOUBLE * 0.35::DOUBLE * (2 + 2 / tan((pi() / 2 + s) / 2) + 1 / tan((pi() - 2 * s) / 2)), 6) AS net FROM a"""
+# vertical sides as in the rectangles; the gables of one row meet the next row's lower sides nowhere along a line
+_SQL["footprint_touching"] = """SELECT a.bw_geb_id, round(sum(greatest(0, least(a.y0 + a.wy, o.y0 + o.wy) - greatest(a.y0, o.y0)) * ((a.x0 = o.x0)::INT + (a.x0 = o.x0 + o.wx)::INT + (a.x0 + a.wx = o.x0)::INT + (a.x0 + a.wx = o.x0 + o.wx)::INT)), 4) AS touching
+FROM buildings a JOIN buildings o ON a.bw_geb_id <> o.bw_geb_id AND a.x0 <= o.x0 + o.wx AND o.x0 <= a.x0 + a.wx AND a.y0 < o.y0 + o.wy AND o.y0 < a.y0 + a.wy GROUP BY 1 HAVING touching > 0"""
 ORACLES = {k: with_views(v, "buildings") for k, v in _SQL.items()}
+ORACLES["footprint_contains"] = with_views("""SELECT pt, bw_geb_id FROM (SELECT p.pt, b.bw_geb_id, row_number() OVER (PARTITION BY p.pt ORDER BY b.bw_geb_id) AS rn FROM (SELECT event_id AS pt, value * 2.4 AS x, (job_id % 160)::DOUBLE AS y FROM jobs) p
+JOIN buildings b ON p.x >= b.x0 AND p.x < b.x0 + b.wx AND p.y >= b.y0 AND p.y < b.y0 + b.wy + 3 * (1 - abs(p.x - b.x0 - b.wx / 2) / (b.wx / 2))) WHERE rn = 1""", "buildings", "jobs")
 ORACLES["point_in_polygon"] = with_views("""SELECT pt, bw_geb_id FROM (SELECT p.pt, b.bw_geb_id, row_number() OVER (PARTITION BY p.pt ORDER BY b.bw_geb_id) AS rn FROM (SELECT event_id AS pt, value * 2.4 AS x, (job_id % 160)::DOUBLE AS y FROM jobs) p JOIN buildings b ON p.x >= b.x0 AND p.x < b.x0 + b.wx AND p.y >= b.y0 AND p.y < b.y0 + b.wy) WHERE rn = 1""", "buildings", "jobs")
