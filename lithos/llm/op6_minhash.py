@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.llm.components import components
-from lithos.llm.shared import stored, table
+from lithos.llm.shared import scratch, stored, table
 from lithos.llm.wordhash import banded_distance, mix, word_hashes
 
 SHINGLE = 3
@@ -330,15 +330,14 @@ def connected(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """node, label: the components of all candidate pairs of the documents, whose sketches are rows, that are similar."""
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     inside = grouped(nodes.select("node", "n", F.posexplode("keys").alias("place", "key")))
+    # the words of all texts that any group holds; copies meet before the shuffle, and texts are shuffled this once
     text = F.coalesce("text", F.lit(""))
-    all_texts = docs.select(F.md5(text).alias("node"), text.alias("text"))
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        return stored(tokens(all_texts.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))), "texts")
+    once = docs.select(F.md5(text).alias("node"), text.alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = stored(tokens(once.join(inside.select("node").distinct(), "node", "left_semi")), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        return stored(verified(pairs, texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))), "verified")
+        return stored(verified(pairs, texts), "verified")
 
     found = linked(_close(star_pairs(inside.where(F.col("place") < FEW))))
     labels = components(found)
@@ -347,16 +346,16 @@ def connected(docs: DataFrame, rows: DataFrame) -> DataFrame:
     rest = divided(inside, labels)
     if rest.isEmpty():
         return labels
-    texts = texts_of(rest.select("node"))
     return components(found.union(stored(cell_pairs(rest, texts), "cells")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), class_size, n_words and the class itself, of every document."""
-    rows = stored(sketched(docs), "sketches")
-    labels = connected(docs, rows)
-    named = rows.select("doc_id", "node", "n").join(labels, "node", "left").select("doc_id", F.col("n").alias("n_words"), "node", F.coalesce("label", "node").alias("class"))
-    named = stored(named, "classed")
+    with scratch(docs.sparkSession):
+        rows = stored(sketched(docs), "sketches")
+        labels = connected(docs, rows)
+        named = rows.select("doc_id", "node", "n").join(labels, "node", "left").select("doc_id", F.col("n").alias("n_words"), "node", F.coalesce("label", "node").alias("class"))
+        named = stored(named, "classed", keep=True)
     # most classes have one row, whose figures need no join; the others' are written first, so that a large class can be split
     many = stored(named.groupBy(F.col("class").alias("_class")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"), "classes")
     out = named.join(many, named["class"] == many["_class"], "left")

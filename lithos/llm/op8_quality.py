@@ -95,6 +95,7 @@ def judge(docs: DataFrame, char_limit=CHAR_LIMIT, word_limit=WORD_LIMIT, carried
     rows = stored(measured(docs, carried), "quality")
     sums = [F.sum(f"c_{k}").alias(f"r_{k}") for k in CHAR_CLASSES] + [F.sum("n_words").alias("r_words")] + [F.sum(F.get("w", F.lit(i))).alias(f"r_w{i}") for i in range(N_COMMON)]
     refs = rows.where("NOT base_failed").groupBy("lang").agg(*sums).withColumnRenamed("lang", "r_lang")
+    refs = stored(refs, "quality-references")  # a row per language; written, its size is known and the rows are not shuffled
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["r_lang"]), "left")
     w = [F.get("w", F.lit(i)) for i in range(N_COMMON)]
     r_w = [F.col(f"r_w{i}") for i in range(N_COMMON)]
