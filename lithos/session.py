@@ -20,11 +20,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster each executor would write to its
+    own disk there, so that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-lithos-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the session's shared folder; a temporary one where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-lithos-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    """df with its lineage cut by a checkpoint in the session's shared folder."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
