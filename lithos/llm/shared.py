@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.session import read_table as table  # noqa: F401
+from lithos.session import shared_base
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,16 +18,8 @@ GAP_CHAR = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which the driver and all executors share.
-
-    Where the setting is missing (tests on one machine), a temporary folder is set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-lithos-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lithos/{name}-{uuid.uuid4().hex}"
+    """A new folder name below spark.checkpoint.dir, which the driver and all executors share."""
+    return f"{shared_base(spark)}/lithos/{name}-{uuid.uuid4().hex}"
 
 
 _open: list[list[str]] = []
