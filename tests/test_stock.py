@@ -1,12 +1,14 @@
 """Plans, access, sources and notations on rows made by hand."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lithos.functions import buildup, rings
 from lithos.operators import access, parametric, plan
+from lithos.session import shared_base
 from lithos.sources import tables
 
 
@@ -127,3 +129,13 @@ def test_buildup(spark, line, measured, want):
     df = spark.createDataFrame([(line, measured)], "line string, mm double")
     got = df.select(buildup.parsed(F.col("line"), F.col("mm"), ["Putz", "Ziegel"], ["Dübel"]).alias("x")).first().x
     assert (None if got is None else [tuple(r) for r in got]) == want
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[3,2,1024]", "yarn"])
+def test_no_scratch_folder_on_a_cluster(master):
+    conf = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_base(session)
+    conf["spark.checkpoint.dir"] = "hdfs://name/shared/"
+    assert shared_base(session) == "hdfs://name/shared"
