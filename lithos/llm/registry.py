@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lithos.llm import op1_sharding, op2_licences, op3_repair, op4_lines, op5_mixing, op6_minhash, op7_warc
-from lithos.llm import op8_quality, op9_decontaminate, op10_toxicity, op12_merkle, op13_alignment
+from lithos.llm import op8_quality, op9_decontaminate, op10_toxicity, op11_substrings, op12_merkle, op13_alignment
 
 MODULES = {
     "op1_sharding": op1_sharding,
@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_substrings": op11_substrings,
     "op12_merkle": op12_merkle,
     "op13_alignment": op13_alignment,
 }
