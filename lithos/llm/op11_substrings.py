@@ -216,6 +216,7 @@ def edge_sources(links_: DataFrame) -> DataFrame:
     rows = links_.join(several, "a").select("a", "c", "doc_id", "t", "start", F.posexplode(edges).alias("skip", "edge"))
     rows = stored(rows, "substring-edges")
     first = rows.groupBy("a", "edge").agg(F.min(F.struct("doc_id", "t", (F.col("start") + F.col("skip")).alias("at"))).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
+    first = stored(first, "substring-first")  # so that both sides of the join are shuffled and a hot edge can be split
     return rows.join(first, ["a", "edge"]).where("doc_id > first.doc_id").select("a", "c", "skip", F.col("doc_id").alias("owner"), F.col("first.doc_id").alias("source"), F.col("first.t").alias("source_t"), F.col("first.at").alias("source_start"))
 
 
