@@ -212,6 +212,7 @@ def edge_sources(links_: DataFrame) -> DataFrame:
     Only anchors with several links can have such edges.
     """
     several = links_.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("k > 1 AND lo < hi").select("a")
+    several = stored(several, "substring-several")  # as below
     edges = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.substring("edges", i * 8 + 1, F.lit(8)))
     rows = links_.join(several, "a").select("a", "c", "doc_id", "t", "start", F.posexplode(edges).alias("skip", "edge"))
     rows = stored(rows, "substring-edges")
@@ -288,10 +289,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     known = rows.where("doc_id IS NOT NULL")
     for seed, b in zip(SEEDS, bits, strict=False):
         with scratch(docs.sparkSession):
-            shared = stored(shared_anchors(known, window, anchor, seed, b), "substring-anchors")
-            found = stored(links(known, shared, window, anchor, seed, b), "substring-links")
-            firsts = stored(sources(found), "substring-sources")
-            out = cleaned(rows, stored(spans(found, firsts), "substring-spans"), window, texts)
+            with scratch(docs.sparkSession):
+                with scratch(docs.sparkSession):
+                    shared = stored(shared_anchors(known, window, anchor, seed, b), "substring-anchors")
+                    found = stored(links(known, shared, window, anchor, seed, b), "substring-links", level=2)
+                firsts = stored(sources(found), "substring-sources")
+                repeated = stored(spans(found, firsts), "substring-spans", level=2)
+            out = cleaned(rows, repeated, window, texts)
         if verified(out):
             out = out.where("kept_sha256 IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", "text")
             return out if texts else out.drop("text")

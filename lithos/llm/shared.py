@@ -37,12 +37,15 @@ def scratch(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, keep: bool = False, level: int = 1) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing.
+
+    Of nested scratches, the level-th from within removes it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     if _open and not keep:
-        _open[-1].append(path)
+        _open[-level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
