@@ -29,10 +29,17 @@ def price_range(low: Column, high: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), F.least(a, b)), F.greatest(F.lit(0.0), F.greatest(a, b))
 
 
+#: The units of listings, each with the spellings that count as it.
+UNITS = {
+    "Stück": ["Stück", "Stueck", "StÃ¼ck"], "Kubikmeter": ["Kubikmeter", "m3", "m³"], "Quadratmeter": ["Quadratmeter", "m2", "m²"],
+    "Meter": ["Meter"], "Kilogramm": ["Kilogramm", "kg"],
+}
+
+
 def canonical_unit(unit: Column) -> Column:
-    """Aliases and mis-decoded spellings of the units."""
-    u = F.lower(F.trim(unit))
-    return F.when(u.isin("stueck", "stück", "stã¼ck", "stk"), "Stück").when(u.isin("m3", "m³"), "m³").when(u.isin("m2", "m²"), "m²").otherwise(F.trim(unit))
+    """The unit that a spelling stands for, with regard to case; null for any other."""
+    by = F.create_map(*[F.lit(x) for name, spellings in UNITS.items() for s in spellings for x in (s, name)])
+    return F.element_at(by, F.trim(unit))
 
 
 def date_only(text: Column) -> Column:
@@ -40,10 +47,11 @@ def date_only(text: Column) -> Column:
     return F.when(F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(text, 1, 10).try_cast("date"))
 
 
-def slider_index(value: Column, options: list[float]) -> Column:
-    """Index of the nearest option; of two as near, the first."""
+def slider_index(value: Column, options: list[float], unbounded: bool = True) -> Column:
+    """Index of the nearest option; of two as near, the first. Beyond the last one comes that of infinity, if unbounded."""
     pairs = [F.struct(F.abs(value - F.lit(float(o))).alias("d"), F.lit(i).alias("i")) for i, o in enumerate(options)]
-    return F.when(value == INFINITY, F.lit(len(options))).otherwise(F.array_min(F.array(*pairs))["i"])
+    beyond = (value > float(options[-1])) | F.isnan(value)
+    return F.when(beyond | (value == -INFINITY), F.lit(len(options) - (not unbounded))).otherwise(F.array_min(F.array(*pairs))["i"])
 
 
 def file_name(text: Column, most: int = 180) -> Column:
@@ -52,9 +60,11 @@ def file_name(text: Column, most: int = 180) -> Column:
     return F.left(F.regexp_replace(base, r'[\x00-\x1f<>:"|?*]', "_"), F.lit(most))
 
 
-def first_error_line(text: Column, most: int = 200) -> Column:
-    """The first line of an error, paths cut to their last part."""
-    return F.left(F.regexp_replace(F.element_at(F.split(text, "\n"), 1), r"(/[^\s/]+)+/", ""), F.lit(most))
+def first_error_line(text: Column, kind: Column, most: int = 200) -> Column:
+    """The first line of an error without paths of either kind; the error's class where nothing is left."""
+    line = F.btrim(F.regexp_extract(F.coalesce(text, F.lit("")), r"^([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)", 1), F.lit(" \t\n\r\x0b\x0c"))
+    bare = F.regexp_replace(line, r"(?U)(?:[A-Za-z]:\\|/)[\w.\-\\/]+", "")
+    return F.left(F.btrim(F.coalesce(F.nullif(bare, F.lit("")), kind), F.lit(" \t\n\r\x0b\x0c")), F.lit(most))
 
 
 def name_uuid(text: Column) -> Column:

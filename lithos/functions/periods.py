@@ -29,6 +29,6 @@ def label(code: Column) -> Column:
 
 
 def label_or_list(best: Column, bp: Column) -> Column:
-    """The best guess's label, else the joined labels of the list, else 'unbekannt'."""
-    known = F.array_distinct(F.transform(F.filter(codes(bp), lambda c: c.between(1, 5)), lambda c: label(c)))
-    return F.coalesce(F.when(best.between(1, 5), label(best)), F.nullif(F.array_join(known, ", "), F.lit("")), F.lit("unbekannt"))
+    """The best guess's label if there is a guess, else the joined labels of all tokens of the list, else 'unbekannt'."""
+    tokens = F.transform(F.split(F.nullif(bp, F.lit("")), ","), lambda t: label(F.when(F.trim(t) == "", 0).otherwise(F.trim(t).try_cast("int"))))
+    return F.coalesce(F.when(best.isNotNull(), label(best)), F.array_join(tokens, ", "), F.lit("unbekannt"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithos.functions.numbers import canonical_unit
+from lithos.functions.numbers import canonical_unit, price_range
 from lithos.operators.spatial import radius_pairs
 from lithos.vocab import MATERIAL_GROUPS
 
@@ -16,27 +16,18 @@ def visible(listings: DataFrame) -> DataFrame:
 
 
 def filtered(listings: DataFrame, price: tuple = (None, None), available_from=None, materials=(), potentials=(), statuses=(), quantity=None, unit=None) -> DataFrame:
-    """The filter panel: a null price fails a price filter; an object without a chosen unit counts in pieces."""
-    out = visible(listings)
-    low, high = price
-    if low is not None:
-        out = out.where(F.col("price") >= low)
-    if high is not None:
-        out = out.where(F.col("price") <= high)
+    """The filter panel: a listing needs a price; an object counts in pieces unless another unit is chosen, whether or not
+    a quantity is asked for."""
+    low, high = price_range(*(F.lit(None if x is None else float(x)).cast("double") for x in price))
+    out = visible(listings).where(F.col("price").cast("double").between(low, high))
     if available_from is not None:
         out = out.where(F.col("available_from") <= F.lit(available_from).cast("date"))
     for name, values in (("material", materials), ("potential", potentials), ("status", statuses)):
         if values:
             out = out.where(F.col(name).isin(*values))
-    if quantity is not None:
-        wanted = F.lit(canonical(unit)) if unit else F.when(F.col("component_category") == "Objekt", F.lit("Stück"))
-        own = canonical_unit(F.col("unit"))
-        out = out.where((F.col("quantity") >= quantity) & (wanted.isNull() | (own == wanted)))
-    return out
-
-
-def canonical(unit: str) -> str:
-    return {"stueck": "Stück", "stk": "Stück", "m3": "m³", "m2": "m²"}.get(unit.lower(), unit)
+    wanted = F.coalesce(canonical_unit(F.lit(unit)), F.when(F.col("component_category") == "Objekt", F.lit("Stück")))
+    out = out.where(wanted.isNull() | F.coalesce(canonical_unit(F.col("unit")) == wanted, F.lit(False)))
+    return out if quantity is None else out.where(F.col("quantity") >= quantity)
 
 
 def active_filters(filters: DataFrame) -> F.Column:

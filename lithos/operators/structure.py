@@ -32,9 +32,10 @@ def valid_storeys(structure: F.Column) -> F.Column:
 
 
 def valid_part(measure: F.Column, layers: F.Column, connections: list[str]) -> F.Column:
-    """Measure of 1 or more, at least one layer with thickness, none between 0 and 1; connections count as 0."""
+    """Measure of 1 or more, every layer with a material, at least one with thickness, none below 1; connections count as 0."""
     t = F.transform(layers, lambda x: F.when(x["material"].isin(*connections), F.lit(0.0)).otherwise(F.coalesce(x["thickness"], F.lit(0.0))))
-    return F.coalesce((measure >= 1) & F.exists(t, lambda x: x > 0) & F.forall(layers, lambda x: x["material"].isin(*connections) | (F.coalesce(x["thickness"], F.lit(0.0)) >= 1)), F.lit(False))
+    named = F.forall(layers, lambda x: F.coalesce(x["material"] != "", F.lit(False)))
+    return F.coalesce((measure >= 1) & named & F.exists(t, lambda x: x > 0) & F.forall(layers, lambda x: x["material"].isin(*connections) | (F.coalesce(x["thickness"], F.lit(0.0)) >= 1)), F.lit(False))
 
 
 #: Part types that a location allows, by floor or roof.
@@ -74,12 +75,17 @@ def reallocate(stored: DataFrame, arriving: DataFrame, key: str = "source_extrac
 
 
 def merge_updates(old: DataFrame, new: DataFrame, key: str, columns: list[str], now: F.Column) -> DataFrame:
-    """Upsert by key: updated_at moves only where a column is distinct from before."""
-    n = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
-    j = old.join(n, key, "full")
-    changed = F.coalesce(F.col("_new"), F.lit(False)) & ~_all([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
-    take = F.coalesce("_new", F.lit(False))
-    return j.select(key, *[F.when(take, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], F.when(changed, now).otherwise(F.col("updated_at")).alias("updated_at"))
+    """Upsert by key: updated_at moves only where a column is distinct from before; a new row has it from the start.
+
+    All columns of old stay, also those that are not merged (null in new rows). Null keys equal one another, so merging
+    the same rows again adds none.
+    """
+    n = new.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
+    j = old.withColumn("_old", F.lit(True)).join(n, F.col(key).eqNullSafe(F.col("_key")), "full")
+    take, known = F.coalesce("_new", F.lit(False)), F.coalesce("_old", F.lit(False))
+    changed = take & ~(known & _all([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]))
+    out = {c: F.when(take, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns} | {key: F.when(known, F.col(key)).otherwise(F.col("_key")), "updated_at": F.when(changed, now).otherwise(F.col("updated_at"))}
+    return j.select(*[out.get(c, F.col(c)).alias(c) for c in old.columns])
 
 
 def _all(conditions: list) -> F.Column:
@@ -90,7 +96,12 @@ def _all(conditions: list) -> F.Column:
 
 
 def reserved(open_rows: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
-    """Upload reservations: an open one with the same key keeps its id, else a new one is derived from the key."""
-    mine = open_rows.where(F.col("file_url").isNull()).groupBy(*key).agg(F.min("id").alias("old_id"))
-    new_id = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]), 256)
-    return asked.join(mine, key, "left").withColumn("id", F.coalesce("old_id", new_id)).drop("old_id")
+    """Upload reservations: an open one with the same key keeps its id, else a new one is derived from the key.
+
+    The new id also hashes how many rows of the key have their file, so that each reservation after a file has another;
+    two that are asked for at once have the same. Key parts are hashed as JSON, which keeps them apart; nulls are equal.
+    """
+    mine = open_rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(F.when(F.col("file_url").isNull(), F.col("id"))).alias("old_id"), F.count("file_url").alias("_attached"))
+    same = _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    new_id = F.sha2(F.to_json(F.array(*[F.col(k).cast("string") for k in key], F.coalesce("_attached", F.lit(0)).cast("string"))), 256)
+    return asked.join(mine, same, "left").withColumn("id", F.coalesce("old_id", new_id)).select(*asked.columns, "id")

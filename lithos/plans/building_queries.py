@@ -23,7 +23,7 @@ def q_collapse(spark, d):
 
 
 def q_label(spark, d):
-    return _b(spark, d).select("bw_geb_id", periods.label_or_list(F.col("bp_best_guess"), F.col("bp")).alias("period"))
+    return _b(spark, d).select("bw_geb_id", periods.label_or_list(F.when(F.col("dom_nutzung") != 2, F.col("bp_best_guess")), F.col("bp")).alias("period"))
 
 
 def q_usage_period(spark, d):
@@ -182,9 +182,12 @@ QUERIES = {
     "positive_usage_pivot": q_pivot,
     "period_forest": q_forest,
 }
+
+_LABEL = "CASE {} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in PERIODS.items()) + " ELSE 'unbekannt' END"
 _SQL = {
     "collapse_bp": f"SELECT bw_geb_id, {CODE} AS bp_code FROM buildings",
-    "period_label": "SELECT bw_geb_id, CASE WHEN bp_best_guess BETWEEN 1 AND 5 THEN CASE bp_best_guess " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in PERIODS.items()) + " END ELSE coalesce(nullif(array_to_string(list_transform(list_filter(list_transform(string_split(bp, ','), lambda t: t::INT), lambda c: c BETWEEN 1 AND 5), lambda c: CASE c " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in PERIODS.items()) + " END), ', '), ''), 'unbekannt') END AS period FROM buildings",
+    "period_label": f"""SELECT bw_geb_id, CASE WHEN dom_nutzung <> 2 THEN {_LABEL.format("bp_best_guess")}
+        ELSE array_to_string(list_transform(string_split(bp, ','), lambda t: {_LABEL.format("t::INT")}), ', ') END AS period FROM buildings""",
     "usage_period_filter": "SELECT bw_geb_id, dom_nutzung, bp FROM buildings WHERE dom_nutzung IN (1, 3) AND list_has_any(string_split(bp, ','), ['1', '4'])",
     "parametric_geometry": f"WITH {PARA} SELECT * FROM para",
     "element_areas": f"WITH {PARA}, {ELEM} SELECT bauperiode, ort, art, count(*) AS n, round(sum(area), 3) AS area FROM el WHERE area > 0 GROUP BY ALL",

@@ -65,7 +65,7 @@ def _options():
 
 
 def q_slider(spark, d):
-    return _l(spark, d).select(nb.slider_index(F.col("price").cast("double"), _options()).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
+    return _l(spark, d).select(nb.slider_index(F.col("price").cast("double") * 2, _options()).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_violations(spark, d):
@@ -179,8 +179,9 @@ def q_job_stream(spark, d):
 
 
 def q_error_lines(spark, d):
-    text = F.concat(F.lit("failed at /srv/jobs/"), F.col("job_id").cast("string"), F.lit("/run.py: "), F.col("status"), F.lit("\ntrace"))
-    return view(spark, d, "jobs").select(nb.first_error_line(text).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    at = F.concat(F.lit("failed at /srv/jobs/"), F.col("job_id").cast("string"), F.lit("/run.py: "), F.col("status"), F.lit("\ntrace"))
+    text = F.when(F.col("event_id") % 3 == 0, at).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" C:\\jobs\\"), F.col("status"), F.lit(".py \n"), at))
+    return view(spark, d, "jobs").select(nb.first_error_line(text, F.concat(F.lit("Error"), F.col("status"))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -192,7 +193,7 @@ QUERIES = {
     "gap_islands": q_islands, "thickness_palette": q_palette, "mean_direction": q_direction, "job_states": q_job_states, "job_starts": q_job_starts,
     "job_windows": q_job_windows, "job_stream": q_job_stream, "error_lines": q_error_lines,
 }
-UNIT = "CASE unit WHEN 'Stueck' THEN 'Stück' WHEN 'm3' THEN 'm³' ELSE unit END"
+UNIT = "CASE unit WHEN 'Stueck' THEN 'Stück' WHEN 'Stück' THEN 'Stück' WHEN 'm3' THEN 'Kubikmeter' WHEN 'kg' THEN 'Kilogramm' END"
 GROUPS = ", ".join(f"('{m}', '{g}')" for g, ms in MATERIAL_GROUPS.items() for m in ms)
 OPTS = ", ".join(f"({i}, {o})" for i, o in enumerate(_options()))
 TYPE = "CASE WHEN material = 'Holz' THEN 'Dach' WHEN thickness > 0.25 THEN 'RG' ELSE 'KG' END"
@@ -204,7 +205,7 @@ _V = {
     "listing_search": ("listings", "SELECT status, count(*) AS n FROM listings WHERE contains(lower(concat_ws(' ', name, material, object_type)), 'holz') AND status <> 'verkauft' GROUP BY status"),
     "similar_within_radius": ("buildings", "SELECT a.bw_geb_id AS id, b.bw_geb_id AS other, round(sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0)), 6) AS distance_m FROM buildings a JOIN buildings b ON a.bw_geb_id <> b.bw_geb_id AND a.dom_nutzung = b.dom_nutzung AND (a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) <= 625"),
     "price_ranges": ("listings", "WITH a AS (SELECT id, floor(price::DOUBLE / 100)::BIGINT AS l FROM listings), b AS (SELECT CASE id % 3 WHEN 1 THEN l + 0.5 ELSE 0 END::DOUBLE AS x, CASE WHEN l < 1000 THEN l * 1000 ELSE l END::DOUBLE AS y FROM a) SELECT least(x, y) AS low, greatest(x, y) AS high, count(*) AS n FROM b GROUP BY ALL"),
-    "price_slider": ("listings", f"WITH o(i, v) AS (VALUES {OPTS}), p AS (SELECT DISTINCT price::DOUBLE AS p FROM listings), b AS (SELECT p, min((abs(p - v), i)) AS m FROM p, o GROUP BY p) SELECT m[2] AS idx, count(*) AS n FROM listings JOIN b ON p = price::DOUBLE GROUP BY 1"),
+    "price_slider": ("listings", f"WITH o(i, v) AS (VALUES {OPTS}), p AS (SELECT DISTINCT price::DOUBLE * 2 AS p FROM listings), b AS (SELECT p, min((abs(p - v), i)) AS m FROM p, o GROUP BY p) SELECT CASE WHEN p > 100000 THEN (SELECT count(*) FROM o) ELSE m[2] END AS idx, count(*) AS n FROM listings JOIN b ON p = price::DOUBLE * 2 GROUP BY 1"),
     "rule_violations": ("listings", "SELECT 'price' AS rule, count(*) AS n FROM listings WHERE price::DOUBLE < 2000 HAVING count(*) > 0 UNION ALL SELECT 'status', count(*) FROM listings WHERE id % 11 = 0 HAVING count(*) > 0 UNION ALL SELECT 'name', count(*) FROM listings WHERE id % 13 = 0 HAVING count(*) > 0"),
     "part_validity": ("layers", "SELECT build_id, nettoflaeche / 100 >= 1 AND bool_or(material <> 'Holz' AND thickness * 10 - 0.5 > 0) AND bool_and(material = 'Holz' OR thickness * 10 - 0.5 >= 1) AS valid, round(coalesce(sum(thickness * 10 - 0.5) FILTER (material <> 'Holz'), 0), 6) + 0.0::DOUBLE AS total FROM layers GROUP BY build_id, nettoflaeche"),
     "layer_reindex": ("layers", "SELECT build_id, pos AS layer_index, material, CASE WHEN material = 'Holz' THEN 0 ELSE greatest(0, floor(thickness * 25 + 0.5))::BIGINT END AS thickness FROM layers"),
@@ -227,6 +228,6 @@ _V = {
     "job_states": ("jobs", "SELECT job_id, (max((ts, event_id, status)))[3] AS status, count(*) AS n_events FROM jobs GROUP BY job_id"),
     "job_starts": ("jobs", "SELECT job_id, min(event_id) AS start_id, count(*) AS n_starts FROM jobs WHERE status = 'queued' GROUP BY job_id, date_trunc('hour', ts)"),
     "job_windows": ("jobs", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, status, count(*) AS n FROM jobs GROUP BY ALL"),
-    "error_lines": ("jobs", "SELECT 'failed at run.py: ' || status AS line, count(*) AS n FROM jobs GROUP BY status"),
+    "error_lines": ("jobs", "SELECT CASE WHEN event_id % 3 = 0 THEN 'failed at : ' || status ELSE 'Error' || status END AS line, count(*) AS n FROM jobs GROUP BY 1"),
 }
 ORACLES = {k: with_views(sql, v) for k, (v, sql) in _V.items()}

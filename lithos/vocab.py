@@ -61,3 +61,13 @@ OPEN_IW = {"tragend": {0: 0.12, 1: 0.12, 2: 0.07, 3: 0.07, 4: 0.03, 5: 0.03}, "l
 FIXED_LAYER_M = 0.03
 #: Options of the price slider: (up to, step).
 PRICE_STEPS = [(250, 10), (1000, 50), (1500, 100), (3000, 500), (10000, 1000), (100000, 10000)]
+
+#: Usual thickness of a layer in mm, by material; FALLBACK_MM for all others.
+LAYER_MM = {
+    "Aluminium": 3, "Asphalt": 30, "Beton": 200, "Bitumen": 4, "Blähbeton": 200, "Blei": 2, "Diverse Kunststoffe": 5,
+    "Eternit": 6, "Estrich": 60, "Fliesen": 10, "Fliesenkleber": 5, "Glas": 6, "Heraklith": 35, "Holz": 24, "Kautschuk": 4,
+    "Keramik": 10, "Kupfer": 1, "Laminat": 8, "Linol": 3, "Messing": 2, "Mineralfaser": 20, "Mineralwolle": 120,
+    "Mörtel": 12, "Naturstein": 30, "Papier": 1, "Putz": 15, "PVC": 2, "Rigips": 12, "Schlacke": 80, "Schüttung": 60,
+    "Stahl": 5, "Steinzeug": 10, "Stroh": 400, "Styropor": 100, "Teppich": 8, "Terrazzo": 20, "Ytong": 250, "Ziegel": 300,
+}
+FALLBACK_MM = 50

@@ -8,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lithos.functions import layers as ly
+from lithos.functions import periods
 from lithos.functions import numbers as nb
 from lithos.functions.periods import collapse_bp
 from lithos.operators import components, market, markov, parametric, structure, thickness
@@ -58,7 +59,7 @@ def test_price_range(spark, low, high, want):
 
 def test_listing_units(spark):
     rows = [("a", "Objekt", 3.0, "Stück"), ("b", "Objekt", 8.0, "m"), ("c", "Objekt", 5.0, "Stück"), ("d", "Bauteil", 5.0, "kg")]
-    df = spark.createDataFrame(rows, "id string, component_category string, quantity double, unit string").withColumn("status", F.lit("verbaut"))
+    df = spark.createDataFrame(rows, "id string, component_category string, quantity double, unit string").withColumns({"status": F.lit("verbaut"), "price": F.lit(1.0)})
     assert [r.id for r in market.filtered(df.where("component_category = 'Objekt'"), quantity=4).collect()] == ["c"]
     assert [r.id for r in market.filtered(df, quantity=4, unit="kg").collect()] == ["d"]
 
@@ -146,3 +147,51 @@ def test_components(spark):
     e = spark.createDataFrame([Row(a=i, b=i + 1) for i in range(12)] + [Row(a=50, b=51)])
     got = {r.node: r.label for r in components.components(e).collect()}
     assert {got[i] for i in range(13)} == {0} and got[51] == 50
+
+
+def test_reservation_after_each_file(spark):
+    """A key with one file gets another id than the file's, and with two another again; two at once get the same."""
+    key, kind = ["owner", "name", "size"], "id string, owner string, name string, size int, file_url string"
+    asked = spark.createDataFrame([("o", "f", 1), ("o", "f", 1), ("o|f", "", 1), ("o", "|f", 1), (None, "f", 1)], "owner string, name string, size int")
+    rows, seen = spark.createDataFrame([], kind), []
+    for _ in range(3):
+        got = structure.reserved(rows, asked, key).collect()
+        assert len(got) == 5 and len({r.id for r in got}) == 4 and len({r.id for r in got if (r.owner, r.name) == ("o", "f")}) == 1
+        seen.append(got[0].id if (got[0].owner, got[0].name) == ("o", "f") else next(r.id for r in got if (r.owner, r.name) == ("o", "f")))
+        rows = rows.unionByName(spark.createDataFrame([(seen[-1], "o", "f", 1, "url")], kind))
+    assert len(set(seen)) == 3
+
+
+def test_merge_keeps_all_columns_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a", "x", "t0"), (None, "n", "y", "t0")], "id int, v string, other string, updated_at string")
+    new = spark.createDataFrame([(1, "b"), (None, "n"), (2, "c")], "id int, v string")
+    once = structure.merge_updates(old, new, "id", ["v"], F.lit("t1"))
+    want = {(1, "b", "x", "t1"), (None, "n", "y", "t0"), (2, "c", None, "t1")}
+    assert {tuple(r) for r in once.collect()} == want and once.count() == 3
+    again = structure.merge_updates(once, new, "id", ["v"], F.lit("t2"))
+    assert {tuple(r) for r in again.collect()} == want and again.count() == 3
+
+
+def test_rules_of_values(spark):
+    """Unit spellings, the slider's ends, error lines, period labels, layers without a material."""
+    assert [one(spark, nb.canonical_unit(F.lit(u))) for u in (" m2 ", "m³", "kg", "Meter", "KG", "stk", "m")] == ["Quadratmeter", "Kubikmeter", "Kilogramm", "Meter", None, None, None]
+    options = [0.0, 10.0, 100_000.0]
+    slider = lambda v, unbounded=True: one(spark, nb.slider_index(F.lit(float(v)), options, unbounded))
+    assert [slider(v) for v in (5, 6, 100_000, 100_001, 250_000, "inf", -4)] == [0, 1, 2, 3, 3, 3, 0]
+    assert [slider(v, False) for v in (100_000, 250_000, "inf")] == [2, 2, 2]
+    line = lambda t: one(spark, nb.first_error_line(F.lit(t), F.lit("ValueError")))
+    assert line("cannot open /srv/a-b/x_1.laz: gone\nat /etc") == "cannot open : gone" and line("C:\\tmp\\x.py") == "ValueError"
+    assert line("") == line(None) == line("/a/b") == "ValueError" and line("  bad  ") == "bad" and line("x" * 300) == "x" * 200
+    label = lambda best, bp: one(spark, periods.label_or_list(F.lit(best).cast("int"), F.lit(bp).cast("string")))
+    assert label(0, "1,2") == "unbekannt" and label(9, "1") == "unbekannt" and label(None, "1, 1,7,x") == "bis 1918, bis 1918, unbekannt, unbekannt"
+    assert label(None, None) == label(None, "") == "unbekannt"
+    layers = lambda *x: F.array(*[F.struct(F.lit(m).cast("string").alias("material"), F.lit(t).cast("double").alias("thickness")) for m, t in x])
+    ok = lambda *x: one(spark, structure.valid_part(F.lit(2.0), layers(*x), ["geklebt"]))
+    assert ok(("Ziegel", 240.0)) and not ok(("Ziegel", 240.0), (None, 10.0)) and not ok(("Ziegel", 240.0), ("", 10.0)) and not ok(("Ziegel", 240.0), ("Putz", None))
+
+
+def test_filter_needs_a_price_and_a_unit(spark):
+    rows = [("a", "Objekt", 3.0, "Stück", 10.0), ("b", "Objekt", 8.0, "m", 10.0), ("c", "Bauteil", 5.0, "kg", None), ("d", "Bauteil", 5.0, "kg", 7.0), ("e", "Bauteil", None, "Meter", 7.0)]
+    df = spark.createDataFrame(rows, "id string, component_category string, quantity double, unit string, price double").withColumn("status", F.lit("verbaut"))
+    ids = lambda **k: sorted(r.id for r in market.filtered(df, **k).collect())
+    assert ids() == ["a", "d", "e"] and ids(unit="kg") == ["d"] and ids(quantity=1) == ["a", "d"] and ids(price=(20, 8)) == ["a"] and ids(unit="Palette") == ["a", "d", "e"]

@@ -121,13 +121,22 @@ def test_sources(spark, tmp_path):
 @pytest.mark.parametrize(("line", "measured", "want"), [
     ("Putz 15 Ziegel _ Putz 15", 280.0, [("Putz", 15.0), ("Ziegel", 250.0), ("Putz", 15.0)]),
     ("Putz 15 Ziegel _", None, [("Putz", 15.0), ("Ziegel", 50.0)]),
-    ("zie 12,5 Dübel 9", None, [("Ziegel", 12.5), ("Dübel", 0.0)]),
+    ("zie 12,5 Dübel 9", None, [("Ziegel", 13.0), ("Dübel", 0.0)]),
     ("Putz 15 Wolke 3", None, None),
-    ("Putz", None, None),
+    ("Putz", None, [("Putz", 15.0)]),
+    ("Ziegel Putz", 400.0, [("Ziegel", 300.0), ("Putz", 15.0)]),
+    ("Schaum _ Putz _ Schaum _", 100.0, [("Schaum", 33.0), ("Putz", 33.0), ("Schaum", 33.0)]),
+    ("Schaum", None, [("Schaum", 50.0)]),
+    ("Dübel _ Putz _", 20.0, [("Dübel", 0.0), ("Putz", 20.0)]),
+    ("Putz 15 20", None, None),
+    ("feiner Putz 15", None, None),
+    ("Putz 500 Ziegel _", 100.0, [("Putz", 500.0), ("Ziegel", 0.0)]),
+    ("  ", None, None),
+    (None, None, None),
 ])
 def test_buildup(spark, line, measured, want):
     df = spark.createDataFrame([(line, measured)], "line string, mm double")
-    got = df.select(buildup.parsed(F.col("line"), F.col("mm"), ["Putz", "Ziegel"], ["Dübel"]).alias("x")).first().x
+    got = df.select(buildup.parsed(F.col("line"), F.col("mm"), ["Putz", "Ziegel", "Schaum"], ["Dübel"]).alias("x")).first().x
     assert (None if got is None else [tuple(r) for r in got]) == want
 
 
