@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithos.llm.shared import scratch, stored, table
-from lithos.llm.wordhash import mix
+from lithos.llm.wordhash import blocks, mix
 
 WINDOW = 13
 ANCHOR = 6
@@ -50,17 +50,6 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about size bytes of text."""
-    for batch in batches:
-        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 1)
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size)))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def seeded_words(texts: pa.Array, seed: str, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets of the texts); fewer bits make collisions, for tests."""
     pieces = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -112,7 +101,7 @@ def shared_anchors(rows: DataFrame, window: int, anchor: int, seed: str, bits: i
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, BLOCK_BYTES):
             w = Windows(*seeded_words(batch.column("text"), seed, bits), window, anchor)
             if not len(w.at):
                 continue
@@ -151,7 +140,7 @@ def links(rows: DataFrame, shared: DataFrame, window: int, anchor: int, seed: st
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, BLOCK_BYTES):
             w = Windows(*seeded_words(batch.column("text"), seed, bits), window, anchor)
             lists = batch.column("anchors").combine_chunks() if isinstance(batch.column("anchors"), pa.ChunkedArray) else batch.column("anchors")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -242,7 +231,7 @@ def cleaned(rows: DataFrame, spans_: DataFrame, window: int, texts: bool) -> Dat
     """doc rows: doc_id, n_words, n_removed, kept_sha256 and with texts the kept text; print rows: hashes of spans and sources."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, BLOCK_BYTES):
             docs, prints = [], []
             for doc_id, t, text, own, given in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "text", "own", "given")), strict=True):
                 w = (text or "").encode().split()

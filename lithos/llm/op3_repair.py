@@ -149,6 +149,8 @@ def expansion_lengths(rules: np.ndarray, end: int) -> np.ndarray:
 
 def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray, vocab: int) -> tuple[bytes, int]:
     """A shard's bytes from the ids of its documents (each with its end id), and the number of stored symbols."""
+    if vocab >= 65535:
+        raise ValueError(f"symbols have 16 bits: a vocabulary of {vocab} leaves no room for the mark and the rules")
     ends = np.cumsum(counts)
     symbols = ids.copy()
     symbols[ends - 1] = vocab  # the mark of a document's end, unlike the same id within a text

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most size bytes of text, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 1)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def word_codes(texts: pa.Array, clean=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hashes of the distinct words, index of every word among them, offsets of the texts).
 

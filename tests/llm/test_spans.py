@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lithos.llm import op11_substrings, op12_merkle, op13_alignment
+from lithos.llm import op3_repair, op10_toxicity, op11_substrings, op12_merkle, op13_alignment
+from lithos.llm.wordhash import blocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, t string, n long, pair long"
 
@@ -279,3 +281,39 @@ def test_oracle_of_spans(spark, op):
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     theirs = con.sql(op.SQL)
     assert rows_of(op.query(spark, "/root/testdata/sf0.001"), theirs.columns) == sorted(theirs.fetchall(), key=order)
+
+
+# shared parts and earlier operators
+
+
+def test_blocks_are_bounded():
+    """Texts of 20,000 words stand in blocks of their own, short ones together; nulls and empty texts count as one byte."""
+    texts = ["w " * 20_000, "a b", None, "", "c " * 20_000, "d"] * 3
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    got = list(blocks(iter([batch]), 30_000))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    assert all(b.num_rows == 1 or sum(len(t or "") + 1 for t in b.column("text").to_pylist()) <= 30_000 for b in got)
+    assert max(b.num_rows for b in got) == 3 and list(blocks(iter([batch.slice(0, 0)]), 10)) == []
+
+
+def test_convolution_equals_loops():
+    """Logits of texts of any length, also below a filter's width, against plain loops over words and filters."""
+    rng = np.random.default_rng(1)
+    model = op10_toxicity.Classifier()
+    model.bias = rng.normal(0, 0.3, len(model.bias)).astype(np.float32)
+    texts = ["one", "one two", "one two three one four five six", " ".join(f"w{i % 37}" for i in range(500)), "six five"]
+    got = model.logits(pa.array(texts))
+    for text, logit in zip(texts, got):
+        rows, codes, offsets = op10_toxicity._words(pa.array([text]))
+        vectors = [model.table[rows[c]].sum(0) for c in codes[offsets[0] : offsets[1]]]
+        pooled = []
+        for f in model.filters:
+            at = [sum(vectors[p + j] @ f[j] for j in range(len(f)) if p + j < len(vectors)) for p in range(len(vectors))]
+            pooled.append(at)
+        values = np.concatenate([np.array(x) for x in pooled], 1) + model.bias
+        assert logit == pytest.approx(float(np.maximum(values, 0).max(0) @ model.out + model.base), abs=1e-4)
+
+
+def test_repair_refuses_a_large_vocabulary():
+    with pytest.raises(ValueError, match="16 bits"):
+        op3_repair.pack([1], np.array([2]), np.array([5, 1], np.uint32), 70_000)
