@@ -52,7 +52,7 @@ def forest(rows: DataFrame, label: Column, leaf: int, trees: int, depth: int, se
     fit = rows.select("features", label.cast("double").alias("label")).where("label IS NOT NULL")
     if fit.isEmpty():
         return None
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(fit)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=256, seed=seed).fit(fit)
 
 
 def probabilities(model, rows: DataFrame, name: str, n: int) -> DataFrame:

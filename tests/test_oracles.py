@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lithos import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         return repr(float(v)) if type(v).__name__ in ("int", "int32", "int64", "float", "float64") else str(v)
 
