@@ -25,6 +25,11 @@ def _snapped(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(at(p["x"]).alias("x"), at(p["y"]).alias("y")))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, wherever f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _minus(p: Column, q: Column) -> tuple[Column, Column]:
     """Differences are taken before they become doubles, so they are exact."""
     return (p["x"] - q["x"]).cast("double"), (p["y"] - q["y"]).cast("double")
@@ -61,7 +66,9 @@ def _split(edges: DataFrame) -> DataFrame:
     e = edges.withColumn("c", F.explode(_edge_cells(F.col("p"), F.col("q")))).select("g", "p", "q", "c.gx", "c.gy")
     o = e.select("g", F.col("p").alias("op"), F.col("q").alias("oq"), "gx", "gy")
     p, q, op, oq = (F.col(c) for c in ("p", "q", "op", "oq"))
-    met = e.join(o, ["g", "gx", "gy"]).where(F.struct("p", "q") < F.struct("op", "oq"))
+    reach = lambda c, a, b: (F.least(a[c], b[c]) - 2, F.greatest(a[c], b[c]) + 2)
+    near = [reach(c, p, q)[0] <= reach(c, op, oq)[1] for c in "xy"] + [reach(c, op, oq)[0] <= reach(c, p, q)[1] for c in "xy"]
+    met = e.join(o, ["g", "gx", "gy"]).where((F.struct("p", "q") < F.struct("op", "oq")) & near[0] & near[1] & near[2] & near[3])
 
     def on(r: Column, a: Column, b: Column) -> Column:
         u, v = _minus(b, a), _minus(r, a)
@@ -79,12 +86,13 @@ def _split(edges: DataFrame) -> DataFrame:
     at = F.struct((p["x"] + F.round(t * u[0]).cast("long")).alias("x"), (p["y"] + F.round(t * u[1]).cast("long")).alias("y"))
     crossing = F.array(F.struct(p.alias("p"), q.alias("q"), at.alias("r")), F.struct(op.alias("p"), oq.alias("q"), at.alias("r")))
     crossed = F.coalesce((t > 0) & (t < 1) & (s > 0) & (s < 1), F.lit(False))
-    met = met.select("g", F.explode(F.when(F.size(ends) > 0, ends).when(crossed, crossing)).alias("m"))
+    met = met.select("g", F.explode(_let(ends, lambda m: F.when(F.size(m) > 0, m).when(crossed, crossing))).alias("m"))
     cuts = met.select("g", "m.p", "m.q", "m.r").groupBy("g", "p", "q").agg(F.collect_set("r").alias("rs"))
     whole = edges.join(cuts, ["g", "p", "q"], "left")
     placed = F.transform(F.coalesce("rs", F.array().cast(f"array<{POINT}>")), lambda r: F.struct(_dot(_minus(r, p), _minus(q, p)).alias("t"), r.alias("r")))
     corners = F.concat(F.array(p), F.transform(F.array_sort(placed), lambda x: x["r"]), F.array(q))
-    parts = F.transform(F.slice(corners, 1, F.size(corners) - 1), lambda a, i: F.struct(F.least(a, F.get(corners, i + 1)).alias("p"), F.greatest(a, F.get(corners, i + 1)).alias("q")))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+    parts = _let(corners, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: pair(a, F.get(c, i + 1))))
     return whole.select("g", F.explode(parts).alias("e")).select("g", "e.p", "e.q").where("p <> q").distinct()
 
 
@@ -97,10 +105,12 @@ def _outer(pieces: DataFrame, shapes: DataFrame) -> DataFrame:
     at = pieces.withColumns({"mx": mx, "my": my, "nx": -dy / length * ASIDE, "ny": dx / length * ASIDE})
     at = at.withColumns({"gx": _floor(F.col("mx"), CELL), "gy": _floor(F.col("my"), CELL)})
     xs, ys = F.transform("ring", lambda r: r["x"]), F.transform("ring", lambda r: r["y"])
-    span = lambda v: F.sequence(_floor(F.array_min(v) - 2, CELL), _floor(F.array_max(v) + 2, CELL))
-    boxes = shapes.select("g", "ring", F.explode(span(xs)).alias("gx"), span(ys).alias("gys")).select("g", "ring", "gx", F.explode("gys").alias("gy"))
+    shapes = shapes.select("g", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    rows = F.sequence(_floor(F.col("y0") - 2, CELL), _floor(F.col("y1") + 2, CELL))
+    boxes = shapes.withColumn("gx", F.explode(F.sequence(_floor(F.col("x0") - 2, CELL), _floor(F.col("x1") + 2, CELL)))).withColumn("gy", F.explode(rows))
+    by = F.col("mx").between(F.col("x0") - ASIDE, F.col("x1") + ASIDE) & F.col("my").between(F.col("y0") - ASIDE, F.col("y1") + ASIDE)
     inside = lambda k: rings.contains(F.col("ring"), F.col("mx") + k * F.col("nx"), F.col("my") + k * F.col("ny"))
-    seen = at.join(boxes, ["g", "gx", "gy"]).groupBy("g", "p", "q").agg(F.max(inside(1)).alias("left"), F.max(inside(-1)).alias("right"))
+    seen = at.join(boxes, ["g", "gx", "gy"]).where(by).groupBy("g", "p", "q").agg(F.max(inside(1)).alias("left"), F.max(inside(-1)).alias("right"))
     forth = F.struct(p.alias("a"), q.alias("b"))
     return seen.where("left <> right").select("g", F.when(F.col("left"), forth).otherwise(F.struct(q.alias("a"), p.alias("b"))).alias("e"))
 
@@ -176,9 +186,13 @@ def hull(ring: Column) -> Column:
 
         return F.aggregate(items, empty, step)
 
-    inner = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    around = F.concat(inner(chain(points)), inner(chain(F.reverse(points))))
-    return F.concat(around, F.slice(around, 1, 1))
+    half = lambda items: _let(chain(items), lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))))
+    around = _let(points, lambda ps: F.concat(half(ps), half(F.reverse(ps))))
+    return _let(around, lambda c: F.concat(c, F.slice(c, 1, 1)))
+
+
+def hull_area(ring: Column) -> Column:
+    return _let(hull(ring), rings.area)
 
 
 def _aside2(x: Column, y: Column, e: Column) -> Column:
@@ -190,7 +204,11 @@ def _aside2(x: Column, y: Column, e: Column) -> Column:
 
 def outline_distance(a: Column, b: Column) -> Column:
     """Distance between two polygons: 0 if they touch, cross, or one holds the other."""
-    ea, eb, far = rings.edges(a), rings.edges(b), F.lit(float("inf"))
+    return _let(rings.edges(a), lambda ea: _let(rings.edges(b), lambda eb: _edge_distance(a, b, ea, eb)))
+
+
+def _edge_distance(a: Column, b: Column, ea: Column, eb: Column) -> Column:
+    far = F.lit(float("inf"))
     near = F.aggregate(ea, far, lambda m, e: F.least(m, F.aggregate(eb, far, lambda k, f: F.least(k, _aside2(e["ax"], e["ay"], f), _aside2(f["ax"], f["ay"], e)))))
     side = lambda e, x, y: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
     apart = lambda e, f: side(e, f["ax"], f["ay"]) * side(e, f["bx"], f["by"])
@@ -247,7 +265,7 @@ def period_features(buildings: DataFrame, context: DataFrame, key: str) -> DataF
     """
     r = F.col("ring")
     one = lambda c: F.greatest(c, F.lit(1.0))
-    b = buildings.join(context, key, "left").withColumns({"_a": one(rings.area(r)), "perim_m": one(rings.perimeter(r)), "_h": one(rings.area(hull(r)))})
+    b = buildings.join(context, key, "left").withColumns({"_a": one(rings.area(r)), "perim_m": one(rings.perimeter(r)), "_h": one(hull_area(r))})
     a, p, volume = F.col("_a"), F.col("perim_m"), F.coalesce(F.col("m3vol").cast("double"), F.lit(0.0))
     made = {
         "log_area": F.ln(a), "log_vol": F.ln(one(volume)), "vol_per_area": F.greatest(volume, F.lit(0.0)) / a, "npoints": F.size(r).cast("double"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lithos.operators.footprints import FEATURES
 from lithos.operators.spatial import assemble_period
+from lithos.session import cut
 
 #: Coarse classes in the order of their names, the coarse class of each fine one, and the fine classes of the last.
 COARSE = ["1919-1945", "bis 1918", "nach 1945"]
@@ -35,11 +36,12 @@ def late_shares(rows: DataFrame, late: Column, fine: Column) -> DataFrame:
 
 
 def vectors(rows: DataFrame, use: str) -> DataFrame:
-    """Adds the vector of the features and one column per use; a missing use is one of its own. Uses are a closed list of
+    """Adds the vector of the features and one column per use; a missing use is one of its own. The rows are written first,
+    since encoders and forests read them many times. Uses are a closed list of
     codes, so the encoder's table is small."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    rows = rows.withColumn("_use", F.coalesce(F.col(use).cast("string"), F.lit("unk")))
+    rows = cut(rows.withColumn("_use", F.coalesce(F.col(use).cast("string"), F.lit("unk"))))
     rows = StringIndexer(inputCol="_use", outputCol="_i", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     rows = OneHotEncoder(inputCol="_i", outputCol="_hot", dropLast=False).fit(rows).transform(rows)
     return VectorAssembler(inputCols=[*FEATURES, "_hot"], outputCol="features").transform(rows).drop("_use", "_i", "_hot")

@@ -49,8 +49,9 @@ def q_dissolved(spark, d):
 
 
 def q_hulls(spark, d):
-    h = fp.hull(F.col("ring"))
-    return _corners(spark, d).select("bw_geb_id", F.round(rings.area(h), 6).alias("hull_area"), F.size(h).alias("n_vertices"), F.round(rings.perimeter(h), 6).alias("hull_perimeter"))
+    h = F.col("hull")
+    rows = _corners(spark, d).withColumn("hull", fp.hull(F.col("ring")))
+    return rows.select("bw_geb_id", F.round(rings.area(h), 6).alias("hull_area"), F.size(h).alias("n_vertices"), F.round(rings.perimeter(h), 6).alias("hull_perimeter"))
 
 
 def q_outline_neighbours(spark, d):
