@@ -178,6 +178,10 @@ def q_job_stream(spark, d):
     return jb.stream_counts(spark, d)
 
 
+def q_job_poller(spark, d):
+    return jb.polled(spark, d)
+
+
 def q_error_lines(spark, d):
     at = F.concat(F.lit("failed at /srv/jobs/"), F.col("job_id").cast("string"), F.lit("/run.py: "), F.col("status"), F.lit("\ntrace"))
     text = F.when(F.col("event_id") % 3 == 0, at).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" C:\\jobs\\"), F.col("status"), F.lit(".py \n"), at))
@@ -191,7 +195,7 @@ QUERIES = {
     "foreign_key_cascade": q_foreign_key, "schema_difference": q_schema_diff, "extract_ids": q_extract_ids, "run_lengths": q_run_length, "wall_rows": q_wall_rows,
     "plan_completion": q_completion, "segment_dedupe": q_segment_dedupe, "voxel_downsample": q_voxels, "occupancy_profile": q_occupancy, "profile_peaks": q_peaks,
     "gap_islands": q_islands, "thickness_palette": q_palette, "mean_direction": q_direction, "job_states": q_job_states, "job_starts": q_job_starts,
-    "job_windows": q_job_windows, "job_stream": q_job_stream, "error_lines": q_error_lines,
+    "job_windows": q_job_windows, "job_stream": q_job_stream, "job_poller": q_job_poller, "error_lines": q_error_lines,
 }
 UNIT = "CASE unit WHEN 'Stueck' THEN 'Stück' WHEN 'Stück' THEN 'Stück' WHEN 'm3' THEN 'Kubikmeter' WHEN 'kg' THEN 'Kilogramm' END"
 GROUPS = ", ".join(f"('{m}', '{g}')" for g, ms in MATERIAL_GROUPS.items() for m in ms)
