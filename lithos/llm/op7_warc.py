@@ -5,7 +5,8 @@ written or read. On reading, the digest and the length so far travel with every
 carries those of the whole payload, and a payload of any size costs one chunk of memory.
 
 Equal payloads are found by SHA-1 and length: the smallest page_id of a group is the response, the others are revisits
-that name it. The group's smallest id comes from a partial aggregate, and only groups of two or more are joined back.
+that name it by page_id, target and date. Record ids are made of the archive and the record's place in it, so they are
+unique where page_ids are null or repeated. The group's smallest id comes from a partial aggregate, and only groups of two or more are joined back.
 
 Archives are gzip members, one per record, in files of about FILE_BYTES. A task writes under names of its own attempt and
 the manifest lists what finished, so a lost executor leaves nothing that is read.
@@ -35,19 +36,20 @@ FILE_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-CHUNKS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, sha1 string, chunk_no int, chunk binary, last boolean"
+CHUNKS = "page_id long, url string, record_type string, refers_to long, refers_to_url string, payload_bytes long, sha1 string, chunk_no int, chunk binary, last boolean"
 RECORDS = "page_id long, record_type string, refers_to long, chunk_no int, chunk binary, payload_bytes long, payload_digest string, last boolean"
 
 
 def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, payload_bytes, sha1, record_type and refers_to of each page."""
+    """page_id, url, payload, payload_bytes, sha1, record_type, refers_to and that response's url of each page."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
-    firsts = pages.select("page_id", payload.alias("p")).select("page_id", F.octet_length("p").cast("long").alias("payload_bytes"), F.sha1("p").alias("sha1")).where(F.col("payload_bytes") >= min_bytes)
-    firsts = firsts.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    firsts = pages.select("page_id", "url", payload.alias("p")).select("page_id", "url", F.octet_length("p").cast("long").alias("payload_bytes"), F.sha1("p").alias("sha1")).where(F.col("payload_bytes") >= min_bytes)
+    firsts = firsts.groupBy("sha1", "payload_bytes").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count(F.lit(1)).alias("_n"))
+    firsts = firsts.where("_n > 1").select("sha1", "payload_bytes", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
     firsts = stored(firsts, "warc-firsts")  # so that the pages of a frequent payload, an empty one say, can be split in the join
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(firsts, ["sha1", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    return rows.join(firsts, ["sha1", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_to_url"))
 
 
 def chunked(roles: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -56,28 +58,35 @@ def chunked(roles: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("payload_bytes") / chunk_bytes).cast("int") - 1))
     pieces = F.transform(numbers, lambda i: F.struct(i.alias("no"), F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk")))
     nothing = F.array(F.struct(F.lit(0).alias("no"), F.lit(b"").alias("chunk")))
-    kept = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "sha1"]
+    kept = ["page_id", "url", "record_type", "refers_to", "refers_to_url", "payload_bytes", "sha1"]
     rows = roles.select(*kept, F.when(F.col("record_type") == "revisit", nothing).otherwise(pieces).alias("pieces"))
     rows = rows.select(*kept, F.size("pieces").alias("n"), F.explode("pieces").alias("piece"))
     return rows.select(*kept, F.col("piece.no").alias("chunk_no"), F.col("piece.chunk").alias("chunk"), (F.col("piece.no") == F.col("n") - 1).alias("last"))
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(archive: str, record: int) -> str:
+    """The id of an archive's record: no page_id goes in, as those may be null or repeated."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{record}')}>"
 
 
-def _head(r: dict) -> bytes:
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _head(r: dict, ident: str) -> bytes:
     """A record's header block, with the block length known before the first chunk."""
     revisit = r["record_type"] == "revisit"
     block = len(HTTP) + (0 if revisit else r["payload_bytes"])
-    lines = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: {_urn(r['page_id'])}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: {ident}", f"WARC-Date: {DATE}"]
     if r["url"] is not None:
-        lines.append("WARC-Target-URI: " + r["url"].replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append(f"WARC-Target-URI: {_uri(r['url'])}")
     if r["page_id"] is not None:
         lines.append(f"Page-ID: {r['page_id']}")
     lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(r['sha1'])).decode()}", f"Payload-Length: {r['payload_bytes']}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(r['refers_to'])}", f"Refers-To-Page-ID: {r['refers_to']}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {DATE}", f"Refers-To-Page-ID: {r['refers_to']}"]
+        if r["refers_to_url"] is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_uri(r['refers_to_url'])}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
@@ -104,7 +113,7 @@ def write_archives(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                         stream = files.writer(folder, "pages.warc.gz")
                         (out, path), n, size = stream.__enter__(), 0, 0
                     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    out.write(gz.compress(_head(r) + HTTP))
+                    out.write(gz.compress(_head(r, _urn(path, n)) + HTTP))
                 data = gz.compress(r["chunk"])
                 if r["last"]:
                     data += gz.compress(b"\r\n\r\n") + gz.flush()
