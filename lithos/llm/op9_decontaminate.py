@@ -14,12 +14,13 @@ item to the closest part of the text around the window; a document is contaminat
 (1 - SIMILARITY) of the item's words.
 
 Spark deals the items by hash into blocks of about BLOCK_WORDS words, whatever their number and lengths, and writes each
-into the shared folder; only the number of blocks reaches the driver. A task reads a block's file itself. Documents pass
-through one map per block within one stage and are never shuffled; a worker holds one block.
+into the shared folder; only the number of blocks reaches the driver. Documents pass through one map and are never
+shuffled: its worker holds about HELD_BYTES of documents, walks over the blocks' files with them and keeps the last block
+for the next documents, so one block at a time is in memory however large the benchmark is.
 
 Edge cases: null and empty texts and items match nothing; repeated items are found under each of their ids, a null
 item_id included; repeated documents have repeated results; an empty benchmark leaves every document clean; long texts
-are searched whole, in blocks of batches; columns of the documents are carried through untouched: with_matches refuses a
+are searched whole, SEARCH_BYTES or one text at a time; columns of the documents are carried through untouched: with_matches refuses a
 name that the documents have, clean_documents takes one that they have not.
 """
 
@@ -37,16 +38,18 @@ from pyspark.sql import functions as F
 
 from lithos.llm import files
 from lithos.llm.shared import n_words, shared_dir, table
-from lithos.llm.wordhash import closest_within, word_codes
+from lithos.llm.wordhash import blocks, closest_within, word_codes
 
 SIMILARITY = 0.8
 REPEATS = 12
 SAMPLES = 3
 #: The first sampled step lies in the first of so many parts of a walk.
 EARLY = 10
-#: Words of the items that a worker holds, and documents searched at once.
+#: Words of the items that a worker holds at once.
 BLOCK_WORDS = 400_000
-ROWS = 400
+#: Bytes of text that go over all blocks together, and that are searched at once.
+HELD_BYTES = 32 << 20
+SEARCH_BYTES = 1 << 20
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,24 +201,42 @@ def with_matches(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
     out = docs.withColumn(matches, F.array().cast(kind))
     schema = out.schema
 
-    def of_block(folder: str):
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = None
-            for batch in batches:
-                bench = bench or Benchmark(*_read_block(folder), similarity=similarity)
-                for lo in range(0, batch.num_rows, ROWS):
-                    rows = batch.slice(lo, ROWS)
-                    own = [[{"item_id": bench.ids[k], "distance": d, "start": s} for k, d, s in x] for x in bench.search(rows.column("text"))]
-                    if any(before := rows.column(matches).to_pylist()):
-                        own = [a + b for a, b in zip(before, own, strict=True)]
-                    at = rows.schema.get_field_index(matches)
-                    yield pa.RecordBatch.from_arrays([pa.array(own, arrow) if i == at else rows.column(i) for i in range(rows.num_columns)], names=rows.schema.names)
-
-        return task
-
-    for folder in _blocks(items, block_words):
-        out = out.mapInArrow(of_block(folder), schema)
-    return out
+    folders = _blocks(items, block_words)
+    if not folders:
+        return out
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, last, bench = list(range(len(folders))), None, None
+        for batch in _held(batches, HELD_BYTES):
+            found: list[list[list]] = [[[] for _ in folders] for _ in range(batch.num_rows)]
+            for b in walk:
+                if b != last:
+                    bench = None  # the next block is built after the last one is gone
+                    bench, last = Benchmark(*_read_block(folders[b]), similarity=similarity), b
+                at = 0
+                for rows in blocks(iter([batch]), SEARCH_BYTES):
+                    for i, hits in enumerate(bench.search(rows.column("text"))):
+                        found[at + i][b] = [{"item_id": bench.ids[k], "distance": d, "start": s} for k, d, s in hits]
+                    at += rows.num_rows
+            walk.reverse()  # the block at hand comes first for the next documents
+            own = pa.array([[m for hits in x for m in hits] for x in found], arrow)
+            at = batch.schema.get_field_index(matches)
+            yield pa.RecordBatch.from_arrays([own if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+
+    return out.mapInArrow(task, schema)
+
+
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold size bytes of text."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column("text").nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
