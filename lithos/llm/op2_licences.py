@@ -15,7 +15,7 @@ meet only the answer for their own directory.
 
 Edge cases: null and empty texts have no licence of their own and can inherit; a null path has no directory and inherits
 nothing; equal cosines go to the first licence by name, and in a directory to the first file by path; repeated rows get
-the same answer each; very long lines are whole vectors; extra columns are ignored; empty tables give no rows, and
+the same answer each; very long lines are whole vectors, made in time with their length (times its logarithm); extra columns are ignored; empty tables give no rows, and
 without templates no file has a licence.
 """
 
@@ -108,21 +108,23 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_cosi
     rows = rows.select("file_id", "path", F.when(may, F.transform(F.split("text", "\n"), terms)).otherwise(nothing).alias("lines"), F.when(may, sentences).otherwise(nothing).alias("sentences"))
 
     def counted(t: Column) -> Column:
-        return F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("w"), F.size(F.filter(t, lambda x: x == w)).cast("long").alias("n")))
+        """Words and their numbers, from the runs of equal words of the sorted block."""
+        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        runs_of = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))
+        return let(F.sort_array(t), lambda s: let(starts(s), lambda at: runs_of(s, at)))
 
     # runs of two or more lines of mostly template words; lines without any words, such as blank ones, do not end a run
     mostly = lambda t: 2 * n_known(t) >= F.size(t)
-    run = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-    ended = lambda s: F.when(s["n"] >= 2, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-
-    def step(s: Column, t: Column) -> Column:
-        longer = F.struct(s["done"].alias("done"), F.concat(s["open"], t).alias("open"), (s["n"] + F.when(F.size(t) > 0, 1).otherwise(0)).alias("n"))
-        return F.when(mostly(t), longer).otherwise(F.struct(ended(s).alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")))
-
+    lines = F.col("lines")
+    breaks = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i == F.size(lines)) | ~mostly(F.get(lines, i))))
+    between = lambda at: F.transform(F.slice(at, 2, F.size(at) - 1), lambda end, k: F.slice(lines, F.get(at, k) + 2, end - F.get(at, k) - 1))
+    long_enough = lambda r: F.size(F.filter(r, lambda t: F.size(t) > 0)) >= 2
     some_run = F.size(F.filter("lines", lambda t: (F.size(t) > 0) & mostly(t))) >= 2
-    runs = F.when(some_run, F.aggregate("lines", run, step, ended)).otherwise(nothing)
+    runs = F.when(some_run, F.transform(F.filter(let(breaks, between), long_enough), F.flatten)).otherwise(nothing)
     whole = let(F.flatten("lines"), lambda t: F.when((F.size(t) > 0) & mostly(t), F.array(t)).otherwise(nothing))
-    blocks = F.filter(F.array_distinct(F.concat("lines", "sentences", runs, whole)), can_reach)
+    # distinct as strings, which are hashed; arrays would be compared with one another
+    joined = F.transform(F.filter(F.concat("lines", "sentences", runs, whole), can_reach), lambda t: F.array_join(t, " "))
+    blocks = F.transform(F.array_distinct(joined), lambda x: F.split(x, " "))
     vectors = F.transform(blocks, lambda t: F.struct(counted(F.filter(t, is_word)).alias("known"), F.aggregate(counted(F.filter(t, lambda x: ~is_word(x))), F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"]).alias("unknown")))
     rows = rows.select("file_id", "path", vectors.alias("vectors"))
     pairs = lambda d: F.create_map(*[F.lit(y) for x in d.items() for y in x])

@@ -2,8 +2,11 @@
 brute force, round trips or SQL."""
 
 import base64
+import gzip
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import duckdb
@@ -13,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm import op1_sharding, op2_licences, op3_repair, op4_lines, op5_mixing, op6_minhash, op7_warc, op8_quality, op9_decontaminate, op10_toxicity, registry
+from lithos.llm import files, op1_sharding, op2_licences, op3_repair, op4_lines, op5_mixing, op6_minhash, op7_warc, op8_quality, op9_decontaminate, op10_toxicity, registry
 from lithos.llm.shared import shared_dir
 from lithos.llm.wordhash import banded_distance
 
@@ -214,6 +217,11 @@ def test_licences(spark, odd):
     texts = ["MIT License\n\nCopyright (c) 2020 Someone Else\n\n" + wrap(mit, 11), "#!/bin/sh\n" + wrap(gpl[2], 9) + "\n\n" + prose(200, 1), "This work is licensed under\nthe GNU General Public License,\nversion 3.\n" + prose(90, 2), prose(30, 3) + " Copyright 2019 A Person. Released under the MIT License. All else follows. " + prose(30, 4), prose(300, 5)]
     got = op2_licences.scan(spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "file_id long, path string, text string")).orderBy("file_id").collect()
     assert [r.own_licence for r in got] == ["MIT", "GPL-3.0", "GPL-3.0", "MIT", None]
+    # one line of 100,000 words, and 20,000 lines of template words, take time with their length
+    slow = [(0, "a/x", prose(50_000, 1) + ". Released under the MIT License. " + prose(50_000, 2)), (1, "b/x", "software license\n" * 20_000)]
+    start = time.monotonic()
+    got = op2_licences.scan(spark.createDataFrame(slow, "file_id long, path string, text string")).orderBy("file_id").collect()
+    assert [r.own_licence for r in got] == ["MIT", None] and time.monotonic() - start < 60
     assert op2_licences.scan(files, {}).where("licence IS NOT NULL").count() == 0 and op2_licences.scan(files.where("false")).count() == 0
 
 
@@ -392,8 +400,11 @@ def test_warc(spark):
     rows = [(3, "http://a/\r\nx", "<p>é"), (1, "http://b", "<p>é"), (2, None, None), (4, "u", ""), (None, "n", "<p>é"), (9, "b", big), (9, "b", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
     chunks = op7_warc.chunked(op7_warc.with_roles(pages), 1000)
-    archives = op7_warc.write_archives(chunks, shared_dir(spark, "t"), 2000)
-    table = op7_warc.read_archives(archives.checkpoint(), chunk_bytes=1000)
+    archives = op7_warc.write_archives(chunks, shared_dir(spark, "t"), 2000).checkpoint()
+    heads = b"".join(gzip.decompress(files.read_whole(r.path)) for r in archives.collect()).decode()
+    ids = re.findall("WARC-Record-ID: (.*)\r", heads)
+    assert len(ids) == len(rows) == len(set(ids)) and heads.count("WARC-Refers-To-Target-URI: http://b\r") == 2
+    table = op7_warc.read_archives(archives, chunk_bytes=1000)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in table.where("last").collect()), key=str)
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     want = [(3, 5, digest("<p>é"), "revisit", 1), (1, 5, digest("<p>é"), "response", None), (2, 0, digest(""), "response", None), (4, 0, digest(""), "revisit", 2), (None, 5, digest("<p>é"), "revisit", 1)] + [(9, len(big), digest(big), "response", None)] * 2
@@ -428,6 +439,9 @@ def test_decontamination(spark, odd):
     docs = odd.where("doc_id < 4").unionByName(odd.where("doc_id = 1").withColumn("text", F.lit("x " + items[2][1] + " " + items[-1][1])))
     got = op9_decontaminate.with_matches(docs, table, block_words=100)
     assert sorted(len(x.matches) for x in got.collect()) == [0, 0, 0, 2]
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # a worker, whatever the number of blocks
+    many, one = ({(x.doc_id, x.text, *map(tuple, sorted(x.matches, key=str))) for x in op9_decontaminate.with_matches(docs, table, block_words=b).collect()} for b in (30, 10**6))
+    assert many == one
     assert op9_decontaminate.clean_documents(docs, table).columns == docs.columns
     assert op9_decontaminate.clean_documents(docs, table.where("false")).count() == docs.count() and op9_decontaminate.clean_documents(empty(odd), table).count() == 0
 
