@@ -49,7 +49,7 @@ EARLY = 10
 BLOCK_WORDS = 400_000
 #: Bytes of text that go over all blocks together, and that are searched at once.
 HELD_BYTES = 32 << 20
-SEARCH_BYTES = 4 << 20
+SEARCH_BYTES = 512 << 10
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
