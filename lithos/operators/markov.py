@@ -94,15 +94,15 @@ def references(seqs: DataFrame, cells: DataFrame, least: int = 2) -> DataFrame:
     return cells.select(*CELL).distinct().join(found, CELL, "left").select(*CELL, "b.level", "b.key", F.coalesce("b.n_ref", F.lit(0)).alias("n_ref"))
 
 
-def check(requests: DataFrame, seqs: DataFrame) -> DataFrame:
-    """requests(req_id, cell, seq) -> tier, reversed, unknown, score, floor.
+def check(requests: DataFrame, seqs: DataFrame, dists: DataFrame | None = None) -> DataFrame:
+    """requests(req_id, cell, seq) -> tier, reversed, unknown, score, floor, n_ref and the unknown_materials in order.
 
     Rules in order: an unknown material 2; better backwards 2 (reversed); impossible 1; as good as the worst reference
     3; else 2.
     """
-    dists = cut(distributions(seqs))
+    dists = cut(distributions(seqs)) if dists is None else dists
     vocabulary = seqs.select(F.explode("seq").alias("m")).distinct()
-    unknown = requests.select("req_id", F.explode("seq").alias("m")).join(vocabulary, "m", "left_anti").groupBy("req_id").agg(F.count(F.lit(1)).alias("n_unknown"))
+    unknown = requests.select("req_id", F.posexplode("seq").alias("i", "m")).join(vocabulary, "m", "left_anti").groupBy("req_id").agg(F.count(F.lit(1)).alias("n_unknown"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("unknown_materials"))
     forward = scores(requests.withColumn("w", F.lit(1.0)), dists, "req_id").select("req_id", F.col("score").alias("fwd"))
     back = scores(requests.withColumn("seq", F.reverse("seq")).withColumn("w", F.lit(1.0)), dists, "req_id").select("req_id", F.col("score").alias("rev"))
     refs = references(seqs, requests)
@@ -115,7 +115,7 @@ def check(requests: DataFrame, seqs: DataFrame) -> DataFrame:
     is_rev = (F.size("seq") >= 2) & (f < floor) & (r >= floor) & (r >= 3 * f) & (r > 0)
     known = F.col("n_unknown").isNull()
     tier = F.when(~known, 2).when(is_rev, 2).when(f <= 0, 1).when((F.col("n_ref") > 0) & (f >= floor), 3).otherwise(2)
-    return out.select("req_id", tier.alias("tier"), (known & is_rev).alias("reversed"), (~known).alias("unknown"), f.alias("score"), floor.alias("floor"))
+    return out.select("req_id", tier.alias("tier"), (known & is_rev).alias("reversed"), (~known).alias("unknown"), f.alias("score"), floor.alias("floor"), "n_ref", "unknown_materials")
 
 
 def observed_top(seqs: DataFrame, k: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lithos.functions.layers import parse_layers, parse_materials
 from lithos.operators import markov as mk
+from lithos.operators import plausibility
 from lithos.operators import thickness as th
 from lithos.plans.views import view, with_views
 
@@ -74,6 +75,27 @@ def q_translate(spark, d):
     return mk.translate(asked, mk.distributions(seqs)).select("req_id", F.array_join("seq", ";").alias("seq"))
 
 
+def _bodies(layers):
+    """A client's question for every build-up: in the hub's words, as materials or layers, some backwards, some with a
+    material that nobody knows, some that are no JSON."""
+    words = F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("material") == "STB", "Beton").otherwise(F.col("material")).alias("material"))))
+    by = layers.groupBy("build_id", *CELL).agg(F.transform(words, lambda x: x["material"]).alias("m"))
+    n = F.col("build_id")
+    by = by.withColumn("m", F.when(n % 5 == 0, F.reverse("m")).otherwise(F.col("m"))).withColumn("m", F.when(n % 7 == 0, F.concat("m", F.array(F.lit("Karton")))).otherwise(F.col("m")))
+    place = F.when(F.col("ort") == "DG", "Dach").otherwise(F.col("ort"))
+    head = [F.col("bauperiode").alias("period"), place.alias("floor_type"), F.col("art").alias("part_type")]
+    flat = F.to_json(F.struct(*head, F.col("m").alias("materials")))
+    nested = F.to_json(F.struct(*head, F.transform("m", lambda x: F.struct(x.alias("material"), F.lit(20).alias("thickness"))).alias("layers")))
+    body = F.when(n % 101 == 0, "no question").when(n % 3 == 1, nested).otherwise(flat)
+    return by.select("build_id", body.alias("body"))
+
+
+def q_plausibility_answers(spark, d):
+    x = _layers(spark, d)
+    got = plausibility.answers(_bodies(x), mk.sequences(x))
+    return got.select("build_id", "stufe", "label", "detail", "umgekehrt", "referenz_n", F.array_join("gelesen_als", ";").alias("gelesen_als"), "error")
+
+
 def q_observed_top(spark, d):
     return mk.observed_top(_seqs(spark, d)).withColumn("share", F.round("share", 8))
 
@@ -153,6 +175,7 @@ QUERIES = {
     "reference_sets": q_references,
     "plausibility_tiers": q_plausibility,
     "alias_translation": q_translate,
+    "plausibility_answers": q_plausibility_answers,
     "observed_top_k": q_observed_top,
     "beam_predictions": q_beam,
     "top1_match_rate": q_match_rate,

@@ -26,6 +26,21 @@ ALIASES = {
     "Heraklith": ["Heraklith", "Heraklith/Holz"], "Stahl": ["Stahl", "Stahlträger", "Metall"],
     "Aluminium": ["Aluminium", "Metall"], "Kupfer": ["Metall"], "Messing": ["Metall"], "Blei": ["Metall"],
 }
+#: What clients send -> the catalog's period, place and kind.
+CLIENT_PERIODS = {"vor 1919": "bis 1918", "nach 2000": "ab 2000"}
+CLIENT_PLACES = {"Kellergeschoss": "KG", "Regelgeschoss": "RG", "D": "DG", "Dach": "DG"}
+CLIENT_KINDS = {
+    "Innenwand": "IW", "Außenwand": "AW", "BW": "AW", "Brandwand": "AW", "BA": "FB", "Bodenaufbau": "FB", "DA": "D",
+    "Dachaufbau": "D", "KS": "AW", "Kniestock": "AW", "A": "AW", "Attika": "AW",
+}
+#: Labels and details of the plausibility answer.
+ANSWERS = {
+    "unknown": ("neues/unbekanntes Material", "unbekannt: "),
+    "reversed": ("vermutlich UMGEKEHRT eingegeben", "die Umkehrung ergibt einen typischen Aufbau"),
+    "impossible": ("unplausibel", "enthält eine nie gesehene Materialfolge"),
+    "usual": ("passt ins übliche Bild", "im Referenzbereich"),
+    "unusual": ("ungewöhnliche Kombination", "unter dem Referenzbereich"),
+}
 #: Densities [kg/m³].
 DENSITY = {
     "Ziegel": 1800, "Vollziegel": 2000, "Beton": 2300, "STB": 2400, "Leichtbeton": 1200, "Betonfertigteil": 2400,
