@@ -17,6 +17,9 @@ MATERIAL_GROUPS = {
 }
 PERIODS = {0: "unbekannt", 1: "bis 1918", 2: "1919-1944", 3: "1945-1979", 4: "1980-1999", 5: "ab 2000"}
 UNKNOWN_LAYER = "Unbekannt"
+PART_TYPES = ["Bodenaufbau", "Dachaufbau", "Innenwand", "Außenwand", "Brandwand", "Kniestock", "Attika"]
+OBJECT_TYPES = ["Abhängung", "Tür", "Zarge", "Fenster", "Heizkörper", "Rohre", "Kabel", "Sonstige"]
+LISTING_UNITS = ["Stück", "Kubikmeter", "Quadratmeter", "Meter", "Kilogramm"]
 #: Hub material -> catalog materials, best candidate first.
 ALIASES = {
     "Beton": ["STB", "Beton", "Betonfertigteil"], "Blähbeton": ["Leichtbeton"], "Ytong": ["Leichtbeton"],
