@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lithos.plans import building_queries, cloud_queries, footprint_queries, hub_queries, model_queries, rule_queries
+from lithos.plans import building_queries, cloud_queries, footprint_queries, fragment_queries, hub_queries, model_queries, rule_queries
 
-MODULES = (model_queries, building_queries, hub_queries, cloud_queries, footprint_queries, rule_queries)
+MODULES = (model_queries, building_queries, hub_queries, cloud_queries, footprint_queries, fragment_queries, rule_queries)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
