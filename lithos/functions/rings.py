@@ -37,8 +37,9 @@ def centroid(ring: Column) -> Column:
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
-    """Whether a point is inside: an odd number of edges crosses the ray to its right."""
-    crossed = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+    """Whether a point is inside: an odd number of edges crosses the ray above it. A side belongs to the ring that it is the
+    lower or the left one of, so a point where rings meet is in one of them."""
+    crossed = lambda e: ((e["ax"] > x) != (e["bx"] > x)) & (y < (e["by"] - e["ay"]) * (x - e["ax"]) / (e["bx"] - e["ax"]) + e["ay"])
     return F.size(F.filter(edges(ring), crossed)) % 2 == 1
 
 

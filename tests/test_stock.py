@@ -28,6 +28,14 @@ def test_rings(spark):
     assert tuple(got[1]) == (100.0, 40.0, True, True, 77.44, 5.0)
 
 
+def test_a_corner_below_a_gable_is_of_the_ring_above(spark):
+    """A point on a sloping upper side is outside, as one on a level upper side is; lower and left sides are inside."""
+    gable = ring((0, 0), (12, 0), (12, 10), (6, 13), (0, 10))
+    df = spark.createDataFrame([(1, gable), (2, ring((0, 10), (12, 10), (12, 20), (6, 23), (0, 20)))], f"id long, ring {RING}")
+    points = spark.createDataFrame([(1, 0.0, 10.0), (2, 2.0, 11.0), (3, 0.0, 5.0), (4, 0.0, 0.0), (5, 6.0, 13.0), (6, 12.0, 5.0)], "pt long, x double, y double")
+    assert {r.pt: r.id for r in rings.within(points, df, "pt", "id").collect()} == {1: 2, 2: 2, 3: 1, 4: 1, 5: 2}
+
+
 def test_touching_skew_edges(spark):
     a, b = ring((0, 0), (30, 40), (0, 40)), ring((0, 0), (30, 0), (30, 40))
     df = spark.createDataFrame([(1, a), (2, b), (3, ring((100, 0), (101, 0), (101, 1)))], f"id long, ring {RING}")
