@@ -3,9 +3,9 @@
 Fragments come as rows (scan_id, id, x1, y1, x2, y2, z_base, height, thickness), ids unique in a scan. Two are compared in the
 direction midway between theirs: the offset of their middles across it, their spans along it.
 
-Pairs come from an equi-join on cells and not from a comparison of all pairs: each fragment covers the cells within its own
-reach, and reaches are such that two that can link have a common cell. Equal fragments are one in the joins. Groups are the
-components of the links, and a group's wall comes from aggregates only, so no group is in one row.
+Pairs come from an equi-join on cells of direction, length and middle and not from a comparison of all pairs; each pair is
+looked at once. Equal fragments are one in the joins. Groups are the components of the links, and a group's wall comes from
+aggregates only, so no group is in one row.
 
 Edge cases: a fragment with a null among its figures or its scan links to none and is left out; a fragment without length
 has direction 0; a scan without links keeps its fragments as walls; no rows give no walls.
@@ -14,16 +14,23 @@ has direction 0; a scan without links keeps its fragments as walls; no rows give
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithos.operators.components import components
-from lithos.session import cut
+from lithos.session import stored
 
 ANGLE_TOL = 12.0
-CELL_M = 2.0
+#: Bins of direction, wider than the tolerance, so that two that link are in one bin or in neighbours.
+BINS = int(180 / ANGLE_TOL) - 1
 EPS = 1e-9
+#: Links that a task reduces at once.
+BLOCK = 1_000_000
 SHAPE = ["x1", "y1", "x2", "y2", "z_base", "height", "thickness"]
 
 
@@ -36,72 +43,119 @@ def _figures(rows: DataFrame) -> DataFrame:
     return whole.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2, "len": F.hypot(dx, dy), "dir": F.when(turn >= F.pi(), turn - F.pi()).otherwise(turn)})
 
 
-def _cells(reach: Column) -> Column:
-    """The cells that have a point within reach of the fragment, and few others."""
-    at = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / CELL_M), F.floor((F.greatest(a, b) + reach) / CELL_M))
-    far = reach + CELL_M * math.sqrt(0.5) + EPS
-    square = F.greatest(F.col("len") * F.col("len"), F.lit(1e-300))
-
-    def near(c: Column) -> Column:
-        px, py = (c["i"] + 0.5) * CELL_M - F.col("x1"), (c["j"] + 0.5) * CELL_M - F.col("y1")
-        dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / square))
-        return F.hypot(px - s * dx, py - s * dy) <= far
-
-    every = F.flatten(F.transform(at(F.col("x1"), F.col("x2")), lambda i: F.transform(at(F.col("y1"), F.col("y2")), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    return F.filter(every, near)
-
-
-def _pairs(rows: DataFrame, reach: Column) -> DataFrame:
-    """Pairs a < b of a scan with a common cell: angle (degrees between), offset, and both spans along the middle direction."""
-    keep = ["id", *SHAPE, "mx", "my", "len", "dir"]
-    dealt = rows.select("scan_id", *keep, F.explode(_cells(reach)).alias("cell"))
-    side = lambda p: dealt.select("scan_id", "cell", *[F.col(k).alias(f"{p}_{k}") for k in keep])
+def _pairs(rows: DataFrame, along, offset: float) -> DataFrame:
+    """Pairs of a scan that can link, each once, close enough across: what their spans along the middle
+    direction have in common (below 0: less the gap) and their union.
+
+    along(length of the longer) bounds how far apart the middles of two that link are along their direction, offset how far
+    across. Each pair is found from its longer fragment, of equal ones the one with the smaller id: that one asks for the
+    cells around its middle, turned into the direction of its own bin, where the others of this and the next bins stand at
+    their middles. Cells are as large as the asker's class of length needs, so few are asked for whatever the length.
+    """
+    rows = stored(rows)
+    longest = rows.agg(F.max("len")).first()[0] or 0.0
+    turn = F.col("_k") * (math.pi / BINS) + math.pi / BINS / 2
+    # the middle direction is within half a bin and half the tolerance of the bin's
+    lean = math.sin(math.pi / BINS / 2 + math.radians(ANGLE_TOL / 2) + 1e-9)
+    far = lambda length: along(length) + offset + 1e-6
+    wide = lambda length: offset + along(length) * lean + 1e-6
+    size = F.pow(F.lit(4.0), F.col("_c"))
+    u, v = F.col("mx") * F.cos(turn) + F.col("my") * F.sin(turn), F.col("my") * F.cos(turn) - F.col("mx") * F.sin(turn)
+    placed = {"u": u, "v": v, "cu": 2 * far(size), "cv": 2 * wide(size)}
+    at = lambda c, s: F.floor(c / F.col(s)).cast("long")
+    # one number for a cell; cells that share one are far apart and told apart by their places
+    number = ((F.col("_k") * 64 + F.col("_c")) * (1 << 26) + F.pmod(F.col("_i"), F.lit(1 << 26))) * (1 << 26) + F.pmod(F.col("_j"), F.lit(1 << 26))
+    keep = ["id", "mx", "my", "len", "dir", "z_base", "height"]
+    bin_ = F.least(F.floor(F.col("dir") * (BINS / math.pi)), F.lit(BINS - 1)).cast("long")
+    own = rows.select("scan_id", *keep, bin_.alias("_k"), F.greatest(F.lit(0), F.ceil(F.log2("len") / 2)).cast("long").alias("_c"))
+    others = own.withColumn("_c", F.explode(F.sequence(F.col("_c"), F.lit(max(0, math.ceil(math.log2(longest or 1.0) / 2))).cast("long"))))
+    others = others.withColumn("_k", F.explode(F.array(*[F.pmod(F.col("_k") + i, F.lit(BINS)) for i in (-1, 0, 1)]))).withColumns(placed)
+    others = others.withColumns({"_i": at(F.col("u"), "cu"), "_j": at(F.col("v"), "cv")}).select("scan_id", number.alias("cell"), *[F.col(k).alias(f"b_{k}") for k in keep])
+    asking = own.withColumns(placed)
+    reach = lambda c, s, r: F.sequence(at(F.col(c) - r, s), at(F.col(c) + r, s))
+    asking = asking.withColumn("_i", F.explode(reach("u", "cu", far(F.col("len"))))).withColumn("_j", F.explode(reach("v", "cv", wide(F.col("len")))))
+    asking = asking.select("scan_id", number.alias("cell"), *[F.col(k).alias(f"a_{k}") for k in keep])
     apart = F.abs(F.col("a_dir") - F.col("b_dir"))
     angle = F.degrees(F.least(apart, F.pi() - apart))
-    pairs = side("a").join(side("b"), ["scan_id", "cell"]).where(F.col("a_id") < F.col("b_id")).withColumn("angle", angle)
+    dx, dy, most = F.col("b_mx") - F.col("a_mx"), F.col("b_my") - F.col("a_my"), far(F.col("a_len"))
+    first = (F.col("a_len") > F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a_id") < F.col("b_id")))
+    pairs = asking.join(others, ["scan_id", "cell"]).where(first & (dx * dx + dy * dy <= most * most) & (angle <= ANGLE_TOL + EPS))
     # directions on both sides of 0 have their middle beyond pi / 2 from the plain mean
     mean = (F.col("a_dir") + F.col("b_dir")) / 2 + F.when(apart > F.pi() / 2, F.pi() / 2).otherwise(0.0)
-    ux, uy = F.cos(mean), F.sin(mean)
-    pairs = pairs.where(F.col("angle") <= ANGLE_TOL + EPS).withColumns({"ux": ux, "uy": uy})
-    offset = F.abs((F.col("b_my") - F.col("a_my")) * F.col("ux") - (F.col("b_mx") - F.col("a_mx")) * F.col("uy"))
-    along = lambda p, k: F.col(f"{p}_x{k}") * F.col("ux") + F.col(f"{p}_y{k}") * F.col("uy")
-    span = lambda p: {f"{p}0": F.least(along(p, 1), along(p, 2)), f"{p}1": F.greatest(along(p, 1), along(p, 2))}
-    return pairs.withColumns({"offset": offset} | span("a") | span("b"))
-
-
-def _distinct_shapes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one fragment of each shape in a scan, every fragment with its like)."""
-    first = rows.groupBy("scan_id", *SHAPE, "mx", "my", "len", "dir").agg(F.min("id").alias("id"))
-    return cut(first), rows.join(first.select("scan_id", *SHAPE, F.col("id").alias("like")), ["scan_id", *SHAPE])
+    pairs = pairs.withColumns({"ux": F.cos(mean), "uy": F.sin(mean)})
+    across = F.abs(dy * F.col("ux") - dx * F.col("uy"))
+    pairs = pairs.where(across <= offset + EPS)
+    # both lean from the middle direction by half the angle
+    half = lambda p: F.col(f"{p}_len") / 2 * F.cos(F.least(apart, F.pi() - apart) / 2)
+    s, ha, hb = F.abs(dx * F.col("ux") + dy * F.col("uy")), half("a"), half("b")
+    return pairs.withColumns({"common": F.least(ha, s + hb) - F.greatest(-ha, s - hb), "union": F.greatest(ha, s + hb) + F.greatest(ha, hb - s)})
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select("scan_id", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """Links (scan_id, a, b) with the same components and at most one for each node in a block of BLOCK rows of a task."""
+
+    def reduced(table: pa.Table) -> pa.RecordBatch:
+        a, b = table["a"].combine_chunks(), table["b"].combine_chunks()
+        scans = table["scan_id"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        ids = pa.concat_arrays([a, b])
+        at = ids.dictionary_encode().indices.to_numpy().astype(np.int64)
+        nodes, place, code = np.unique(np.concatenate((scans, scans)) * (at.max() + 1) + at, return_index=True, return_inverse=True)
+        p, q = code[: len(a)], code[len(a) :]
+        label = np.arange(len(nodes))
+        while len(p):
+            low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+            p, q = (x[low != high] for x in (p, q))
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+        out = np.flatnonzero(label != np.arange(len(nodes)))
+        scan = table["scan_id"].combine_chunks().take(pa.array(place[out] % len(a)))
+        return pa.RecordBatch.from_arrays([scan, ids.take(pa.array(place[label[out]])), ids.take(pa.array(place[out]))], names=["scan_id", "a", "b"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= BLOCK:
+                yield reduced(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield reduced(pa.Table.from_batches(held))
+
+    return links.repartition("scan_id").mapInArrow(task, links.schema)
 
 
 def collinear_links(rows: DataFrame, offset: float = 0.20, gap: float = 0.8, height: float = 3.0, base_jump: float = 1.2) -> DataFrame:
     """(scan_id, a, b) of fragments on one line: the gap between their spans, their bases and tops within the limits."""
-    reach = F.col("len") / 2 * math.sin(math.radians(ANGLE_TOL / 2)) + (offset + gap) / 2 + EPS
-    p = _pairs(rows, reach)
+    p = _pairs(rows, lambda length: length + gap, offset)
     top = lambda s: F.col(f"{s}_z_base") + F.col(f"{s}_height")
     base = F.abs(F.col("a_z_base") - F.col("b_z_base"))
-    ok = (F.col("offset") <= offset + EPS) & (F.greatest("a0", "b0") - F.least("a1", "b1") <= gap + EPS) & (base <= min(height, base_jump) + EPS) & (F.abs(top("a") - top("b")) <= height + EPS)
-    return p.where(ok).select("scan_id", F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    ok = (-F.col("common") <= gap + EPS) & (base <= min(height, base_jump) + EPS) & (F.abs(top("a") - top("b")) <= height + EPS)
+    return _ordered(p.where(ok))
 
 
 def face_links(rows: DataFrame, thickness: float = 0.40, overlap: float = 0.40) -> DataFrame:
     """(scan_id, a, b) of two faces of a wall: no more than a thickness apart, spans with that share of their union in common."""
-    reach = F.col("len") / 2 * math.sin(math.radians(ANGLE_TOL / 2)) + thickness / 2 + EPS
-    common = F.least("a1", "b1") - F.greatest("a0", "b0")
-    union = F.greatest("a1", "b1") - F.least("a0", "b0")
-    ok = (F.col("offset") <= thickness + EPS) & (common > EPS) & (common >= (overlap - EPS) * union)
-    return _pairs(rows, reach).where(ok).select("scan_id", F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    share = max(0.0, overlap - EPS)
+    ok = (F.col("common") > EPS) & (F.col("common") >= (overlap - EPS) * F.col("union"))
+    # middles s apart have (l - s) of (l + s) in common, with l the mean of both lengths
+    return _ordered(_pairs(rows, lambda length: length * ((1 - share) / (1 + share)), thickness).where(ok))
 
 
 def _walls(rows: DataFrame, links, faces: bool) -> DataFrame:
     figures = _figures(rows)
-    shapes, members = _distinct_shapes(figures)
+    like = F.min("id").over(W.partitionBy("scan_id", *SHAPE))
+    members = stored(figures.withColumn("like", like))
+    shapes = members.where("id = like").drop("like")
     node = lambda k: F.struct("scan_id", F.col(k).alias("id"))
-    found = components(links(shapes).select(node("a").alias("a"), node("b").alias("b")))
+    found = components(_forest(links(shapes)).select(node("a").alias("a"), node("b").alias("b")))
     found = found.select("node.scan_id", F.col("node.id").alias("like"), F.col("label.id").alias("wall"))
-    members = cut(members.join(found, ["scan_id", "like"], "left").withColumn("wall", F.coalesce("wall", "like")))
+    members = stored(members.join(found, ["scan_id", "like"], "left").withColumn("wall", F.coalesce("wall", "like")))
     # the direction of a group: the mean of doubled angles, so that directions on both sides of 0 agree
     turn = F.atan2(F.sum(F.sin(2 * F.col("dir"))), F.sum(F.cos(2 * F.col("dir")))) / 2
     mean = members.groupBy("scan_id", "wall").agg(turn.alias("turn")).select("scan_id", "wall", F.cos("turn").alias("ux"), F.sin("turn").alias("uy"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the session's shared folder."""
     shared_base(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a table in the session's shared folder, which is columnar and packed: for large rows."""
+    path = f"{shared_base(df.sparkSession)}/lithos/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,3 +82,14 @@ def test_against_all_pairs(spark, joined, faces):
         sizes[find(i)] = sizes.get(find(i), 0) + 1
     got = {x.id: x.n_fragments for x in joined(frame(spark, rows)).collect()}
     assert n > 90 and got == sizes
+
+
+def test_pairs_are_few_and_found_once(spark):
+    """A link is one row without being made distinct, also between a long wall and short ones, and links are reduced to forests."""
+    rows = [wall(i, i * 0.5, 0.1 * (i % 2), 2, i % 5) for i in range(300)] + [wall(1000, 0, 0, 170, 0)]
+    links = fr.collinear_links(fr._figures(frame(spark, rows)))
+    assert "HashAggregate" not in links._jdf.queryExecution().executedPlan().toString()
+    found = [tuple(r) for r in links.collect()]
+    assert len(found) == len(set(found)) > 1000 and all(a < b for _, a, b in found)
+    kept = fr._forest(links).collect()
+    assert len(kept) < 301 and {r.n_fragments for r in fr.joined_fragments(frame(spark, rows)).collect()} == {301}
