@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithos.operators.backoff import leveled
-from lithos.session import cut
+from lithos.session import cut, stored
 from lithos.vocab import ALIASES
 
 CELL = ["bauperiode", "ort", "art"]
@@ -25,6 +25,12 @@ def sequences(layers: DataFrame) -> DataFrame:
     return by.withColumn("w", F.greatest(F.coalesce("nettoflaeche", F.lit(0.0)), F.lit(0.0)) + 0.01)
 
 
+def condensed(seqs: DataFrame, **more: F.Column) -> DataFrame:
+    """One row per cell and sequence with the weights' sum, written once: what models and references need, however many
+    build-ups say the same."""
+    return stored(seqs.groupBy(*CELL, "seq").agg(F.sum("w").alias("w"), *[v.alias(k) for k, v in more.items()]))
+
+
 def transitions(seqs: DataFrame, *carry: str) -> DataFrame:
     """Each step (i, p2, p1, next) of the padded sequences."""
     padded = F.concat(F.array(F.lit(START), F.lit(START)), F.col("seq"), F.array(F.lit(END)))
@@ -94,6 +100,12 @@ def references(seqs: DataFrame, cells: DataFrame, least: int = 2) -> DataFrame:
     return cells.select(*CELL).distinct().join(found, CELL, "left").select(*CELL, "b.level", "b.key", F.coalesce("b.n_ref", F.lit(0)).alias("n_ref"))
 
 
+def _distinct(every: DataFrame) -> DataFrame:
+    """One row for each _same of requests, with a number of its own as req_id; written, so that the numbers stay."""
+    by = every.groupBy("_same").agg(*[F.first(k).alias(k) for k in (*CELL, "seq")])
+    return stored(by.withColumn("req_id", F.monotonically_increasing_id()))
+
+
 def check(requests: DataFrame, seqs: DataFrame, dists: DataFrame | None = None) -> DataFrame:
     """requests(req_id, cell, seq) -> tier, reversed, unknown, score, floor, n_ref and the unknown_materials in order.
 
@@ -101,6 +113,10 @@ def check(requests: DataFrame, seqs: DataFrame, dists: DataFrame | None = None)
     3; else 2.
     """
     dists = cut(distributions(seqs)) if dists is None else dists
+    # requests that ask the same are judged once; req_id below is that of a distinct question
+    same = F.sha2(F.to_json(F.struct(*CELL, "seq"), {"ignoreNullFields": "false"}), 256)
+    every = requests.select(F.col("req_id").alias("_own"), *CELL, "seq").withColumn("_same", same)
+    requests = _distinct(every)
     vocabulary = seqs.select(F.explode("seq").alias("m")).distinct()
     unknown = requests.select("req_id", F.posexplode("seq").alias("i", "m")).join(vocabulary, "m", "left_anti").groupBy("req_id").agg(F.count(F.lit(1)).alias("n_unknown"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("unknown_materials"))
     forward = scores(requests.withColumn("w", F.lit(1.0)), dists, "req_id").select("req_id", F.col("score").alias("fwd"))
@@ -115,7 +131,10 @@ def check(requests: DataFrame, seqs: DataFrame, dists: DataFrame | None = None)
     is_rev = (F.size("seq") >= 2) & (f < floor) & (r >= floor) & (r >= 3 * f) & (r > 0)
     known = F.col("n_unknown").isNull()
     tier = F.when(~known, 2).when(is_rev, 2).when(f <= 0, 1).when((F.col("n_ref") > 0) & (f >= floor), 3).otherwise(2)
-    return out.select("req_id", tier.alias("tier"), (known & is_rev).alias("reversed"), (~known).alias("unknown"), f.alias("score"), floor.alias("floor"), "n_ref", "unknown_materials")
+    out = out.select("req_id", tier.alias("tier"), (known & is_rev).alias("reversed"), (~known).alias("unknown"), f.alias("score"), floor.alias("floor"), "n_ref", "unknown_materials")
+    names = out.columns
+    out = out.join(requests.select("req_id", "_same"), "req_id").drop("req_id")
+    return every.select(F.col("_own").alias("req_id"), "_same").join(out, "_same").select(*names)
 
 
 def observed_top(seqs: DataFrame, k: int = 3) -> DataFrame:
@@ -154,11 +173,16 @@ def beam_predict(cells: DataFrame, dists: DataFrame, k: int = 3, beam: int = 12,
 def translate(requests: DataFrame, dists: DataFrame) -> DataFrame:
     """req_id and the reading of its hub materials as catalog materials that scores best in either direction; the first
     variant wins ties."""
+    same = F.sha2(F.to_json(F.struct(*CELL, "seq"), {"ignoreNullFields": "false"}), 256)
+    every = requests.select(F.col("req_id").alias("_own"), *CELL, "seq").withColumn("_same", same)
+    asked = _distinct(every)
     pairs = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     options = F.transform("seq", lambda m: F.coalesce(F.element_at(pairs, m), F.array(m)))
     product = F.aggregate(options, F.array(F.array().cast("array<string>")), lambda acc, opt: F.flatten(F.transform(acc, lambda a: F.transform(opt, lambda o: F.concat(a, F.array(o))))))
-    variants = requests.select("req_id", *CELL, F.posexplode(product).alias("variant", "seq")).withColumn("w", F.lit(1.0))
+    variants = stored(asked.select("req_id", *CELL, F.posexplode(product).alias("variant", "seq")).withColumn("w", F.lit(1.0)))
     fwd = scores(variants, dists, "req_id", "variant").select("req_id", "variant", F.col("score").alias("f"))
     rev = scores(variants.withColumn("seq", F.reverse("seq")), dists, "req_id", "variant").select("req_id", "variant", F.col("score").alias("r"))
-    ranked = variants.join(fwd, ["req_id", "variant"]).join(rev, ["req_id", "variant"]).withColumn("n", F.row_number().over(W.partitionBy("req_id").orderBy(F.desc(F.greatest("f", "r")), "variant")))
-    return ranked.where("n = 1").select("req_id", "seq")
+    both = fwd.join(rev, ["req_id", "variant"]).groupBy("req_id").agg(F.min_by("variant", F.struct(-F.greatest("f", "r"), "variant")).alias("variant"))
+    best = both.join(variants.select("req_id", "variant", "seq"), ["req_id", "variant"]).select("req_id", "seq")
+    best = best.join(asked.select("req_id", "_same"), "req_id").drop("req_id")
+    return every.select("_own", "_same").join(best, "_same").select(F.col("_own").alias("req_id"), "seq")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lithos.operators.backoff import backoff, leveled
 from lithos.operators.markov import CELL
+from lithos.session import stored
 from lithos.vocab import FIXED_LAYER_M
 
 
@@ -36,13 +37,18 @@ def leave_one_out(layers: DataFrame) -> DataFrame:
     The own observation is subtracted from the totals, so no pair of build-ups is formed.
     """
     w = F.greatest(F.coalesce("nettoflaeche", F.lit(0.0)), F.lit(0.0)) + 0.01
-    seq = F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("pos", "material"))), lambda x: x["material"]))
-    rows = layers.join(layers.groupBy("build_id").agg(seq.alias("seq")), "build_id").withColumn("w", w).withColumn("tw", F.col("thickness") * F.col("w"))
-    cell = rows.groupBy(*CELL, "seq", "pos").agg(F.sum("tw").alias("stw"), F.sum("w").alias("sw"), F.count(F.lit(1)).alias("n"))
+    pairs = F.sort_array(F.collect_list(F.struct("pos", "material")).over(W.partitionBy("build_id")))
+    seq = F.concat_ws(";", F.transform(pairs, lambda x: x["material"]))
+    rows = layers.where("build_id IS NOT NULL").select("build_id", *CELL, "pos", seq.alias("seq"), w.alias("w"), (F.col("thickness") * w).alias("tw"))
+    cell = stored(rows.groupBy(*CELL, "seq", "pos").agg(F.sum("tw").alias("stw"), F.sum("w").alias("sw"), F.count(F.lit(1)).alias("n")))
     total = leveled(cell, CELL).groupBy("level", "key", "seq", "pos").agg(F.sum("stw").alias("stw"), F.sum("sw").alias("sw"), F.sum("n").alias("n")).where("n >= 3")
-    asked = rows.select("build_id", *CELL, "seq", "pos", "w", "tw")
-    found = backoff(asked, total, CELL, ["seq", "pos"], F.col("n") >= 3)
-    return found.select("build_id", "pos", "level", ((F.col("stw") - F.col("tw")) / (F.col("sw") - F.col("w"))).alias("seq_mean"))
+    # the level is that of a cell's sequence, so it is looked up once for all build-ups that say the same
+    found = backoff(cell.select(*CELL, "seq", "pos"), total, CELL, ["seq", "pos"], F.col("n") >= 3)
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in (*CELL, "seq", "pos")], "level", "stw", "sw")
+    on = (F.col("seq") == F.col("_seq")) & (F.col("pos") == F.col("_pos"))
+    for k in CELL:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(found, on).select("build_id", "pos", "level", ((F.col("stw") - F.col("tw")) / (F.col("sw") - F.col("w"))).alias("seq_mean"))
 
 
 def allocate(rows: DataFrame, base: str, total: str, key: str = "build_id") -> F.Column:

@@ -9,6 +9,7 @@ from lithos.operators import markov as mk
 from lithos.operators import plausibility
 from lithos.operators import thickness as th
 from lithos.plans.views import view, with_views
+from lithos.session import stored
 
 CELL = mk.CELL
 
@@ -58,28 +59,25 @@ def q_references(spark, d):
     return mk.references(seqs, seqs).select(*CELL, "level", "n_ref")
 
 
-def _requests(seqs):
-    """Every build-up as it is and, under another id, backwards."""
-    own = seqs.select((F.col("build_id") * 2).alias("req_id"), *CELL, "seq")
-    return own.unionByName(seqs.select((F.col("build_id") * 2 + 1).alias("req_id"), *CELL, F.reverse("seq").alias("seq")))
-
-
 def q_plausibility(spark, d):
-    seqs = _seqs(spark, d)
-    return mk.check(_requests(seqs), seqs).groupBy("tier", "reversed").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    seqs = mk.condensed(mk.sequences(_layers(spark, d)).withColumn("n", F.lit(1)), n=F.sum("n"))
+    ways = seqs.unionByName(seqs.withColumn("seq", F.reverse("seq")))
+    asked = stored(ways.groupBy(*CELL, "seq").agg(F.sum("n").alias("n")).withColumn("req_id", F.to_json(F.struct(*CELL, "seq"))))
+    got = mk.check(asked, seqs).join(asked.select("req_id", "n"), "req_id")
+    return got.groupBy("tier", "reversed").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 6).alias("mean_score"))
 
 
 def q_translate(spark, d):
-    seqs = _seqs(spark, d)
+    seqs = stored(_seqs(spark, d).select("build_id", *CELL, "seq", "w"))
     asked = seqs.select(F.col("build_id").alias("req_id"), *CELL, F.transform("seq", lambda m: F.when(m == "STB", "Beton").otherwise(m)).alias("seq"))
-    return mk.translate(asked, mk.distributions(seqs)).select("req_id", F.array_join("seq", ";").alias("seq"))
+    return mk.translate(asked, stored(mk.distributions(mk.condensed(seqs)))).select("req_id", F.array_join("seq", ";").alias("seq"))
 
 
-def _bodies(layers):
+def _bodies(seqs):
     """A client's question for every build-up: in the hub's words, as materials or layers, some backwards, some with a
     material that nobody knows, some that are no JSON."""
-    words = F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("material") == "STB", "Beton").otherwise(F.col("material")).alias("material"))))
-    by = layers.groupBy("build_id", *CELL).agg(F.transform(words, lambda x: x["material"]).alias("m"))
+    said = F.transform("seq", lambda m: F.when(m == "STB", "Beton").otherwise(m))
+    by = seqs.select("build_id", *CELL, said.alias("m"))
     n = F.col("build_id")
     by = by.withColumn("m", F.when(n % 5 == 0, F.reverse("m")).otherwise(F.col("m"))).withColumn("m", F.when(n % 7 == 0, F.concat("m", F.array(F.lit("Karton")))).otherwise(F.col("m")))
     place = F.when(F.col("ort") == "DG", "Dach").otherwise(F.col("ort"))
@@ -91,8 +89,9 @@ def _bodies(layers):
 
 
 def q_plausibility_answers(spark, d):
-    x = _layers(spark, d)
-    got = plausibility.answers(_bodies(x), mk.sequences(x))
+    """Build-ups are put together once and written; questions and the catalog are made from them."""
+    seqs = stored(_seqs(spark, d).select("build_id", *CELL, "seq", "w"))
+    got = plausibility.answers(_bodies(seqs), mk.condensed(seqs))
     return got.select("build_id", "stufe", "label", "detail", "umgekehrt", "referenz_n", F.array_join("gelesen_als", ";").alias("gelesen_als"), "error")
 
 

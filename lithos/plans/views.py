@@ -6,6 +6,7 @@ The operators take any table with the columns named here; these views only give
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lithos.session import read_table
 
@@ -14,6 +15,9 @@ ORT = "CASE o_orderstatus WHEN 'F' THEN 'KG' WHEN 'O' THEN 'RG' ELSE 'DG' END"
 ART = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AW' WHEN 'BUILDING' THEN 'IW' WHEN 'FURNITURE' THEN 'FB' WHEN 'HOUSEHOLD' THEN 'D' ELSE 'AW' END"
 MATERIAL = "CASE p_type WHEN 'MEDIUM' THEN 'Ziegel' WHEN 'STANDARD' THEN 'Putz' WHEN 'LARGE' THEN 'STB' WHEN 'PROMO' THEN 'Holz' WHEN 'SMALL' THEN 'Styropor' ELSE 'Estrich' END"
 
+#: The order of an order's lines, as the layers view states it.
+PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+
 VIEWS = {
     # one row per layer of a catalog build-up, in order; all of its layers
     "layers": f"""
@@ -57,6 +61,8 @@ TABLES = {"layers": ("lineitem", "orders", "customer", "part"), "buildings": ("c
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; the tables are bound by value, so no temporary view is registered."""
+    if name == "layers":
+        return _layers(spark, sf_dir)
     sql = VIEWS[name]
     for t in TABLES[name]:
         sql = sql.replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
@@ -65,6 +71,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: read_table(spark, sf_dir, t) for t in TABLES[name]})
 
 
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers view with the same expressions, joined so that order lines are shuffled by part and by order only."""
+    lineitem, orders, customer, part = (read_table(spark, sf_dir, t) for t in TABLES["layers"])
+    kinds = customer.selectExpr("c_custkey", f"{ART} AS art")
+    build = orders.join(kinds, F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_orderkey", f"{PERIOD} AS bauperiode", f"{ORT} AS ort", "art", "o_totalprice / 1000 AS nettoflaeche")
+    made = part.selectExpr("p_partkey", f"{MATERIAL} AS material")
+    line = lineitem.join(made, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", *PLACE, "material")
+    rows = line.join(build, F.col("l_orderkey") == F.col("o_orderkey"))
+    pos = f"CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY {', '.join(PLACE)}) AS INT) AS pos"
+    return rows.selectExpr("o_orderkey AS build_id", "bauperiode", "ort", "art", "nettoflaeche", pos, "material", "l_quantity / 100 AS thickness")
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that has the views as common table expressions."""
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
