@@ -104,9 +104,10 @@ def q_foreign_key(spark, d):
 
 def q_schema_diff(spark, d):
     rows = view(spark, d, "layers")
-    a, b = rows.where("thickness <= 0.3").select("build_id", "material"), rows.where("thickness >= 0.2").select("build_id", "material")
-    side = lambda x, y, k: x.exceptAll(y).groupBy("material").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(k))
-    return side(a, b, "left").unionByName(side(b, a, "right"))
+    # as EXCEPT ALL both ways, from one count of either side's rows
+    by = rows.groupBy("build_id", "material").agg(F.count_if(F.col("thickness") <= 0.3).alias("a"), F.count_if(F.col("thickness") >= 0.2).alias("b"))
+    sides = F.array(F.struct(F.lit("left").alias("side"), (F.col("a") - F.col("b")).alias("n")), F.struct(F.lit("right").alias("side"), (F.col("b") - F.col("a")).alias("n")))
+    return by.select("material", F.inline(sides)).where("n > 0").groupBy("material", "side").agg(F.sum("n").alias("n")).select("material", "n", "side")
 
 
 def q_extract_ids(spark, d):
