@@ -79,8 +79,10 @@ def step_probabilities(steps: DataFrame, dists: DataFrame) -> DataFrame:
 
 
 def geomean(p) -> F.Column:
-    """Geometric mean as an aggregate; 0 if any value is not positive."""
-    return F.coalesce(F.when(F.min(p) > 0, F.exp(F.avg(F.ln(F.when(p > 0, p))))), F.lit(0.0))
+    """Geometric mean as an aggregate; 0 if any value is not positive. Logarithms are summed as decimals, so that equal
+    sequences have equal scores in whatever order their steps arrive."""
+    logs = F.avg(F.ln(F.when(p > 0, p)).cast("decimal(18,14)")).cast("double")
+    return F.coalesce(F.when(F.min(p) > 0, F.exp(logs)), F.lit(0.0))
 
 
 def scores(seqs: DataFrame, dists: DataFrame, *carry: str) -> DataFrame:
