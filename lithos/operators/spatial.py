@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithos.session import parts
+
+#: Points whose neighbours one task looks for.
+POINTS_A_TASK = 10_000
+
 
 def radius_pairs(points: DataFrame, radius: float, key: str) -> DataFrame:
     """points(key, x, y, ...) -> each point with every other within the radius (o_ columns and d2). A point meets the nine
-    cells around its own, so the join is an equi-join on cells."""
+    cells around its own, so the join is an equi-join on cells; a task has a bounded number of points, and no side is sent whole."""
+    n = parts(points, POINTS_A_TASK)
     cx, cy = F.floor(F.col("x") / radius).cast("long"), F.floor(F.col("y") / radius).cast("long")
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = points.withColumn("_n", F.explode(near)).withColumns({"cx": cx + F.col("_n.i"), "cy": cy + F.col("_n.j")}).drop("_n")
     right = points.select(*[F.col(c).alias(f"o_{c}") for c in points.columns], cx.alias("cx"), cy.alias("cy"))
     d2 = (F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y"))
-    return left.join(right, ["cx", "cy"]).where((F.col(key) != F.col(f"o_{key}")) & (d2 <= radius * radius)).withColumn("d2", d2).drop("cx", "cy")
+    met = left.repartition(n, "cx", "cy").join(right.repartition(n, "cx", "cy").hint("merge"), ["cx", "cy"])
+    return met.where((F.col(key) != F.col(f"o_{key}")) & (d2 <= radius * radius)).withColumn("d2", d2).drop("cx", "cy")
 
 
 def neighbour_stats(buildings: DataFrame, radius: float) -> DataFrame:

@@ -21,6 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(df: DataFrame, rows: int) -> int:
+    """The partitions that hold about so many rows of df each, by counting them: a small file can unpack to much work, so
+    neither its bytes nor a fixed number tells how many tasks a step needs."""
+    return max(1, -(-df.count() // rows))
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the driver and all executors share.
 
