@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithos.session import parts
+
 CELL_M = 20.0
+#: Polygons whose edges one task looks at.
+POLYGONS_A_TASK = 5_000
 
 
 def edges(ring: Column) -> Column:
@@ -51,11 +55,10 @@ def inset_area(ring: Column, t: Column) -> Column:
     """
     n = F.size(ring) - 1
     turn = lambda e, f: F.atan2((e["bx"] - e["ax"]) * (f["by"] - f["ay"]) - (e["by"] - e["ay"]) * (f["bx"] - f["ax"]), (e["bx"] - e["ax"]) * (f["bx"] - f["ax"]) + (e["by"] - e["ay"]) * (f["by"] - f["ay"]))
-    sides = edges(ring)
-    # cot(angle / 2) = tan(turn / 2), the turn taken counter-clockwise
-    sign = F.signum(signed_area(ring))
-    corners = F.aggregate(F.transform(sides, lambda e, i: F.tan(sign * turn(e, F.get(sides, (i + 1) % n)) / 2)), F.lit(0.0), lambda s, v: s + v)
-    return F.greatest(F.lit(0.0), area(ring) - t * perimeter(ring) + t * t * corners)
+    # cot(angle / 2) = tan(turn / 2), the turn taken counter-clockwise; sides and area are made once for all corners
+    once = F.array(F.struct(edges(ring).alias("sides"), signed_area(ring).alias("a")))
+    corners = F.transform(once, lambda o: _sum(F.transform(o["sides"], lambda e, i: F.tan(F.signum(o["a"]) * turn(e, F.get(o["sides"], (i + 1) % n)) / 2)), lambda v: v))
+    return F.greatest(F.lit(0.0), area(ring) - t * perimeter(ring) + t * t * F.get(corners, F.lit(0)))
 
 
 def _cells(low: Column, high: Column, cell: float) -> Column:
@@ -91,6 +94,7 @@ def touching(polygons: DataFrame, key: str, cell: float = CELL_M, grain: float =
     e = e.select(key, grid(F.atan2("uy", "ux")).alias("direction"), grid(F.col("ay") * F.col("ux") - F.col("ax") * F.col("uy")).alias("distance"), "t0", "t1", F.explode(_cells(F.col("t0"), F.col("t1"), cell)).alias("stretch"))
     e = e.withColumns({"t0": F.greatest("t0", F.col("stretch") * cell), "t1": F.least("t1", (F.col("stretch") + 1) * cell)})
     o = e.select(F.col(key).alias("o_key"), "direction", "distance", "stretch", F.col("t0").alias("o0"), F.col("t1").alias("o1"))
-    met = e.join(o, ["direction", "distance", "stretch"]).where(F.col(key) != F.col("o_key"))
+    n, on = parts(polygons, POLYGONS_A_TASK), ["direction", "distance", "stretch"]
+    met = e.repartition(n, *on).join(o.repartition(n, *on).hint("merge"), on).where(F.col(key) != F.col("o_key"))
     shared = F.least("t1", "o1") - F.greatest("t0", "o0")
     return met.select(key, shared.alias("shared")).where("shared > 0").groupBy(key).agg(F.sum("shared").alias("touching"))
