@@ -48,10 +48,16 @@ def date_only(text: Column) -> Column:
 
 
 def slider_index(value: Column, options: list[float], unbounded: bool = True) -> Column:
-    """Index of the nearest option; of two as near, the first. Beyond the last one comes that of infinity, if unbounded."""
-    pairs = [F.struct(F.abs(value - F.lit(float(o))).alias("d"), F.lit(i).alias("i")) for i, o in enumerate(options)]
+    """Index of the nearest of the ascending options; of two as near, the first. Beyond the last one comes that of infinity,
+    if unbounded. The last option not above the value is found by halving, so a value costs the logarithm of their number."""
+    if any(a >= b for a, b in zip(options, options[1:])):
+        raise ValueError("options must ascend")
+    known = F.array(*[F.lit(float(o)) for o in options])
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(options).bit_length()))])
+    at = F.aggregate(halves, F.lit(0), lambda i, step: F.when(F.get(known, i + step) <= value, i + step).otherwise(i))
+    nearest = F.get(F.transform(F.array(at), lambda i: F.when(F.abs(value - F.get(known, i + 1)) < F.abs(value - F.get(known, i)), i + 1).otherwise(i)), F.lit(0))
     beyond = (value > float(options[-1])) | F.isnan(value)
-    return F.when(beyond | (value == -INFINITY), F.lit(len(options) - (not unbounded))).otherwise(F.array_min(F.array(*pairs))["i"])
+    return F.when(beyond | (value == -INFINITY), F.lit(len(options) - (not unbounded))).otherwise(nearest)
 
 
 def file_name(text: Column, most: int = 180) -> Column:
