@@ -85,8 +85,11 @@ def judged(rows: DataFrame, rules: Rules, name: str = "violations") -> DataFrame
 
 
 def accepted(rows: DataFrame, rules: Rules) -> DataFrame:
-    """The rows that break no rule."""
-    return rows.where(F.size(violations(rules)) == 0)
+    """The rows that break no rule: one condition for each, so that those of one table are checked before rows are joined and
+    no row has its list of violations made."""
+    for ok in rules.values():
+        rows = rows.where(F.coalesce(ok, F.lit(True)))
+    return rows
 
 
 def counted(rows: DataFrame, rules: Rules) -> DataFrame:
