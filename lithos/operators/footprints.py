@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithos.functions import rings
-from lithos.session import cut
+from lithos.session import cut, parts
 
 #: Corners are snapped to this grid (metres), which also is the tolerance of a corner on another outline.
 GRID_M = 1e-6
@@ -57,7 +57,12 @@ def _edge_cells(p: Column, q: Column) -> Column:
     return F.flatten(F.transform(F.sequence(_floor(x0 - 2, CELL), _floor(x1 + 2, CELL)), rows))
 
 
-def _split(edges: DataFrame) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """A join in at least n tasks that sends neither side whole through the driver, however small its bytes are packed."""
+    return left.repartition(n, *on).join(right.repartition(n, *on).hint("merge"), on, how)
+
+
+def _split(edges: DataFrame, n: int) -> DataFrame:
     """edges(g, p, q), p < q, cut wherever they cross, touch or overlap one another: distinct pieces (g, p, q).
 
     Edges meet by group and cell, so a large group is spread over space; each pair is looked at from one side only, and a
@@ -68,7 +73,7 @@ def _split(edges: DataFrame) -> DataFrame:
     p, q, op, oq = (F.col(c) for c in ("p", "q", "op", "oq"))
     reach = lambda c, a, b: (F.least(a[c], b[c]) - 2, F.greatest(a[c], b[c]) + 2)
     near = [reach(c, p, q)[0] <= reach(c, op, oq)[1] for c in "xy"] + [reach(c, op, oq)[0] <= reach(c, p, q)[1] for c in "xy"]
-    met = e.join(o, ["g", "gx", "gy"]).where((F.struct("p", "q") < F.struct("op", "oq")) & near[0] & near[1] & near[2] & near[3])
+    met = _met(e, o, ["g", "gx", "gy"], n).where((F.struct("p", "q") < F.struct("op", "oq")) & near[0] & near[1] & near[2] & near[3])
 
     def on(r: Column, a: Column, b: Column) -> Column:
         u, v = _minus(b, a), _minus(r, a)
@@ -88,7 +93,7 @@ def _split(edges: DataFrame) -> DataFrame:
     crossed = F.coalesce((t > 0) & (t < 1) & (s > 0) & (s < 1), F.lit(False))
     met = met.select("g", F.explode(_let(ends, lambda m: F.when(F.size(m) > 0, m).when(crossed, crossing))).alias("m"))
     cuts = met.select("g", "m.p", "m.q", "m.r").groupBy("g", "p", "q").agg(F.collect_set("r").alias("rs"))
-    whole = edges.join(cuts, ["g", "p", "q"], "left")
+    whole = _met(edges, cuts, ["g", "p", "q"], n, "left")
     placed = F.transform(F.coalesce("rs", F.array().cast(f"array<{POINT}>")), lambda r: F.struct(_dot(_minus(r, p), _minus(q, p)).alias("t"), r.alias("r")))
     corners = F.concat(F.array(p), F.transform(F.array_sort(placed), lambda x: x["r"]), F.array(q))
     pair = lambda a, b: F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
@@ -96,7 +101,7 @@ def _split(edges: DataFrame) -> DataFrame:
     return whole.select("g", F.explode(parts).alias("e")).select("g", "e.p", "e.q").where("p <> q").distinct()
 
 
-def _outer(pieces: DataFrame, shapes: DataFrame) -> DataFrame:
+def _outer(pieces: DataFrame, shapes: DataFrame, n: int) -> DataFrame:
     """The pieces with cover of shapes(g, ring) on one side only, as (g, e(a, b)) with the cover to the left."""
     p, q = F.col("p"), F.col("q")
     dx, dy = _minus(q, p)
@@ -110,12 +115,12 @@ def _outer(pieces: DataFrame, shapes: DataFrame) -> DataFrame:
     boxes = shapes.withColumn("gx", F.explode(F.sequence(_floor(F.col("x0") - 2, CELL), _floor(F.col("x1") + 2, CELL)))).withColumn("gy", F.explode(rows))
     by = F.col("mx").between(F.col("x0") - ASIDE, F.col("x1") + ASIDE) & F.col("my").between(F.col("y0") - ASIDE, F.col("y1") + ASIDE)
     inside = lambda k: rings.contains(F.col("ring"), F.col("mx") + k * F.col("nx"), F.col("my") + k * F.col("ny"))
-    seen = at.join(boxes, ["g", "gx", "gy"]).where(by).groupBy("g", "p", "q").agg(F.max(inside(1)).alias("left"), F.max(inside(-1)).alias("right"))
+    seen = _met(at, boxes, ["g", "gx", "gy"], n).where(by).groupBy("g", "p", "q").agg(F.max(inside(1)).alias("left"), F.max(inside(-1)).alias("right"))
     forth = F.struct(p.alias("a"), q.alias("b"))
     return seen.where("left <> right").select("g", F.when(F.col("left"), forth).otherwise(F.struct(q.alias("a"), p.alias("b"))).alias("e"))
 
 
-def _stitched(halves: DataFrame) -> DataFrame:
+def _stitched(halves: DataFrame, n: int) -> DataFrame:
     """(g, e(a, b)) -> g, ring: each edge is followed by the leftmost edge at its end; first corner the smallest edge's.
 
     The smallest edge of each ring and the steps to it are found by doubling, so the rounds grow with the logarithm of the
@@ -125,11 +130,11 @@ def _stitched(halves: DataFrame) -> DataFrame:
     leaving = halves.select("g", a.alias("at"), F.col("e").alias("n"))
     u, v = _minus(b, a), _minus(F.col("n.b"), F.col("n.a"))
     turn = F.atan2(_cross(u, v), _dot(u, v))
-    follow = halves.withColumn("at", b).join(leaving, ["g", "at"]).groupBy("g", "e").agg(F.max_by("n", turn).alias("n"))
+    follow = _met(halves.withColumn("at", b), leaving, ["g", "at"], n).groupBy("g", "e").agg(F.max_by("n", turn).alias("n"))
     state, step = cut(follow.withColumn("best", F.struct(F.col("e").alias("e"), F.lit(0).cast("long").alias("far")))), 1
     while True:
         ahead = state.select("g", F.col("e").alias("n"), F.col("n").alias("n2"), F.struct(F.col("best.e").alias("e"), (F.col("best.far") + step).alias("far")).alias("best2"))
-        state = cut(state.join(ahead, ["g", "n"]).select("g", "e", F.col("n2").alias("n"), F.least("best", "best2").alias("best"), (F.col("best2") < F.col("best")).alias("moved")))
+        state = cut(_met(state, ahead, ["g", "n"], n).select("g", "e", F.col("n2").alias("n"), F.least("best", "best2").alias("best"), (F.col("best2") < F.col("best")).alias("moved")))
         if state.where("moved").isEmpty():
             break
         state, step = state.drop("moved"), step * 2
@@ -154,13 +159,14 @@ def dissolved(polygons: DataFrame, group: str, period: str, height: str) -> Data
         F.coalesce(F.max("_h"), F.lit(0.0)).alias("height_m"), F.min("ring").alias("alone"),
     )
     facts = cut(facts)
-    shapes = cut(rows.join(facts.where("n > 1").select("g"), "g", "left_semi").select("g", _snapped(F.col("ring")).alias("ring")).distinct())
+    n = parts(rows, rings.POLYGONS_A_TASK)
+    shapes = cut(_met(rows, facts.where("n > 1").select("g"), ["g"], n, "left_semi").select("g", _snapped(F.col("ring")).alias("ring")).distinct().repartition(n, "g", "ring"))
     sides = shapes.select("g", F.explode(F.transform(F.slice("ring", 1, F.greatest(F.size("ring") - 1, F.lit(0))), lambda p, i: F.struct(F.least(p, F.get("ring", i + 1)).alias("p"), F.greatest(p, F.get("ring", i + 1)).alias("q")))).alias("e"))
     sides = sides.select("g", "e.p", "e.q").where("p <> q").distinct()
-    unions = _stitched(cut(_outer(_split(sides), shapes)))
+    unions = _stitched(cut(_outer(_split(sides, n), shapes, n)), n)
     sized = F.struct(rings.signed_area(F.col("ring")).alias("a"), F.col("ring").alias("ring"))
     unions = unions.groupBy("g").agg(F.sort_array(F.collect_list(sized), asc=False).alias("rs"))
-    out = facts.join(unions, "g", "left")
+    out = _met(facts, unions, ["g"], n, "left")
     straight = F.when(rings.signed_area(F.col("alone")) < 0, F.reverse("alone")).otherwise(F.col("alone"))
     none = F.array().cast("array<array<struct<x:double,y:double>>>")
     out = out.withColumn("rings", F.when(F.col("n") == 1, F.array(straight)).otherwise(F.coalesce(F.transform("rs", lambda r: r["ring"]), none)))
@@ -198,8 +204,8 @@ def hull_area(ring: Column) -> Column:
 def _aside2(x: Column, y: Column, e: Column) -> Column:
     """Squared distance from a point to an edge."""
     ux, uy, vx, vy = e["bx"] - e["ax"], e["by"] - e["ay"], x - e["ax"], y - e["ay"]
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(vx * ux + vy * uy, ux * ux + uy * uy))), F.lit(0.0))
-    return (vx - t * ux) * (vx - t * ux) + (vy - t * uy) * (vy - t * uy)
+    along = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(vx * ux + vy * uy, ux * ux + uy * uy))), F.lit(0.0))
+    return _let(along, lambda t: (vx - t * ux) * (vx - t * ux) + (vy - t * uy) * (vy - t * uy))
 
 
 def outline_distance(a: Column, b: Column) -> Column:
@@ -217,6 +223,12 @@ def _edge_distance(a: Column, b: Column, ea: Column, eb: Column) -> Column:
     return F.when(rings.contains(b, *first(a)) | rings.contains(a, *first(b)) | crossed, 0.0).otherwise(F.sqrt(near))
 
 
+def _corners_within(a: Column, b: Column, radius: float) -> Column:
+    """Whether two corners are within the radius, which settles most pairs before any edge is looked at."""
+    d2 = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
+    return F.exists(a, lambda p: F.exists(b, lambda q: d2(p, q) <= radius * radius))
+
+
 def outline_pairs(polygons: DataFrame, key: str, radius: float, cell: float = rings.CELL_M) -> DataFrame:
     """key, o_key, distance: every two polygons(key, ring) whose outlines are within the radius, once, key < o_key.
 
@@ -234,11 +246,11 @@ def outline_pairs(polygons: DataFrame, key: str, radius: float, cell: float = ri
 
     o = laid(0.0)
     o = o.select("gx", "gy", *[F.col(c).alias(f"o_{c}") for c in o.columns if c not in ("gx", "gy")])
-    met = laid(radius).join(o, ["gx", "gy"]).where("k < o_k AND gx = greatest(lx, o_lx) AND gy = greatest(ly, o_ly)")
+    met = _met(laid(radius), o, ["gx", "gy"], parts(p, rings.POLYGONS_A_TASK)).where("k < o_k AND gx = greatest(lx, o_lx) AND gy = greatest(ly, o_ly)")
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"o_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"o_{c}1"))
     met = met.where(gap("x") * gap("x") + gap("y") * gap("y") <= radius * radius)
-    d = met.select(F.col("k").alias(key), F.col("o_k").alias(f"o_{key}"), outline_distance(F.col("ring"), F.col("o_ring")).alias("distance"))
-    return d.where(F.col("distance") <= radius)
+    near = _corners_within(F.col("ring"), F.col("o_ring"), radius) | (outline_distance(F.col("ring"), F.col("o_ring")) <= radius)
+    return met.where(near).select(F.col("k").alias(key), F.col("o_k").alias(f"o_{key}"), outline_distance(F.col("ring"), F.col("o_ring")).alias("distance"))
 
 
 def surroundings(polygons: DataFrame, key: str, radius: float) -> DataFrame:

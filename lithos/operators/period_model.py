@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lithos.operators.footprints import FEATURES
 from lithos.operators.spatial import assemble_period
-from lithos.session import cut
+from lithos.session import cut, parts
+
+#: Rows of the forests that one task takes.
+ROWS_A_TASK = 20_000
 
 #: Coarse classes in the order of their names, the coarse class of each fine one, and the fine classes of the last.
 COARSE = ["1919-1945", "bis 1918", "nach 1945"]
@@ -42,6 +45,7 @@ def vectors(rows: DataFrame, use: str) -> DataFrame:
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
     rows = cut(rows.withColumn("_use", F.coalesce(F.col(use).cast("string"), F.lit("unk"))))
+    rows = cut(rows.repartition(parts(rows, ROWS_A_TASK)))
     rows = StringIndexer(inputCol="_use", outputCol="_i", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     rows = OneHotEncoder(inputCol="_i", outputCol="_hot", dropLast=False).fit(rows).transform(rows)
     return VectorAssembler(inputCols=[*FEATURES, "_hot"], outputCol="features").transform(rows).drop("_use", "_i", "_hot")
