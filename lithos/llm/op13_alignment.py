@@ -40,6 +40,8 @@ from lithos.llm.shared import stored, table
 CHUNK_BYTES = 32_768
 BUCKET_BYTES = 6_000_000
 FAN = 8
+#: Units that are encoded together: a tokenizer's own rows of tokens are far larger than the ids that are kept.
+UNITS_AT_ONCE = 8_192
 #: A space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PAIR = 1 << 32
@@ -92,8 +94,14 @@ class Tokenizers:
         #: each id with a comma, a bar and a semicolon after it
         self.pool = pa.array([f"{i}{c}".encode() for i in range(most) for c in ",|;"], pa.large_binary())
 
-    def encode(self, units: list[str]) -> Coded:
-        """The tokens of each unit with a space before it."""
+    def encode(self, units: list[str], at_once: int = UNITS_AT_ONCE) -> Coded:
+        """The tokens of each unit with a space before it; so many units at once, of which only the ids are kept."""
+        parts = [self._encode(units[lo : lo + at_once]) for lo in range(0, max(1, len(units)), at_once)]
+        bounds = lambda at: np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x) for x in at]))))
+        flat = [np.concatenate([getattr(x, k) for x in parts]) for k in ("a", "b", "good")]
+        return Coded(flat[0], bounds([x.a_at for x in parts]), flat[1], bounds([x.b_at for x in parts]), flat[2])
+
+    def _encode(self, units: list[str]) -> Coded:
         spaced = [" " + x for x in units]
         a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1) if units else []
@@ -374,6 +382,7 @@ def encoded(docs: DataFrame, paths: tuple[str, str], bucket_bytes: int = BUCKET_
                 held += len(texts[-1]) + 64
                 if held >= bucket_bytes:
                     yield from bucket_rows(f"{part}-{made}", done, ids, texts, both, chunk_bytes)
+                    pa.default_memory_pool().release_unused()
                     made, done = made + 1, done + len(ids)
                     ids, texts, held = [], [], 0
         if ids:
