@@ -317,3 +317,39 @@ def test_convolution_equals_loops():
 def test_repair_refuses_a_large_vocabulary():
     with pytest.raises(ValueError, match="16 bits"):
         op3_repair.pack([1], np.array([2]), np.array([5, 1], np.uint32), 70_000)
+
+
+def test_alignment_encodes_a_slice_of_units_at_a_time(monkeypatch):
+    """The ids are those of all units at once, and no tokenizer holds more than a slice."""
+    both = op13_alignment.tokenizers(op13_alignment.vocabularies())
+    units, most, one = ["wort", "ein satz", "", "ü" * 40, "a▁b"] * 20, [], both._encode
+    whole = one(units)
+    monkeypatch.setattr(both, "_encode", lambda u: most.append(len(u)) or one(u))
+    sliced = both.encode(units, at_once=7)
+    assert max(most) == 7 and sum(most) == len(units)
+    for name in ("a", "a_at", "b", "b_at", "good"):
+        assert (getattr(whole, name) == getattr(sliced, name)).all()
+    assert both.encode([]).a_at.tolist() == [0]
+
+
+def test_repair_encodes_a_stem_once_for_all_punctuation():
+    """Ids as of each word alone; a word before different marks is encoded once."""
+    from tokenizers import Tokenizer
+
+    tok, asked = Tokenizer.from_str(op3_repair.vocabulary()), []
+    words = ["haus", "haus.", "haus,", "Haus!?", "straße;", "İ.", "x'.", "'s.", "...", "1.", "a\x01b.", "\x01", "", "ΣΑΣ.", "a.b."]
+
+    class Counting:
+        def encode(self, *a, **k):
+            return tok.encode(*a, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **k)
+
+    plain = [x for x in words if "\x01" not in x]
+    for some in (words, plain):
+        asked.clear()
+        got = op3_repair.WordCache()(some, Counting())
+        assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [tok.encode(x, add_special_tokens=False).ids for x in some]
+    assert len(asked) == 1 and asked[0].count("haus") == 1
