@@ -460,3 +460,16 @@ def test_toxicity(spark, odd):
     assert scored.count() == len(ODD) and scored.where("score BETWEEN 0 AND 1 AND predicted = int(score >= 0.5)").count() == len(ODD)
     assert op10_toxicity.score(empty(odd), model).count() == 0
     assert {x.score for x in op10_toxicity.score(odd, op10_toxicity.train(docs, labels.where("false"))).collect()} == {0.0}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word that stands in one labelled row moves its own rows of the table, also with several learners."""
+    n = 400
+    docs = spark.createDataFrame([(k, f"einzelwort{k}x alle {'schlimm' if k % 2 else 'freundlich'} tage", "de") for k in range(n)], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(n)], "doc_id long, toxic int")
+    model = op10_toxicity.train(docs, labels, learner_rows=100)
+    fresh = op10_toxicity.Classifier()
+    rows = {x.doc_id: (x.score, x.held_out) for x in op10_toxicity.score(docs, model).collect()}
+    assert all((rows[k][0] >= 0.5) == bool(k % 2) for k in rows)
+    assert (model.seen["table"] > fresh.seen["table"]).any(1).sum() > 100
+    assert not hasattr(op10_toxicity, "SAMPLE_TOXIC")
