@@ -37,8 +37,9 @@ TABLE = 1 << 18
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Passes over all labelled rows, and the rows that one learner goes through between two means of the learners.
-ROUNDS = 4
+#: Passes over all labelled rows, more of them (up to MOST_ROUNDS) where all rows are few, and the rows that one learner goes
+#: through between two means of the learners.
+ROUNDS, MOST_ROUNDS, FEW_ROWS = 4, 12, 60_000
 LEARNER_ROWS = 30_000
 #: Table rows of a learner's change that are one row, and steps of a logit by which calibration counts.
 CHUNK_ROWS = 1_024
@@ -205,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, learner_rows: int = LEARNER_ROWS)
     each = {k: of(False, k) if apart else n[k] for k in (0, 1)}
     weights = {k: 0.5 * sum(each.values()) / each[k] for k in (0, 1)}
     learners = -(-sum(each.values()) // learner_rows)
-    for k in range(ROUNDS):
+    for k in range(min(MOST_ROUNDS, max(ROUNDS, -(-FEW_ROWS // sum(each.values()))))):
         _round(model, fit.select("text", "toxic").coalesce(learners), weights, k)
     _calibrate(model, kept)
     return model
