@@ -20,6 +20,7 @@ without labels); an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,10 @@ TABLE = 1 << 18
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Passes over all labelled rows, more of them (up to MOST_ROUNDS) where all rows are few, and the rows that one learner goes
-#: through between two means of the learners.
+#: Passes over all labelled rows, more of them (up to MOST_ROUNDS) where all rows are few, and the unit of rows whose root
+#: gives the number of learners.
 ROUNDS, MOST_ROUNDS, FEW_ROWS = 4, 12, 60_000
-LEARNER_ROWS = 30_000
+LEARNER_ROWS = 6_000
 #: Table rows of a learner's change that are one row, and steps of a logit by which calibration counts.
 CHUNK_ROWS = 1_024
 STEPS = 256
@@ -188,12 +189,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, learner_rows: int = LEARNER_ROWS) -> Classifier:
-    """A classifier from all labelled rows that are not held out; whole groups of equal texts are kept for calibration."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, lang, toxic of all labelled rows that are not held out, and whether they are kept for calibration.
+
+    The join is a merge at any size: labels grow with the documents, so a small input's broadcast of them would not last.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     text = F.coalesce("text", F.lit(""))
-    rows = docs.join(usable, "doc_id").select(text.alias("text"), "lang", "toxic", (F.pmod(F.xxhash64(text), F.lit(CALIBRATION)) == 0).alias("kept"))
-    rows = stored(rows, "toxicity")
+    return docs.join(usable.hint("merge"), "doc_id").select(text.alias("text"), "lang", "toxic", (F.pmod(F.xxhash64(text), F.lit(CALIBRATION)) == 0).alias("kept"))
+
+
+def learners(rows: int, learner_rows: int = LEARNER_ROWS) -> int:
+    """The number of learners of so many rows. Each hands on changes of the model's size, so they grow as the root of the rows:
+    what a round shuffles grows slower than the input, and so does the longest task."""
+    return math.ceil(math.sqrt(rows / learner_rows))
+
+
+def train(docs: DataFrame, labels: DataFrame, learner_rows: int = LEARNER_ROWS) -> Classifier:
+    """A classifier from all labelled rows that are not held out; whole groups of equal texts are kept for calibration."""
+    rows = stored(labelled(docs, labels), "toxicity")
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("kept", "toxic").count().collect()}  # four rows
     model = Classifier()
     of = lambda kept, toxic: counts.get((kept, toxic), 0)
@@ -205,9 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, learner_rows: int = LEARNER_ROWS)
     fit, kept = (rows.where("NOT kept"), rows.where("kept")) if apart else (rows, rows)
     each = {k: of(False, k) if apart else n[k] for k in (0, 1)}
     weights = {k: 0.5 * sum(each.values()) / each[k] for k in (0, 1)}
-    learners = -(-sum(each.values()) // learner_rows)
     for k in range(min(MOST_ROUNDS, max(ROUNDS, -(-FEW_ROWS // sum(each.values()))))):
-        _round(model, fit.select("text", "toxic").coalesce(learners), weights, k)
+        _round(model, fit.select("text", "toxic").coalesce(learners(sum(each.values()), learner_rows)), weights, k)
     _calibrate(model, kept)
     return model
 

@@ -473,3 +473,17 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert all((rows[k][0] >= 0.5) == bool(k % 2) for k in rows)
     assert (model.seen["table"] > fresh.seen["table"]).any(1).sum() > 100
     assert not hasattr(op10_toxicity, "SAMPLE_TOXIC")
+
+
+def test_toxicity_moves_as_much_a_row_at_any_size(spark, odd, monkeypatch):
+    """Few labels are joined as many are, without a broadcast, and changes of learners grow slower than the rows."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = op10_toxicity.labelled(odd, labels)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.toxic for r in rows.collect()) == sorted({1: 1, 2: 0}[d] for d, *_ in ODD if d in (1, 2) and zlib.crc32(str(d).encode()) % 5)
+    assert op10_toxicity.learners(3_300) == 1 and op10_toxicity.learners(4_800_000) <= 8 * op10_toxicity.learners(80_000)
+    docs = spark.createDataFrame([(k, f"wort{k} {'schlimm' if k % 2 else 'gut'}", "de") for k in range(400)], "doc_id long, text string, lang string").repartition(8)
+    parts = []
+    monkeypatch.setattr(op10_toxicity, "_round", lambda model, rows, weights, k: parts.append(rows.rdd.getNumPartitions()))
+    op10_toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), learner_rows=100)
+    assert set(parts) <= {1, 2}
