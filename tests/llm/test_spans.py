@@ -353,3 +353,37 @@ def test_repair_encodes_a_stem_once_for_all_punctuation():
         got = op3_repair.WordCache()(some, Counting())
         assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [tok.encode(x, add_special_tokens=False).ids for x in some]
     assert len(asked) == 1 and asked[0].count("haus") == 1
+
+
+def test_repair_gives_words_of_letters_to_the_model():
+    """Only other words go through the whole tokenizer; all ids are those of each word alone, also with another vocabulary."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    text = op3_repair.vocabulary()
+    tok, asked = Tokenizer.from_str(text), []
+
+    class Counting:
+        model, pre_tokenizer, encode = tok.model, tok.pre_tokenizer, tok.encode
+
+        def encode_batch_fast(self, texts, **k):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **k)
+
+    words = ["Haus", "haus", "HAUS***", "straße,", "STRASSE", "ÉÀÿÞ&&&", "niño|||", "x<<<", "µm", "aªb", "ẞ", "h\u0331", "H\u0331", "e\u0301", "ŉ.", "a1", "it's", "'s", "a#b#",
+             "<|endoftext|>", "ab<|endoftext|>.", "<|endoftext|", "..", "", "\x00a", "ΣΑΣ$", "Ⅷ", "a\u0300,", "q" * 3000]
+    got = op3_repair.WordCache()(words, Counting())
+    alone = lambda t: [t.encode(x, add_special_tokens=False).ids for x in words]
+    read = lambda got: [np.frombuffer(x, np.uint32).tolist() for x in got]
+    assert read(got) == alone(tok)
+    sent = set(" ".join(asked).split())
+    assert sent and not sent & {"Haus", "haus", "straße", "niño", "x", "q" * 3000}
+    # a tokenizer that puts a mark before words or keeps capitals apart is asked as a whole, and a cache does not mix two
+    cache, other = op3_repair.WordCache(), json.loads(text)
+    other["normalizer"] = None
+    cased = Tokenizer.from_str(json.dumps(other))
+    assert op3_repair.letter_table(tok) and op3_repair.letter_table(cased) is None
+    cache(["Haus"], tok)
+    assert read(cache(["Haus"], cased)) == [cased.encode("Haus", add_special_tokens=False).ids]
+    assert op3_repair.tokenizer_of(text) is op3_repair.tokenizer_of(text)
