@@ -183,12 +183,14 @@ def compress(symbols: np.ndarray, end: int, min_count: int = MIN_COUNT) -> tuple
     for _ in range(MAX_ROUNDS):
         left, right = s[:-1], s[1:]
         keys = np.sort((left.astype(np.uint32) << 16) | right)
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        count = np.diff(np.concatenate((at, [len(keys)])))
-        kind = keys[at]
-        count[(kind >> 16 == end) | (kind & 65535 == end)] = 0
-        if not len(count) or not count.max():
+        # of the sorted pairs, only those with an equal one min_count - 1 places on are counted; the others are not frequent
+        often = keys[: max(0, len(keys) - min_count + 1)]
+        often = often[often == keys[min_count - 1 :]]
+        kind = often[np.concatenate(([True], often[1:] != often[:-1]))] if len(often) else often
+        kind = kind[(kind >> 16 != end) & (kind & 65535 != end)]
+        if not len(kind):
             break
+        count = np.searchsorted(keys, kind, "right") - np.searchsorted(keys, kind)
         least = max(min_count, int(count.max()) // 4)
         chosen = np.flatnonzero(count >= least)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][: min(PAIRS_A_ROUND, room - len(rules))]

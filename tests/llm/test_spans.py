@@ -387,3 +387,10 @@ def test_repair_gives_words_of_letters_to_the_model():
     cache(["Haus"], tok)
     assert read(cache(["Haus"], cased)) == [cased.encode("Haus", add_special_tokens=False).ids]
     assert op3_repair.tokenizer_of(text) is op3_repair.tokenizer_of(text)
+
+
+def test_repair_packs_a_shard_of_one_empty_text():
+    """A shard of a lone end id has no pairs at all."""
+    for ids in ([1], [7, 1]):
+        shard = op3_repair.Shard(op3_repair.pack([3], np.array([len(ids)]), np.array(ids, np.uint32), 100)[0])
+        assert shard.doc_ids == [3] and shard.decode(0).tolist() == ids
