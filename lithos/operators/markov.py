@@ -11,11 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithos.operators.backoff import leveled
+from lithos.operators.paths import END, START, judged
 from lithos.session import cut, stored
 from lithos.vocab import ALIASES
 
 CELL = ["bauperiode", "ort", "art"]
-START, END = "^", "$"
 MIN_MASS = 0.5
 
 
@@ -85,10 +85,14 @@ def geomean(p) -> F.Column:
     return F.coalesce(F.when(F.min(p) > 0, F.exp(logs)), F.lit(0.0))
 
 
-def scores(seqs: DataFrame, dists: DataFrame, *carry: str) -> DataFrame:
-    """Per sequence (carry are its keys): score, the geometric mean of its steps."""
-    steps = step_probabilities(transitions(seqs, *carry), dists)
-    return steps.groupBy(*carry, *CELL).agg(geomean(F.col("p")).alias("score"))
+def scores(seqs: DataFrame, dists: DataFrame, carry: str, aliases: dict[str, list[str]] | None = None, vocabulary: DataFrame | None = None, both: bool = True) -> DataFrame:
+    """Per sequence (carry is its key): score, the geometric mean of its steps. With aliases or a vocabulary, the sequences
+    are questions by req_id: their readings, or their scores both ways and unknown materials, as paths.judged has them."""
+    if aliases is not None or vocabulary is not None:
+        known = lambda steps: step_probabilities(steps, dists).withColumnRenamed("ask2", "p2")
+        return judged(seqs, CELL, known, aliases, vocabulary, both)
+    steps = step_probabilities(transitions(seqs, carry), dists)
+    return steps.groupBy(carry, *CELL).agg(geomean(F.col("p")).alias("score"))
 
 
 def references(seqs: DataFrame, cells: DataFrame, least: int = 2) -> DataFrame:
@@ -120,23 +124,23 @@ def check(requests: DataFrame, seqs: DataFrame, dists: DataFrame | None = None)
     every = requests.select(F.col("req_id").alias("_own"), *CELL, "seq").withColumn("_same", same)
     requests = _distinct(every)
     vocabulary = seqs.select(F.explode("seq").alias("m")).distinct()
-    unknown = requests.select("req_id", F.posexplode("seq").alias("i", "m")).join(vocabulary, "m", "left_anti").groupBy("req_id").agg(F.count(F.lit(1)).alias("n_unknown"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("unknown_materials"))
-    forward = scores(requests.withColumn("w", F.lit(1.0)), dists, "req_id").select("req_id", F.col("score").alias("fwd"))
-    back = scores(requests.withColumn("seq", F.reverse("seq")).withColumn("w", F.lit(1.0)), dists, "req_id").select("req_id", F.col("score").alias("rev"))
-    refs = references(seqs, requests)
-    # the references' scores are judged in the request's own cell
-    observed = leveled(seqs.select(*CELL, "seq").distinct(), CELL).select("level", "key", "seq").distinct()
-    judged = refs.where("n_ref > 0").join(observed, ["level", "key"]).select(*CELL, "seq").withColumn("w", F.lit(1.0)).withColumn("ref", F.concat_ws(";", "seq"))
-    floors = scores(judged, dists, "ref").groupBy(*CELL).agg(F.min("score").alias("floor"))
-    out = requests.join(forward, "req_id").join(back, "req_id").join(unknown, "req_id", "left").join(refs.select(*CELL, "n_ref"), CELL, "left").join(floors, CELL, "left")
+    score = lambda c: F.coalesce(F.exp(c), F.lit(0.0))
+    said = scores(requests, dists, "req_id", None, vocabulary)
+    said = said.select("req_id", score("fwd").alias("fwd"), score("rev").alias("rev"), F.when(F.size("unknown") > 0, F.col("unknown")).alias("unknown_materials"))
+    refs = stored(references(seqs, requests))
+    # the references' scores are judged in the request's own cell, which is the key of their least
+    observed = leveled(seqs.select(*CELL, "seq").distinct(), CELL).where("level < 3").select("level", "key", "seq").distinct()
+    of = refs.where("n_ref > 0").join(observed, ["level", "key"]).select(F.struct(*CELL).alias("req_id"), *CELL, "seq")
+    floors = scores(stored(of), dists, "req_id", None, vocabulary, False).groupBy("req_id").agg(F.min(score("fwd")).alias("floor"))
+    cells = refs.select(*CELL, "n_ref").join(floors.select("req_id.*", "floor"), CELL, "left")
+    out = requests.join(said.hint("merge"), "req_id").join(cells, CELL, "left")
     f, r, floor = F.col("fwd"), F.col("rev"), F.coalesce("floor", F.lit(0.0))
     is_rev = (F.size("seq") >= 2) & (f < floor) & (r >= floor) & (r >= 3 * f) & (r > 0)
-    known = F.col("n_unknown").isNull()
+    known = F.col("unknown_materials").isNull()
     tier = F.when(~known, 2).when(is_rev, 2).when(f <= 0, 1).when((F.col("n_ref") > 0) & (f >= floor), 3).otherwise(2)
-    out = out.select("req_id", tier.alias("tier"), (known & is_rev).alias("reversed"), (~known).alias("unknown"), f.alias("score"), floor.alias("floor"), "n_ref", "unknown_materials")
-    names = out.columns
-    out = out.join(requests.select("req_id", "_same"), "req_id").drop("req_id")
-    return every.select(F.col("_own").alias("req_id"), "_same").join(out, "_same").select(*names)
+    out = out.select("req_id", "_same", tier.alias("tier"), (known & is_rev).alias("reversed"), (~known).alias("unknown"), f.alias("score"), floor.alias("floor"), "n_ref", "unknown_materials")
+    names = [c for c in out.columns if c != "_same"]
+    return every.select(F.col("_own").alias("req_id"), "_same").join(out.drop("req_id").hint("merge"), "_same").select(*names)
 
 
 def observed_top(seqs: DataFrame, k: int = 3) -> DataFrame:
@@ -174,17 +178,10 @@ def beam_predict(cells: DataFrame, dists: DataFrame, k: int = 3, beam: int = 12,
 
 def translate(requests: DataFrame, dists: DataFrame) -> DataFrame:
     """req_id and the reading of its hub materials as catalog materials that scores best in either direction; the first
-    variant wins ties."""
+    variant wins ties. Readings are not multiplied out."""
     same = F.sha2(F.to_json(F.struct(*CELL, "seq"), {"ignoreNullFields": "false"}), 256)
     every = requests.select(F.col("req_id").alias("_own"), *CELL, "seq").withColumn("_same", same)
     asked = _distinct(every)
-    pairs = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    options = F.transform("seq", lambda m: F.coalesce(F.element_at(pairs, m), F.array(m)))
-    product = F.aggregate(options, F.array(F.array().cast("array<string>")), lambda acc, opt: F.flatten(F.transform(acc, lambda a: F.transform(opt, lambda o: F.concat(a, F.array(o))))))
-    variants = stored(asked.select("req_id", *CELL, F.posexplode(product).alias("variant", "seq")).withColumn("w", F.lit(1.0)))
-    fwd = scores(variants, dists, "req_id", "variant").select("req_id", "variant", F.col("score").alias("f"))
-    rev = scores(variants.withColumn("seq", F.reverse("seq")), dists, "req_id", "variant").select("req_id", "variant", F.col("score").alias("r"))
-    both = fwd.join(rev, ["req_id", "variant"]).groupBy("req_id").agg(F.min_by("variant", F.struct(-F.greatest("f", "r"), "variant")).alias("variant"))
-    best = both.join(variants.select("req_id", "variant", "seq"), ["req_id", "variant"]).select("req_id", "seq")
-    best = best.join(asked.select("req_id", "_same"), "req_id").drop("req_id")
-    return every.select("_own", "_same").join(best, "_same").select(F.col("_own").alias("req_id"), "seq")
+    best = scores(asked, dists, "req_id", ALIASES).withColumnRenamed("seq", "_read")
+    best = asked.select("req_id", "_same").join(best.hint("merge"), "req_id").select("_same", F.col("_read").alias("seq"))
+    return every.select("_own", "_same").join(best.hint("merge"), "_same").select(F.col("_own").alias("req_id"), "seq")
