@@ -1,7 +1,8 @@
 """The plausibility check as a client asks for it: JSON questions to answers.
 
 Questions that say the same are judged once: distinct (cell, materials) are translated to the catalog's words and checked,
-and each question is joined to its answer, so a build-up that a third of all questions ask about costs one check.
+and each question is joined to its answer by a merge, so a build-up that a third of all questions ask about costs one check
+and no answers are sent whole.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.operators import markov as mk
-from lithos.session import cut
+from lithos.session import cut, stored
 from lithos.vocab import ANSWERS, CLIENT_KINDS, CLIENT_PERIODS, CLIENT_PLACES
 
 BODY = "period string, floor_type string, part_type string, materials array<string>, layers array<struct<material:string>>, _bad string"
@@ -47,12 +48,12 @@ def answers(questions: DataFrame, seqs: DataFrame, body: str = "body") -> DataFr
     """questions with stufe, label, detail, umgekehrt, referenz_n, gelesen_als (null unless the reading differs) and error."""
     names = questions.columns
     rows = parsed(questions, body).withColumn("req_id", F.when(F.col("error").isNull(), F.sha2(F.to_json(F.struct(*mk.CELL, "materials")), 256)))
-    asked = cut(rows.where("error IS NULL").select("req_id", *mk.CELL, "materials").dropDuplicates(["req_id"]))
+    asked = stored(rows.where("error IS NULL").select("req_id", *mk.CELL, "materials").dropDuplicates(["req_id"]))
     dists = cut(mk.distributions(seqs))
-    read = cut(mk.translate(asked.withColumnRenamed("materials", "seq"), dists))
-    checked = mk.check(asked.select("req_id", *mk.CELL).join(read, "req_id"), seqs, dists)
+    read = stored(mk.translate(asked.withColumnRenamed("materials", "seq"), dists))
+    checked = mk.check(asked.select("req_id", *mk.CELL).join(read.hint("merge"), "req_id"), seqs, dists)
     kind = F.when(F.col("unknown"), "unknown").when(F.col("reversed"), "reversed").when(F.col("tier") == 1, "impossible").when(F.col("tier") == 3, "usual").otherwise("unusual")
     said = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in ANSWERS.items() for x in (k, v[i])]), kind)
     detail = F.concat(said(1), F.when(F.col("unknown"), F.array_join("unknown_materials", ", ")).otherwise(""))
-    out = checked.select("req_id", F.col("tier").alias("stufe"), said(0).alias("label"), detail.alias("detail"), F.col("reversed").alias("umgekehrt"), F.col("n_ref").alias("referenz_n")).join(read, "req_id")
-    return rows.join(out, "req_id", "left").select(*names, "stufe", "label", "detail", "umgekehrt", "referenz_n", F.when(F.col("seq") != F.col("materials"), F.col("seq")).alias("gelesen_als"), "error")
+    out = checked.select("req_id", F.col("tier").alias("stufe"), said(0).alias("label"), detail.alias("detail"), F.col("reversed").alias("umgekehrt"), F.col("n_ref").alias("referenz_n")).join(read.hint("merge"), "req_id")
+    return rows.join(out.hint("merge"), "req_id", "left").select(*names, "stufe", "label", "detail", "umgekehrt", "referenz_n", F.when(F.col("seq") != F.col("materials"), F.col("seq")).alias("gelesen_als"), "error")

@@ -1,13 +1,14 @@
 """Readings and scores along steps, against all readings multiplied out."""
 
 import itertools
+import json
 import math
 import random
 
 from pyspark.sql import functions as F
 
 from lithos.operators import markov as mk
-from lithos.operators import paths
+from lithos.operators import paths, plausibility
 
 OPTIONS = {"x": ["a", "b", "c"], "y": ["b", "a"], "z": ["z", "c"]}
 CATALOG = "bauperiode string, ort string, art string, seq array<string>, w double"
@@ -57,3 +58,14 @@ def test_mean_of_logarithms_is_that_of_decimals(spark):
     df = spark.createDataFrame(rows, "k int, x long").withColumn("d", (F.col("x").cast("decimal(30,14)") / F.lit(paths.UNIT)).cast("decimal(18,14)"))
     want = {x.k: (x.m, x.s, x.n) for x in df.groupBy("k").agg(F.avg("d").cast("double").alias("m"), F.sum("x").alias("s"), F.count("x").alias("n")).collect()}
     assert len(want) == 60 and all(paths.mean_log(s, n) == m for m, s, n in want.values())
+
+
+def test_answers_are_merged_and_readings_not_multiplied_out(spark, capsys):
+    cat = spark.createDataFrame([("1980-1999", "RG", "AW", ["STB", "STB", "Putz"], 5.0), ("1980-1999", "RG", "AW", ["Putz", "Beton"], 1.0)], CATALOG)
+    body = json.dumps({"period": "1980-1999", "floor_type": "RG", "part_type": "AW", "materials": ["Beton"] * 30 + ["Putz"]})
+    got = plausibility.answers(spark.createDataFrame([(1, body), (2, body), (3, "{")], "id int, body string"), cat)
+    got.explain()
+    joins = [x for x in capsys.readouterr().out.splitlines() if "BroadcastHashJoin" in x]
+    assert not [x for x in joins if "req_id" in x or "_same" in x]
+    got = {r.id: r for r in got.collect()}
+    assert got[1].gelesen_als == got[2].gelesen_als == ["STB"] * 30 + ["Putz"] and got[1].stufe == 1 and got[3].error
