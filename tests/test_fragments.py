@@ -93,3 +93,12 @@ def test_pairs_are_few_and_found_once(spark):
     assert len(found) == len(set(found)) > 1000 and all(a < b for _, a, b in found)
     kept = fr._forest(links).collect()
     assert len(kept) < 301 and {r.n_fragments for r in fr.joined_fragments(frame(spark, rows)).collect()} == {301}
+
+
+def test_scans_of_many_links_are_put_together(spark, monkeypatch):
+    """A task whose forest does not fit a block leaves the rest to the components."""
+    rows = [wall(i, (i // 2) * 10, 0.1 * (i % 2), 2, 0) for i in range(300)]
+    monkeypatch.setattr(fr, "BLOCK", 20)
+    links = fr.face_links(frame(spark, rows)).repartition(1)
+    assert not fr._forest(links).where("NOT whole").isEmpty()
+    assert {x.id: x.n_fragments for x in fr.joined_faces(frame(spark, rows)).collect()} == {i: 2 for i in range(0, 300, 2)}
