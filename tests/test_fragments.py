@@ -102,3 +102,16 @@ def test_scans_of_many_links_are_put_together(spark, monkeypatch):
     links = fr.face_links(frame(spark, rows)).repartition(1)
     assert not fr._forest(links).where("NOT whole").isEmpty()
     assert {x.id: x.n_fragments for x in fr.joined_faces(frame(spark, rows)).collect()} == {i: 2 for i in range(0, 300, 2)}
+
+
+def test_a_fragment_is_shuffled_about_once(spark):
+    """Not once for each of its neighbouring directions, classes and cells; links of a scan are whole in its task."""
+    r = random.Random(2)
+    rows = [wall(i, r.uniform(0, 100), r.uniform(0, 12), r.uniform(0.1, 5), r.choice([0, 5, 37, 90])) for i in range(2000)]
+    rows = fr._figures(frame(spark, rows))
+    far = lambda length: length * 0.43 + 0.4
+    assert fr._tiles(rows, far, 5.0).count() < 1.3 * 2000
+    forest = fr._forest(fr.face_links(rows))
+    found = forest.collect()
+    assert all(x.whole and x.a < x.b for x in found) and len({x.b for x in found}) == len(found) > 100
+    assert not {x.a for x in found} & {x.b for x in found}
