@@ -115,3 +115,16 @@ def test_a_fragment_is_shuffled_about_once(spark):
     found = forest.collect()
     assert all(x.whole and x.a < x.b for x in found) and len({x.b for x in found}) == len(found) > 100
     assert not {x.a for x in found} & {x.b for x in found}
+
+
+@pytest.mark.parametrize("links", [fr.collinear_links, fr.face_links])
+def test_links_do_not_hang_on_tiles(spark, monkeypatch, links):
+    """Small tiles of several sizes, small blocks of pairs, and equal fragments: the links of one tile."""
+    r = random.Random(8)
+    rows = [wall(i, r.uniform(-30, 30), r.uniform(-6, 6), r.choice([0.3, 1, 3, 12, 60]), r.choice([0, 4, 90, 175, 179]) + r.uniform(-3, 3), scan=i % 2) for i in range(600)]
+    rows += [(*w[:1], 1000 + w[1], *w[2:]) for w in rows[:100]]
+    monkeypatch.setattr(fr, "TILE_LENGTH", 1e4)
+    whole = sorted(map(tuple, links(frame(spark, rows)).collect()))
+    for name, value in {"TILE_LENGTH": 0.5, "BLOCK": 50, "FRAGMENTS_A_TASK": 40}.items():
+        monkeypatch.setattr(fr, name, value)
+    assert sorted(map(tuple, links(frame(spark, rows)).collect())) == whole and len(set(whole)) == len(whole) > 150
