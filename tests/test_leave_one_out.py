@@ -47,3 +47,20 @@ def test_layers_are_put_together_once(spark, capsys):
     th.leave_one_out(spark.createDataFrame(rows(1, False), SCHEMA)).explain()
     plan = capsys.readouterr().out
     assert "ExistingRDD" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_models_read_the_layers_once(spark, capsys):
+    """Nothing but the layers without a build_id is read from the source again; every layer has its models."""
+    layers = [(*x[:2], x[2] or "o", *x[3:]) for x in rows(2, False)] + [(None, "p", "o", "x", 1.0, 1, "Putz", 0.1)]
+    got = th.models(spark.createDataFrame(layers, SCHEMA))
+    got.explain()
+    plan = capsys.readouterr().out
+    scans = plan.count("ExistingRDD")
+    assert 0 < scans <= 2 and plan.count("isnull(build_id") >= scans
+    alone = {(r.build_id, r.pos): r.seq_mean for r in th.leave_one_out(spark.createDataFrame(layers, SCHEMA)).collect()}
+    got = {(r.build_id, r.pos): r for r in got.collect()}
+    assert len(got) == len(layers) and got[None, 1].thickness == pytest.approx(got[None, 1].b) == pytest.approx(0.1)
+    sums = {}
+    for (b, _), r in got.items():
+        sums[b] = sums.get(b, 0.0) + r.thickness - r.b
+    assert max(map(abs, sums.values())) < 1e-9 and len(alone) > 100
